@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # a hot line is asked once by every document that holds it, so the sum of counts bounds a shard's hits
     salts = shared.groupBy(shard().alias("shard")).agg((F.sum("n") / SALT_ROWS).cast("int").alias("more"))
     copies = F.broadcast(salts)  # at most MAX_SHARDS rows of two ints
-    one = built.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("g"), "hash", "prints", "holders")
+    one = built.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), "hash", "prints", "holders")
     none = F.lit(None).cast("binary")
     two = asked.withColumn("shard", shard()).join(copies, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("more") + 1).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h", "g", none.alias("hash"), none.alias("prints"), none.alias("holders"))
     drops = one.union(two).repartition(parts(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(_probe, "doc_id long, h long, g long")
