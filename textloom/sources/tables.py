@@ -1,0 +1,37 @@
+"""Sources: parquet tables, byte artifacts, zones and manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ZONES = "source_sha256 string, zones array<struct<kind string, byte_start bigint, byte_end bigint>>"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """path, content, sha256 of whole files."""
+    return spark.read.format("binaryFile").load(path).select("path", "content", F.sha2("content", 256).alias("sha256"))
+
+
+def zones(spark: SparkSession, path: str) -> DataFrame:
+    """One row per zone, with its place in the sidecar's list."""
+    side = spark.read.schema(ZONES).option("multiLine", True).json(path)
+    return side.select("source_sha256", F.posexplode("zones").alias("ord", "z")).select("source_sha256", "ord", "z.*")
+
+
+def checked_copy(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """Files whose bytes have the expected hash (path, sha256)."""
+    return files.join(expected, ["path", "sha256"], "left_semi")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows of both; where a key is in both, `columns` come from the new row."""
+    o, n = old.alias("o"), new.alias("n")
+    hit = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys]
+    fresh = F.col(f"n.{keys[0]}").isNotNull()
+    pick = [F.coalesce(f"o.{c}", f"n.{c}").alias(c) if c in keys else (F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in columns else F.coalesce(f"o.{c}", f"n.{c}")).alias(c) for c in old.columns]
+    return o.join(n, hit, "full").select(*pick)
