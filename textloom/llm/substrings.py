@@ -40,17 +40,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
+def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(_WORDS) > 400_000:
         _WORDS.clear()
-    known, digest, flat = _WORDS, xxhash.xxh3_128_intdigest, []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            d = digest(w)
-            h = known[w] = (d & M64, d >> 64)
-        flat.append(h)
-    return np.array(flat, np.uint64).reshape(-1, 2).T
+    for w in set(words).difference(_WORDS):
+        d = xxhash.xxh3_128_intdigest(w)
+        _WORDS[w] = (d & M64, d >> 64)
+    both = list(map(_WORDS.__getitem__, words))
+    first, second = zip(*both, strict=True) if both else ((), ())
+    return np.array(first, np.uint64), np.array(second, np.uint64)
 
 
 def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -65,14 +63,17 @@ def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
 
 
 def named(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams, and for each window the place of the gram it names (the first smallest)."""
+    """Hashes of the grams, and for each window the smallest of its gram hashes."""
     gram = length // 2 + 1
     a = rolling(h, gram, BASES[0])
-    n, span = len(h) - length + 1, length - gram + 1
-    if n <= 0:
-        return a, np.zeros(0, np.int64)
-    low = np.concatenate([np.lib.stride_tricks.sliding_window_view(a[i : i + 65536 + span - 1], span).argmin(axis=1) + i for i in range(0, n, 65536)])
-    return a, low + np.arange(n) - (np.arange(n) // 65536) * 65536
+    span, low, have = length - gram + 1, a, 1
+    if len(h) < length:
+        return a, a[:0]
+    while have < span:
+        step = min(have, span - have)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        have += step
+    return a, low
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -82,23 +83,23 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for t1, t2, text in zip(b.t1, b.t2, b.text, strict=True):
-                a, at = named(_word_hashes(text.encode().split())[0], length)
-                at = np.unique(at)
-                if len(at):
-                    yield pd.DataFrame({"h": a[at].view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "pos": at.astype(np.int32)})
+                a, low = named(_word_hashes(text.encode().split())[0], length)
+                if len(low):
+                    every, n = np.unique(a, return_counts=True)
+                    h = np.unique(low)
+                    yield pd.DataFrame({"h": h.view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "n": n[np.searchsorted(every, h)]})
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for t1, t2, text, spots in zip(b.t1, b.t2, b.text, b.spots, strict=True):
                 h = _word_hashes(text.encode().split())
-                _, at = named(h[0], length)
-                starts = np.flatnonzero(np.isin(at, spots))
+                starts = np.flatnonzero(np.isin(named(h[0], length)[1].view(np.int64), spots))
                 if len(starts):
                     yield pd.DataFrame({"w1": rolling(h[0], length, BASES[0])[starts].view(np.int64), "w2": rolling(h[1], length, BASES[1])[starts].view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "start": starts.astype(np.int32)})
 
-    found = base.mapInPandas(grams, "h long, t1 long, t2 long, pos int")
-    twice = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    spots = found.join(twice, "h").groupBy("t1", "t2").agg(F.collect_set("pos").alias("spots"))
+    found = base.mapInPandas(grams, "h long, t1 long, t2 long, n long")
+    twice = cut(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    spots = found.join(twice, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("spots"))
     made = base.join(spots, ["t1", "t2"]).mapInPandas(windows, "w1 long, w2 long, t1 long, t2 long, start int")
     many = cut(made.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
     return made.join(many, ["w1", "w2"]).groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
