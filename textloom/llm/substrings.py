@@ -1,10 +1,18 @@
 """Substring dedup: exact removal of words covered by windows that occur more than once.
 
 Winnowing bounds the work.  Every window of `length` words names its smallest gram of
-`length // 2 + 1` words; equal windows name equal grams, so a repeated window names a gram
-that repeats.  Grams are counted with a map-side combine; only windows that name a repeated gram are hashed in
-whole (128 bits) and counted, and those counted twice or more cover what is removed.  Counts
-are of every row, so windows are judged on the input and a text's own repeats count.
+`length // 2 + 1` words, the leftmost if equal; so equal windows name equal grams at the same
+place.  Consecutive windows that name one gram make a stretch, about one for ten words, and
+stretches, not windows, are shuffled:
+
+1. Stretches are counted by gram and hash of their words, with a map-side combine.
+2. A stretch found twice has every window repeated.  A gram found once has none.
+3. Only where one gram has several different stretches are windows looked at singly: each
+   stretch found once, and one of those found more often, emits its windows, and a window of
+   two different stretches is repeated.
+
+Counts are of every row, so windows are judged on the input and a text's own repeats count.
+Keys are 64 bits of the gram with 64 of the stretch or window.
 
 This is not the broadcast suffix automaton of reference shards: see the README.
 
@@ -15,6 +23,7 @@ a null doc_id take part.  Texts shorter than a window lose nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,83 +35,96 @@ from .common import cut, texts
 
 LENGTH = 35
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-M64 = 2**64 - 1
-_WORDS: dict[bytes, tuple[int, int]] = {}
+ROWS = 100_000  # of an emitted frame, about
+WORDS = 400_000  # whose hashes a worker remembers
 
 
 def split_words(text: str) -> list[str]:
     return [w.decode("utf-8") for w in text.encode("utf-8").split()]  # bytes: ASCII white space alone
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+class WordHashes:
+    """Two 64-bit hashes of each word, remembered."""
+
+    def __init__(self):
+        self.ids: dict[bytes, int] = {}
+        self.table = np.zeros((2, 1 << 12), np.uint64)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.ids) > WORDS:
+            self.__init__()
+        for w in set(words).difference(self.ids):
+            n = self.ids[w] = len(self.ids)
+            if n == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            d = xxhash.xxh3_128_intdigest(w)
+            self.table[:, n] = d & (2**64 - 1), d >> 64
+        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return self.table[0, at], self.table[1, at]
+
+
+hashes = WordHashes()
+
+
+@lru_cache(8)
+def _powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-def _word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    if len(_WORDS) > 400_000:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        d = xxhash.xxh3_128_intdigest(w)
-        _WORDS[w] = (d & M64, d >> 64)
-    both = list(map(_WORDS.__getitem__, words))
-    first, second = zip(*both, strict=True) if both else ((), ())
-    return np.array(first, np.uint64), np.array(second, np.uint64)
-
-
-def rolling(h: np.ndarray, width: int, base: int) -> np.ndarray:
-    """A polynomial hash of each run of `width` word hashes, mixed."""
-    n = len(h)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    sums = np.r_[np.uint64(0), np.add.accumulate(h * _powers(base, n))]
-    x = (sums[width:] - sums[:-width]) * _powers(pow(base, -1, 2**64), n - width + 1)
+def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-def named(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams, and for each window the smallest of its gram hashes."""
-    gram = length // 2 + 1
-    a = rolling(h, gram, BASES[0])
-    span, low, have = length - gram + 1, a, 1
-    if len(h) < length:
-        return a, a[:0]
-    while have < span:
-        step = min(have, span - have)
-        low = np.minimum(low[: len(low) - step], low[step:])
-        have += step
-    return a, low
+class Rolling:
+    """Polynomial hashes of any runs of words."""
 
+    def __init__(self, h: np.ndarray, base: int):
+        n = len(h)
+        size = 1 << max(10, n.bit_length())
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.add.accumulate(h * _powers(base, size)[:n], out=self.sums[1:])
+        self.back = _powers(pow(base, -1, 2**64), size)
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """t1, t2 (hash of a text) and starts: the windows of that text that also start elsewhere."""
-    base = _hashed(docs)
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        x = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+        return _mix(x + (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t1, t2, text in zip(b.t1, b.t2, b.text, strict=True):
-                a, low = named(_word_hashes(text.encode().split())[0], length)
-                if len(low):
-                    every, n = np.unique(a, return_counts=True)
-                    h = np.unique(low)
-                    yield pd.DataFrame({"h": h.view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "n": n[np.searchsorted(every, h)]})
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t1, t2, text, spots in zip(b.t1, b.t2, b.text, b.spots, strict=True):
-                h = _word_hashes(text.encode().split())
-                starts = np.flatnonzero(np.isin(named(h[0], length)[1].view(np.int64), spots))
-                if len(starts):
-                    yield pd.DataFrame({"w1": rolling(h[0], length, BASES[0])[starts].view(np.int64), "w2": rolling(h[1], length, BASES[1])[starts].view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "start": starts.astype(np.int32)})
+def stretches(words: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """gram hash, stretch hash, first and last window of each stretch."""
+    n, gram = len(words), length // 2 + 1
+    if n < length:
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    first, second = hashes(words)
+    at = np.arange(n - gram + 1)
+    a = Rolling(first, BASES[0]).of(at, at + gram)
+    named = np.lib.stride_tricks.sliding_window_view(a, length - gram + 1).argmin(axis=1)
+    named += np.arange(len(named))
+    lo = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
+    hi = np.r_[lo[1:], len(named)] - 1
+    return a[named[lo]], Rolling(second, BASES[1]).of(lo, hi + length), lo, hi
+
+
+def _frames(parts: Iterator[dict[str, np.ndarray]], size: str) -> Iterator[pd.DataFrame]:
+    """Joins the parts to frames of about ROWS rows; numbers spread over the length of `size`."""
+    held, n = [], 0
 
-    found = base.mapInPandas(grams, "h long, t1 long, t2 long, n long")
-    twice = cut(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    spots = found.join(twice, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("spots"))
-    made = base.join(spots, ["t1", "t2"]).mapInPandas(windows, "w1 long, w2 long, t1 long, t2 long, start int")
-    many = cut(made.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
-    return made.join(many, ["w1", "w2"]).groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
+    def frame() -> pd.DataFrame:
+        wide = [[np.broadcast_to(v, len(p[size])) for v in p.values()] for p in held]
+        return pd.DataFrame({k: np.concatenate([w[i] for w in wide]) for i, k in enumerate(held[0])})
+
+    for p in parts:
+        if len(p[size]):
+            held.append(p)
+            n += len(p[size])
+        if n >= ROWS:
+            yield frame()
+            held, n = [], 0
+    if held:
+        yield frame()
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -111,21 +133,67 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("t1", num(1)).withColumn("t2", num(17))
 
 
+def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """t1, t2 (hash of a text) and spots: its stretches (lo, hi, h, c, whole, emit) of repeated grams."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each():
+            for b in batches:
+                for t1, t2, text in zip(b.t1, b.t2, b.text, strict=True):
+                    h, c, lo, hi = stretches(text.encode().split(), length)
+                    yield {"h": h.view(np.int64), "c": c.view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+
+        yield from _frames(each(), "h")
+
+    found = _hashed(docs).drop("doc_id").mapInPandas(find, "h long, c long, t1 long, t2 long, lo int, hi int")
+    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("t1").alias("one"))
+    grams = kinds.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("h", "kinds")
+    known = kinds.join(grams, "h").select("h", "c", (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("mixed"), "one")
+    emit = F.col("mixed") & (~F.col("whole") | (F.col("t1") == F.col("one")))
+    spots = found.join(cut(known), ["h", "c"]).select("t1", "t2", F.struct("lo", "hi", "h", "c", "whole", emit.alias("emit")).alias("x"))
+    return spots.where("x.whole or x.emit").groupBy("t1", "t2").agg(F.collect_set("x").alias("spots"))
+
+
+def repeated_windows(docs: DataFrame, spots: DataFrame, length: int = LENGTH) -> DataFrame:
+    """t1, t2 and starts: the windows, of stretches found once, that also start elsewhere."""
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def each():
+            for b in batches:
+                for t1, t2, text, emit in zip(b.t1, b.t2, b.text, b.emit, strict=True):
+                    r = Rolling(hashes(text.encode().split())[1], BASES[1])
+                    lo, hi, h, c, whole = (np.array([x[k] for x in emit]) for k in ("lo", "hi", "h", "c", "whole"))
+                    n = hi - lo + 1
+                    s = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    yield {"h": np.repeat(h, n), "w": r.of(s, s + length).view(np.int64), "c": np.repeat(c, n), "t1": np.int64(t1), "t2": np.int64(t2), "start": s.astype(np.int32), "whole": np.repeat(whole, n)}
+
+        yield from _frames(each(), "h")
+
+    some = spots.select("t1", "t2", F.filter("spots", lambda x: x.emit).alias("emit")).where("size(emit) > 0")
+    made = _hashed(docs).drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, c long, t1 long, t2 long, start int, whole boolean")
+    twice = made.groupBy("h", "w").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h", "w")
+    return made.where("not whole").join(twice, ["h", "w"]).groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
+
+
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space)."""
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, starts in zip(b.text, b.starts, strict=True):
+            for text, whole, starts in zip(b.text, b.whole, b.starts, strict=True):
                 words = text.encode().split()
                 n = len(words)
-                if starts is not None and len(starts):
-                    s = np.asarray(starts, np.int64)
-                    edge = np.bincount(s, minlength=n + 1) - np.bincount(s + length, minlength=n + 1)[: n + 1]
+                lo = [x["lo"] for x in whole] if whole is not None else []
+                hi = [x["hi"] for x in whole] if whole is not None else []
+                one = [] if starts is None else list(starts)
+                if lo or one:
+                    edge = np.bincount(np.array(lo + one, np.int64), minlength=n + 1) - np.bincount(np.array(hi + one, np.int64) + length, minlength=n + 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:n] == 0).tolist()]
                 out.append((n, n - len(words), b" ".join(words).decode()))
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64").to_numpy(), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
 
-    joined = _hashed(docs).join(repeated_windows(docs, length), ["t1", "t2"], "left")
-    return joined.select("doc_id", "text", "starts").mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
+    spots = cut(repeated_stretches(docs, length))
+    whole = F.transform(F.filter("spots", lambda x: x.whole), lambda x: F.struct(x.lo.alias("lo"), x.hi.alias("hi")))
+    joined = _hashed(docs).join(spots.select("t1", "t2", whole.alias("whole")), ["t1", "t2"], "left").join(repeated_windows(docs, spots, length), ["t1", "t2"], "left")
+    return joined.select("doc_id", "text", "whole", "starts").mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
