@@ -5,8 +5,9 @@ Winnowing bounds the work.  Every window of `length` words names its smallest gr
 place.  Consecutive windows that name one gram make a stretch, about one for ten words, and
 stretches, not windows, are shuffled:
 
-1. Stretches are counted by gram and hash of their words, with a map-side combine.
-2. A stretch found twice has every window repeated.  A gram found once has none.
+1. Grams are counted with a map-side combine; stretches of grams found once go.
+2. Stretches are counted by gram and hash of their words.  One found twice has every window
+   repeated.
 3. Only where one gram has several different stretches are windows looked at singly: each
    stretch found once, and one of those found more often, emits its windows, and a window of
    two different stretches is repeated.
@@ -36,37 +37,16 @@ from .common import cut, texts
 LENGTH = 35
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 ROWS = 100_000  # of an emitted frame, about
-WORDS = 400_000  # whose hashes a worker remembers
+BLOCK, SLAB = 1_000_000, 200_000  # bytes, words
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+LETTERS = np.array([[xxhash.xxh3_64_intdigest(bytes([i, k])) for i in range(256)] for k in range(2)], np.uint64)
 
 
 def split_words(text: str) -> list[str]:
     return [w.decode("utf-8") for w in text.encode("utf-8").split()]  # bytes: ASCII white space alone
 
 
-class WordHashes:
-    """Two 64-bit hashes of each word, remembered."""
-
-    def __init__(self):
-        self.ids: dict[bytes, int] = {}
-        self.table = np.zeros((2, 1 << 12), np.uint64)
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.ids) > WORDS:
-            self.__init__()
-        for w in set(words).difference(self.ids):
-            n = self.ids[w] = len(self.ids)
-            if n == self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-            d = xxhash.xxh3_128_intdigest(w)
-            self.table[:, n] = d & (2**64 - 1), d >> 64
-        at = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        return self.table[0, at], self.table[1, at]
-
-
-hashes = WordHashes()
-
-
-@lru_cache(8)
+@lru_cache(16)
 def _powers(base: int, size: int) -> np.ndarray:
     out = np.full(size, base, np.uint64)
     out[0] = 1
@@ -79,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes of any runs of words."""
+    """Polynomial hashes of any runs of the numbers."""
 
     def __init__(self, h: np.ndarray, base: int):
         n = len(h)
@@ -93,19 +73,57 @@ class Rolling:
         return _mix(x + (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
-def stretches(words: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """gram hash, stretch hash, first and last window of each stretch."""
-    n, gram = len(words), length // 2 + 1
+class Words:
+    """The words of some texts, end to end, and their hashes."""
+
+    def __init__(self, held: list[bytes]):
+        self.data = np.frombuffer(b"\n".join(held), np.uint8)
+        edge = np.diff(np.concatenate([[1], SPACE[self.data], [1]]).astype(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sizes = np.array([len(x) + 1 for x in held], np.int64)
+        self.first = np.searchsorted(self.starts, np.r_[0, np.cumsum(sizes)])  # word of each text, and an end
+
+    def hashes(self, k: int) -> np.ndarray:
+        out = np.zeros(len(self.starts), np.uint64)
+        for i in range(0, len(out), SLAB):
+            s, e = self.starts[i : i + SLAB], self.ends[i : i + SLAB]
+            out[i : i + SLAB] = Rolling(LETTERS[k][self.data[s[0] : e[-1]]], BASES[k]).of(s - s[0], e - s[0])
+        return out
+
+
+def stretches(held: list[bytes], length: int, whole: bool = True) -> dict[str, np.ndarray]:
+    """Of each stretch: gram hash h and, if whole, hash of its words c, its text's place, first and last window."""
+    words, gram = Words(held), length // 2 + 1
+    n = len(words.starts)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
-    first, second = hashes(words)
+        at = np.zeros(0, np.int64)
+        return {"h": at} | ({"c": at, "text": at, "lo": at, "hi": at} if whole else {})
     at = np.arange(n - gram + 1)
-    a = Rolling(first, BASES[0]).of(at, at + gram)
+    a = Rolling(words.hashes(0), BASES[0]).of(at, at + gram)
     named = np.lib.stride_tricks.sliding_window_view(a, length - gram + 1).argmin(axis=1)
     named += np.arange(len(named))
-    lo = np.flatnonzero(np.r_[True, named[1:] != named[:-1]])
-    hi = np.r_[lo[1:], len(named)] - 1
-    return a[named[lo]], Rolling(second, BASES[1]).of(lo, hi + length), lo, hi
+    text = np.repeat(np.arange(len(held)), np.diff(words.first))
+    inside = text[: n - length + 1] == text[length - 1 :]
+    fresh = np.r_[True, (named[1:] != named[:-1]) | (text[1 : len(named)] != text[: len(named) - 1])]
+    lo = np.flatnonzero(fresh & inside)
+    out = {"h": a[named[lo]].view(np.int64)}
+    if whole:
+        last = np.flatnonzero(inside & np.r_[fresh[1:] | ~inside[1:], True])
+        c = Rolling(words.hashes(1), BASES[1]).of(lo, last + length)
+        start = words.first[text[lo]]
+        out |= {"c": c.view(np.int64), "text": text[lo], "lo": (lo - start).astype(np.int32), "hi": (last - start).astype(np.int32)}
+    return out
+
+
+def blocks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
+    """Whole texts in blocks of about BLOCK bytes, each with the place of its first."""
+    held, size, at = [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t.encode())
+        size += len(held[-1])
+        if size >= BLOCK or i + 1 == len(texts):
+            yield at, held
+            held, size, at = [], 0, i + 1
 
 
 def _frames(parts: Iterator[dict[str, np.ndarray]], size: str) -> Iterator[pd.DataFrame]:
@@ -136,21 +154,28 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t1, t2 (hash of a text) and spots: its stretches (lo, hi, h, c, whole, emit) of repeated grams."""
 
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames((stretches(held, length, whole=False) for b in batches for _, held in blocks(b.text.tolist())), "h")
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             for b in batches:
-                for t1, t2, text in zip(b.t1, b.t2, b.text, strict=True):
-                    h, c, lo, hi = stretches(text.encode().split(), length)
-                    yield {"h": h.view(np.int64), "c": c.view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)}
+                t1, t2 = b.t1.to_numpy(), b.t2.to_numpy()
+                for at, held in blocks(b.text.tolist()):
+                    x = stretches(held, length)
+                    text = x.pop("text") + at
+                    yield x | {"t1": t1[text], "t2": t2[text]}
 
         yield from _frames(each(), "h")
 
-    found = _hashed(docs).drop("doc_id").mapInPandas(find, "h long, c long, t1 long, t2 long, lo int, hi int")
+    grams = texts(docs).select("text").mapInPandas(name, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = _hashed(docs).drop("doc_id").mapInPandas(find, "h long, c long, lo int, hi int, t1 long, t2 long")
+    found = cut(found.join(grams, "h"))
     kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("t1").alias("one"))
-    grams = kinds.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("h", "kinds")
-    known = kinds.join(grams, "h").select("h", "c", (F.col("n") > 1).alias("whole"), (F.col("kinds") > 1).alias("mixed"), "one")
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("mixed"))
+    known = kinds.join(mixed, "h", "left").select("h", "c", (F.col("n") > 1).alias("whole"), F.coalesce("mixed", F.lit(False)).alias("mixed"), "one")
     emit = F.col("mixed") & (~F.col("whole") | (F.col("t1") == F.col("one")))
-    spots = found.join(cut(known), ["h", "c"]).select("t1", "t2", F.struct("lo", "hi", "h", "c", "whole", emit.alias("emit")).alias("x"))
+    spots = found.join(known, ["h", "c"]).select("t1", "t2", F.struct("lo", "hi", "h", "c", "whole", emit.alias("emit")).alias("x"))
     return spots.where("x.whole or x.emit").groupBy("t1", "t2").agg(F.collect_set("x").alias("spots"))
 
 
@@ -161,7 +186,7 @@ def repeated_windows(docs: DataFrame, spots: DataFrame, length: int = LENGTH) ->
         def each():
             for b in batches:
                 for t1, t2, text, emit in zip(b.t1, b.t2, b.text, b.emit, strict=True):
-                    r = Rolling(hashes(text.encode().split())[1], BASES[1])
+                    r = Rolling(Words([text.encode()]).hashes(1), BASES[1])
                     lo, hi, h, c, whole = (np.array([x[k] for x in emit]) for k in ("lo", "hi", "h", "c", "whole"))
                     n = hi - lo + 1
                     s = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
