@@ -151,6 +151,12 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("t1", num(1)).withColumn("t2", num(17))
 
 
+def _of_key(rows: DataFrame, keys: DataFrame, key: str, how: str, *more: str) -> DataFrame:
+    """Joins on keys that were just grouped, by another expression of them: both sides are then dealt
+    anew, so that a hot key's rows can be split among tasks."""
+    return rows.withColumn("dealt", F.bitwise_not(key)).join(keys.withColumn("dealt", F.bitwise_not(key)).drop(key), ["dealt", *more], how).drop("dealt")
+
+
 def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t1, t2 (hash of a text) and spots: its stretches (lo, hi, h, c, whole, emit) of repeated grams."""
 
@@ -170,10 +176,10 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     grams = texts(docs).select("text").mapInPandas(name, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = _hashed(docs).drop("doc_id").mapInPandas(find, "h long, c long, lo int, hi int, t1 long, t2 long")
-    found = cut(found.join(grams, "h"))
+    found = cut(_of_key(found, grams, "h", "left_semi"))
     kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("t1").alias("one"))
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("mixed"))
-    known = kinds.join(mixed, "h", "left").select("h", "c", (F.col("n") > 1).alias("whole"), F.coalesce("mixed", F.lit(False)).alias("mixed"), "one")
+    known = _of_key(kinds, mixed, "h", "left").select("h", "c", (F.col("n") > 1).alias("whole"), F.coalesce("mixed", F.lit(False)).alias("mixed"), "one")
     emit = F.col("mixed") & (~F.col("whole") | (F.col("t1") == F.col("one")))
     spots = found.join(known, ["h", "c"]).select("t1", "t2", F.struct("lo", "hi", "h", "c", "whole", emit.alias("emit")).alias("x"))
     return spots.where("x.whole or x.emit").groupBy("t1", "t2").agg(F.collect_set("x").alias("spots"))
@@ -197,7 +203,7 @@ def repeated_windows(docs: DataFrame, spots: DataFrame, length: int = LENGTH) ->
     some = spots.select("t1", "t2", F.filter("spots", lambda x: x.emit).alias("emit")).where("size(emit) > 0")
     made = _hashed(docs).drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, c long, t1 long, t2 long, start int, whole boolean")
     twice = made.groupBy("h", "w").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h", "w")
-    return made.where("not whole").join(twice, ["h", "w"]).groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
+    return _of_key(made.where("not whole"), twice, "w", "left_semi", "h").groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
