@@ -57,19 +57,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` values
     small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     b = F.broadcast(bench.drop("size")) if small else bench.drop("size")
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _plain(_template(F.col("text"))).alias("t"), _values(F.col("text")).alias("raw"))
+    raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = raw.select("doc_id", _plain(_template(F.col("text"))).alias("t"))
     hashed = F.filter(F.concat(*[F.coalesce(_windows(F.col("t"), s), F.array().cast("array<long>")) for s in sizes]), lambda x: x.isNotNull()) if sizes else F.array().cast("array<long>")
-    hits = texts.select("doc_id", F.explode(F.array_distinct(hashed)).alias("h")).join(b, "h")
+    # explode_outer: for explode, the optimizer adds a filter that makes the templates twice
+    hits = texts.select("doc_id", F.explode_outer(F.array_distinct(hashed)).alias("h")).join(b, "h")
     enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_matched")).join(F.broadcast(total) if small else total, "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
     # slots: only pairs that match by form are looked at again
     slotted = bench.where(F.exists("form", lambda x: x.rlike(SLOTS)))
     held = enough.join(slotted, "item_id").select("doc_id", "item_id", "h", "form", F.col("held").alias("ours"))
-    wide = texts.join(held.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "t", _plain(F.col("raw")).alias("v")).where(F.size("t") == F.size("v"))
-    n = F.size("t")
+    wide = raw.join(held.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _plain(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
+    n = F.when(F.size("t") == F.size("v"), F.size("t"))  # null where breaks differ: no windows
     spot = [F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - s + 1)), lambda i, s=s: F.struct(F.xxhash64(F.slice("t", i, s)).alias("h"), F.slice("v", i, s).alias("theirs")))) for s in sizes]
     if spot:
         none = F.array().cast("array<struct<h:bigint,theirs:array<string>>>")
-        theirs = wide.select("doc_id", F.explode(F.concat(*[F.coalesce(x, none) for x in spot])).alias("x")).select("doc_id", "x.h", "x.theirs")
+        theirs = wide.select("doc_id", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in spot])).alias("x")).select("doc_id", "x.h", "x.theirs")
         pairs = held.join(theirs, ["doc_id", "h"]).select("doc_id", "item_id", F.explode(F.arrays_zip("form", "ours", "theirs")).alias("s")).where(F.col("s.form").rlike(SLOTS)).select("doc_id", "item_id", "s.form", "s.ours", "s.theirs").distinct()
         slots = pairs.groupBy("doc_id", "item_id", "form", "ours").agg(F.count("*").alias("n"))
         good = slots.groupBy("doc_id", "item_id").agg((F.count_if(F.col("n") == 1) * 2 >= F.count("*")).alias("agree"))
