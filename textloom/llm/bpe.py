@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 
-ARCS, PIECES = 100_000, 200_000  # arcs and pieces that a worker remembers
+ARCS, PIECES, FAR = 250_000, 300_000, 1 << 60  # arcs and pieces that a worker remembers; no rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,26 +39,31 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.size = {v: len(k) for k, v in ranks.items()}
         self.prefixes = {k[:i] for k in ranks for i in range(1, len(k))}
         self.whole: dict[bytes, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.arcs: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
-        # a state: last settled token, pending bytes, and the token that ends after each pending byte
-        self.states: list[tuple] = [(-1, b"", ())]
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
+        # a state: last settled token, pending bytes, the token that ends after each pending byte, live places
+        self.states: list[tuple] = [(-1, b"", (), (0,))]
         self.number = {self.states[0]: 0}
 
     def by_rank(self, data: bytes) -> list[int]:
         """Plain merging of the few bytes of a token or of two."""
         part = [data[i : i + 1] for i in range(len(data))]
-        while len(part) > 1:
-            low, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)))
-            if low == 1 << 60:
-                break
-            part[i : i + 2] = [part[i] + part[i + 1]]
+        rank = [self.ranks.get(data[i : i + 2], FAR) for i in range(len(data) - 1)]
+        while rank and (low := min(rank)) < FAR:
+            i = rank.index(low)
+            part[i] += part.pop(i + 1)
+            del rank[i]
+            if i:
+                rank[i - 1] = self.ranks.get(part[i - 1] + part[i], FAR)
+            if i < len(rank):
+                rank[i] = self.ranks.get(part[i] + part[i + 1], FAR)
         return [self.ranks[p] for p in part]
 
     def stands(self, token: bytes) -> bool:
@@ -69,51 +75,52 @@ class Transducer:
     def fit(self, a: int, b: int) -> bool:
         if a < 0:
             return True
-        ok = self.fits.get((a, b))
+        ok = self.fits.get(a << 32 | b)
         if ok is None:
             if len(self.fits) > ARCS:
                 self.fits.clear()
-            ok = self.fits[a, b] = self.by_rank(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            ok = self.fits[a << 32 | b] = self.by_rank(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return ok
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        arc = self.arcs.get((state, byte))
-        if arc is not None:
-            return arc
-        base, data, ends = self.states[state]
+        """Makes an arc."""
+        base, data, ends, live = self.states[state]
         data += bytes([byte])
         n = len(data)
-        for i in range(n):  # the token that ends here: one fits
-            t = self.ranks.get(data[i:])
-            if t is not None and self.stands(data[i:]) and (i == 0 or ends[i - 1] >= 0) and self.fit(ends[i - 1] if i else base, t):
+        for i in live:  # the token that ends here: one fits
+            token = data[i:]
+            t = self.ranks.get(token)
+            if t is not None and self.stands(token) and self.fit(ends[i - 1] if i else base, t):
                 break
         else:
             raise ValueError("the ranks lack a byte")
         ends = (*ends, t)
         # places from which a later token may start: the end, and those whose rest begins a token
-        live = [i for i in range(n + 1) if i == n or data[i:] in self.prefixes]
-        paths = []
-        for i in live:
-            path = [i]
-            while path[-1]:
-                path.append(path[-1] - len(self.bytes_of[ends[path[-1] - 1]]))
-            paths.append(path[::-1])
-        shared = 0
-        while all(len(p) > shared for p in paths) and len({p[shared] for p in paths}) == 1:
-            shared += 1
-        done = paths[0][:shared]
-        out = tuple(ends[p - 1] for p in done[1:])
-        at = done[-1]
-        needed = {p for path in paths for p in path}
-        new = (out[-1] if out else base, data[at:], tuple(ends[p - 1] if p in needed else -1 for p in range(at + 1, n + 1)))
+        live = [i for i in live if data[i:] in self.prefixes] + [n]
+        # the last place that all live places' tokens pass: step back from the furthest till they meet
+        size, meet, needed = self.size, live.copy(), set(live)
+        while len(meet) > 1:
+            p = meet.pop()
+            p -= size[ends[p - 1]]
+            if p not in needed or p not in meet:
+                insort(meet, p)
+                needed.add(p)
+        at = p = meet[0]
+        out = []
+        while p:
+            out.append(ends[p - 1])
+            p -= size[ends[p - 1]]
+        out = tuple(out[::-1])
+        base = -1 if live[0] > at else out[-1] if out else base  # no token will start here: its neighbour no longer matters
+        new = (base, data[at:], tuple(ends[p - 1] if p in needed else -1 for p in range(at + 1, n + 1)), tuple(i - at for i in live))
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
-        arc = self.arcs[state, byte] = (self.number[new], out)
+        arc = self.arcs[state << 8 | byte] = (self.number[new], out)
         return arc
 
     def finish(self, state: int) -> list[int]:
-        _, data, ends = self.states[state]
+        _, data, ends, _ = self.states[state]
         out, i = [], len(data)
         while i:
             out.append(ends[i - 1])
@@ -124,15 +131,18 @@ class Transducer:
         if len(self.arcs) > ARCS:
             self.reset()
         state, out = 0, []
-        for k, byte in enumerate(data):
-            if k & 0xFFFF == 0xFFFF and len(self.arcs) > ARCS:  # a very long piece: forget arcs, keep the state
+        for k in range(0, len(data), 0xFFFF):
+            if k and len(self.arcs) > ARCS:  # a very long piece: forget arcs, keep the state
                 here = self.states[state]
                 self.reset()
                 state = self.number.setdefault(here, len(self.states))
                 if state:
                     self.states.append(here)
-            state, emitted = self.step(state, byte)
-            out += emitted
+            arcs = self.arcs
+            for byte in data[k : k + 0xFFFF]:
+                state, emitted = arcs.get(state << 8 | byte) or self.step(state, byte)
+                if emitted:
+                    out += emitted
         return out + self.finish(state)
 
     def encode(self, text: str) -> list[int]:
