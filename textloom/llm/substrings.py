@@ -36,8 +36,8 @@ from .common import cut, texts
 
 LENGTH = 35
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-ROWS = 100_000  # of an emitted frame, about
-BLOCK, SLAB = 1_000_000, 200_000  # bytes, words
+ROWS = 50_000  # of an emitted frame, about
+BLOCK, SLAB = 250_000, 50_000  # bytes, words
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 LETTERS = np.array([[xxhash.xxh3_64_intdigest(bytes([i, k])) for i in range(256)] for k in range(2)], np.uint64)
 
