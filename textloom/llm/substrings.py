@@ -154,7 +154,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def _of_key(rows: DataFrame, keys: DataFrame, key: str, how: str, *more: str) -> DataFrame:
     """Joins on keys that were just grouped, by another expression of them: both sides are then dealt
     anew, so that a hot key's rows can be split among tasks."""
-    return rows.withColumn("dealt", F.bitwise_not(key)).join(keys.withColumn("dealt", F.bitwise_not(key)).drop(key), ["dealt", *more], how).drop("dealt")
+    dealt = lambda df: df.withColumn("dealt", F.bitwise_not(key)).drop(key)
+    return dealt(rows).join(dealt(keys), ["dealt", *more], how).withColumn(key, F.bitwise_not("dealt")).drop("dealt")
 
 
 def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
