@@ -134,3 +134,30 @@ def test_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     assert rows(df) == sorted(con.execute(f"select {','.join(df.columns)} from ({queries.ORACLES[name]})").fetchall())
+
+
+@pytest.mark.parametrize("length", [1, 2, 4, 35])
+def test_substrings_of_spliced_texts(spark, length):
+    """Shared passages begin and end anywhere, lie in several texts and repeat within one."""
+    rng = random.Random(length)
+    base = [rng.choice("abcdefgh") for _ in range(300)]
+    data = [(97, "a " * 100), (97, "a " * 100), (96, "q " * length), (95, "z " * (length - 1)), (94, None)]
+    for d in range(40):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randint(0, 250)
+            words += base[i : i + rng.randint(1, 90)] + [rng.choice("xy") for _ in range(rng.randint(0, 60))]
+        data.append((d, "\t".join(words)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = substrings.drop_repeats(docs, length).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+    assert rows(got) == sorted(brute.substrings(data, length))
+
+
+def test_bpe_keeps_its_state_when_arcs_are_forgotten(monkeypatch):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    monkeypatch.setattr(bpe, "ARCS", 500)
+    ranks = bpe.load_ranks(path)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    text = "".join(rng.choice("wxyzé日") for _ in range(150_000)) + " aaaa" * 9
+    assert bpe.Transducer(ranks, P.PATTERN).encode(text) == e.encode_ordinary(text)
