@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, langid, lines, simhash
+from textloom.llm import bpe, decontaminate, langid, lines, near
 from textloom.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,9 +25,10 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group stays."""
-    groups = simhash.near_groups(docs, width=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(COLUMNS)
+    """The smallest doc_id of each group of 5-word similarity 0.8 or more stays."""
+    rows = docs.withColumn("row", F.monotonically_increasing_id())  # docs are files or a checkpoint: the same again
+    best = near.similar_groups(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
+    return rows.join(best.select("best.row"), "row", "left_semi").select(COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
