@@ -3,9 +3,10 @@
 Numbers, units after numbers and names within sentences become typed placeholders, case and
 punctuation go, and windows of WIDTH template words are hash-joined with those of the
 benchmark.  A document holds an item when at least SHARE of the item's distinct windows occur
-in it and its slots agree: over the matched windows, most benchmark values of a slot stand for
-one document value each, so a question with other numbers or names is caught while a text that
-merely shares a form with shuffled values is not.
+in it and its slots agree at one place: with each item window taken once, at one offset or at
+offsets close to each other, most benchmark values of a slot stand for one document value each,
+so a question with other numbers or names is caught, alone or among its variants, while a text
+that merely shares a form with shuffled values is not.
 
 Null text is empty.  Items with fewer than WIDTH words are one shorter window, items without
 words match nothing.  Repeated rows of a doc_id, or of an item_id, count as one.  Rows with a
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WIDTH, SHARE = 8, 0.8
 BROADCAST_WINDOWS = 500_000  # above this many benchmark windows the join is shuffled
 # Units of measure that turn into a placeholder after a number.
@@ -51,34 +54,53 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     items = items.select("item_id", _plain(_template(F.coalesce("text", F.lit("")))).alias("t"), _plain(_values(F.coalesce("text", F.lit("")))).alias("v")).where("size(t) > 0")
     items = items.withColumn("size", F.least(F.size("t"), F.lit(width)))
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(F.slice("t", i, F.col("size"))).alias("h"), F.slice("t", i, F.col("size")).alias("form"), F.slice("v", i, F.col("size")).alias("held"))))
-    bench = items.select("item_id", "size", at.alias("idx", "x")).select("item_id", "size", "x.h", F.col("x.form").alias("form"), F.col("x.held").alias("held"))
+    bench = items.select("item_id", "size", F.size("t").alias("long"), at.alias("idx", "x")).select("item_id", "size", "long", "idx", "x.h", F.col("x.form").alias("form"), F.col("x.held").alias("held"))
     bench = bench.dropDuplicates(["item_id", "h"])
-    total = bench.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    distinct = bench.select("item_id", "h").distinct()
+    total = distinct.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` values
-    small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    b = F.broadcast(bench.drop("size")) if small else bench.drop("size")
+    small = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    b = F.broadcast(distinct) if small else distinct
     raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = raw.select("doc_id", _plain(_template(F.col("text"))).alias("t"))
     hashed = F.filter(F.concat(*[F.coalesce(_windows(F.col("t"), s), F.array().cast("array<long>")) for s in sizes]), lambda x: x.isNotNull()) if sizes else F.array().cast("array<long>")
     # explode_outer: for explode, the optimizer adds a filter that makes the templates twice
     hits = texts.select("doc_id", F.explode_outer(F.array_distinct(hashed)).alias("h")).join(b, "h")
     enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_matched")).join(F.broadcast(total) if small else total, "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
-    # slots: only pairs that match by form are looked at again
-    slotted = bench.where(F.exists("form", lambda x: x.rlike(SLOTS)))
-    held = enough.join(slotted, "item_id").select("doc_id", "item_id", "h", "form", F.col("held").alias("ours"))
-    wide = raw.join(held.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _plain(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
-    n = F.when(F.size("t") == F.size("v"), F.size("t"))  # null where breaks differ: no windows
-    spot = [F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - s + 1)), lambda i, s=s: F.struct(F.xxhash64(F.slice("t", i, s)).alias("h"), F.slice("v", i, s).alias("theirs")))) for s in sizes]
-    if spot:
-        none = F.array().cast("array<struct<h:bigint,theirs:array<string>>>")
-        theirs = wide.select("doc_id", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in spot])).alias("x")).select("doc_id", "x.h", "x.theirs")
-        pairs = held.join(theirs, ["doc_id", "h"]).select("doc_id", "item_id", F.explode(F.arrays_zip("form", "ours", "theirs")).alias("s")).where(F.col("s.form").rlike(SLOTS)).select("doc_id", "item_id", "s.form", "s.ours", "s.theirs").distinct()
-        slots = pairs.groupBy("doc_id", "item_id", "form", "ours").agg(F.count("*").alias("n"))
-        good = slots.groupBy("doc_id", "item_id").agg((F.count_if(F.col("n") == 1) * 2 >= F.count("*")).alias("agree"))
-        enough = enough.join(good, ["doc_id", "item_id"], "left").where(F.coalesce("agree", F.lit(True)))
+    if sizes:
+        enough = _agreeing(cut(enough), bench, raw, sizes, share)
     return enough.select("doc_id", "item_id", "n_matched", "n_windows")
 
 
+def _agreeing(enough: DataFrame, bench: DataFrame, raw: DataFrame, sizes: list[int], share: float) -> DataFrame:
+    """Pairs that have a place where the slots agree; only pairs that match by form are looked at."""
+    held = enough.join(bench, "item_id").select("doc_id", "item_id", "n_windows", "long", "idx", "h", "form", F.col("held").alias("ours"))
+    wide = raw.join(enough.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), _plain(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
+    n = F.when(F.size("t") == F.size("v"), F.size("t"))  # null where breaks differ: no windows
+    # a lambda of two parameters, defaults too, would get the place in the array as its second
+    window = lambda s: lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i, s)).alias("h"), F.slice("v", i, s).alias("theirs"))
+    spot = [F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - s + 1)), window(s))) for s in sizes]
+    none = F.array().cast("array<struct<pos:int,h:bigint,theirs:array<string>>>")
+    theirs = wide.select("doc_id", "copy", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in spot])).alias("x")).select("doc_id", "copy", "x.*")
+    met = held.join(theirs, ["doc_id", "h"]).withColumn("off", F.col("pos") - F.col("idx"))
+    # places: one offset; offsets that words put in or left out move by less than half an item (two grids); the whole document
+    place = lambda kind, at, copy: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"), copy.alias("copy"))
+    off, long, copy = F.col("off"), F.col("long"), F.col("copy")
+    places = F.array(place(0, off, copy), place(1, F.floor(off / long), copy), place(2, F.floor(off / long + 0.5), copy), place(3, F.lit(0), F.lit(0).cast("long")))
+    met = met.withColumn("place", F.explode(places))
+    key = ["doc_id", "item_id", "place"]
+    # a window of the item counts once in a place: at the offset that holds most of its windows
+    most = met.groupBy(*key, "copy", "off").agg(F.countDistinct("idx").alias("n"))
+    best = F.min_by(F.struct("n_windows", "h", "form", "ours", "theirs"), F.struct(-F.col("n"), "off", "copy"))
+    one = met.join(most, [*key, "copy", "off"]).groupBy(*key, "idx").agg(best.alias("m")).select(*key, "m.*")
+    cover = one.groupBy(*key).agg((F.countDistinct("h") >= share * F.max("n_windows")).alias("covers")).where("covers or place.kind = 3")
+    words = one.select(*key, F.explode(F.arrays_zip("form", "ours", "theirs")).alias("s")).where(F.col("s.form").rlike(SLOTS)).select(*key, "s.form", "s.ours", "s.theirs").distinct()
+    slots = words.groupBy(*key, "form", "ours").agg(F.count("*").alias("n"))
+    good = slots.groupBy(*key).agg((F.count_if(F.col("n") == 1) * 2 >= F.count("*")).alias("agree"))
+    judged = cover.join(good, key, "left").groupBy("doc_id", "item_id").agg(F.bool_or(F.coalesce("agree", F.lit(True))).alias("agree"))
+    return enough.join(judged, ["doc_id", "item_id"], "left").where(F.coalesce("agree", F.lit(True)))
+
+
 def flag_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending), for every document row."""
     found = matches(docs, benchmark, width, share).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
