@@ -25,3 +25,10 @@ def test_shuffled_values_are_not_an_item(spark):
     assert flagged(spark, item, [item, item.replace("9", "4"), "first 1 then 2 then 3 then 4 then 5 then 6 then 7 then 8 are written on the board"]) == [True, True, False]
     far = "on the old board behind the desk in a room at the end of the floor one can read that "
     assert flagged(spark, far + item, [far + item, far + "first 1 then 2 then 3 then 4 then 5 then 6 then 7 then 8 are written on the board"]) == [True, False]
+
+
+def test_item_that_repeats_its_windows(spark):
+    series = "Find the next number in the series 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024 and explain the rule."
+    assert flagged(spark, series, [series, f"As before. {series} And again: {series.replace('2, 4', '3, 9')}"]) == [True, True]
+    table = "row " + " and ".join(f"{i} then {i * i}" for i in range(3, 30)) + " end"
+    assert flagged(spark, table, [table, table.replace("3 then 9", "4 then 4")]) == [True, True]

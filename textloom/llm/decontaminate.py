@@ -55,7 +55,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     items = items.withColumn("size", F.least(F.size("t"), F.lit(width)))
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(F.slice("t", i, F.col("size"))).alias("h"), F.slice("t", i, F.col("size")).alias("form"), F.slice("v", i, F.col("size")).alias("held"))))
     bench = items.select("item_id", "size", F.size("t").alias("long"), at.alias("idx", "x")).select("item_id", "size", "long", "idx", "x.h", F.col("x.form").alias("form"), F.col("x.held").alias("held"))
-    bench = bench.dropDuplicates(["item_id", "h"])
     distinct = bench.select("item_id", "h").distinct()
     total = distinct.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` values
