@@ -32,3 +32,12 @@ def test_item_that_repeats_its_windows(spark):
     assert flagged(spark, series, [series, f"As before. {series} And again: {series.replace('2, 4', '3, 9')}"]) == [True, True]
     table = "row " + " and ".join(f"{i} then {i * i}" for i in range(3, 30)) + " end"
     assert flagged(spark, table, [table, table.replace("3 then 9", "4 then 4")]) == [True, True]
+
+
+def test_names_that_open_sentences_and_joined_units(spark):
+    item = "Tom has 12 apples. Anna has 3 times as many apples as Tom and gives half of them to a friend"
+    other = item.replace("Tom", "Bob").replace("Anna", "Mary").replace("12", "40")
+    assert flagged(spark, item, [other, item.lower(), item, f"sheet: {item}", item.upper()]) == [True] * 5
+    item = "the bag of rice of 5kg is carried up the hill by two men who take turns until they come to the village square"
+    assert flagged(spark, item, [item.replace("5kg", "8kg"), item.replace("5kg", "8 kg"), "T" + item[1:], item]) == [True] * 4
+    assert flagged(spark, "the short item has just eight words here", ["The short item has just eight words here"]) == [True]

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Numbers, units after numbers and names within sentences become typed placeholders, case and
-punctuation go, and windows of WIDTH template words are hash-joined with those of the
+Numbers, units after or joined to numbers and capitalised words become typed placeholders, case
+and punctuation go, items are also met without their capitals, and windows of WIDTH template words are hash-joined with those of the
 benchmark.  A document holds an item when at least SHARE of the item's distinct windows occur
 in it and its slots agree at one place: with each item window taken once, at one offset or at
 offsets close to each other, most benchmark values of a slot stand for one document value each,
@@ -32,15 +32,20 @@ def _plain(c):
     return F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]+", "")), r"\s+"), lambda x: x != "")
 
 
+def _apart(c):
+    """Units joined to their number are words of their own."""
+    return F.regexp_replace(c, rf"(?<=\p{{N}})(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", " ")
+
+
 def _template(c):
-    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}.,])\p{N}[\p{N}.,]*(?![\p{L}\p{N}])", "xnumx ")
+    c = F.regexp_replace(_apart(c), r"(?<![\p{L}\p{N}.,])\p{N}[\p{N}.,]*(?![\p{L}\p{N}])", "xnumx ")
     c = F.regexp_replace(c, rf"xnumx\s+(?:{UNITS})(?![\p{{L}}\p{{N}}])", "xnumx xunitx")
-    return F.regexp_replace(c, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "xnamex")
+    return F.regexp_replace(c, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "xnamex")
 
 
 def _values(c):
     """The same words with the same breaks, values kept."""
-    return F.regexp_replace(c, r"(?<![\p{L}\p{N}.,])(\p{N}[\p{N}.,]*)(?![\p{L}\p{N}])", "$1 ")
+    return F.regexp_replace(_apart(c), r"(?<![\p{L}\p{N}.,])(\p{N}[\p{N}.,]*)(?![\p{L}\p{N}])", "$1 ")
 
 
 def _windows(words, width):
@@ -51,12 +56,15 @@ def _windows(words, width):
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows of the items that documents hold."""
     items = benchmark.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    items = items.select("item_id", _plain(_template(F.coalesce("text", F.lit("")))).alias("t"), _plain(_values(F.coalesce("text", F.lit("")))).alias("v")).where("size(t) > 0")
+    items = items.select("item_id", _plain(_template(F.coalesce("text", F.lit("")))).alias("t"), _plain(_template(F.lower(F.coalesce("text", F.lit(""))))).alias("low"), _plain(_values(F.coalesce("text", F.lit("")))).alias("v")).where("size(t) > 0")
     items = items.withColumn("size", F.least(F.size("t"), F.lit(width)))
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(F.slice("t", i, F.col("size"))).alias("h"), F.slice("t", i, F.col("size")).alias("form"), F.slice("v", i, F.col("size")).alias("held"))))
-    bench = items.select("item_id", "size", F.size("t").alias("long"), at.alias("idx", "x")).select("item_id", "size", "long", "idx", "x.h", F.col("x.form").alias("form"), F.col("x.held").alias("held"))
-    distinct = bench.select("item_id", "h").distinct()
-    total = distinct.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    # an item window meets documents in three forms: its own, without capitals, and its first word with one
+    cutout = lambda c, i: F.slice(c, i, F.col("size"))
+    first = lambda i: F.when(i == 1, F.concat(F.array(F.lit("xnamex")), F.slice("t", 2, F.col("size") - 1))).otherwise(cutout("t", i))
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(cutout("t", i)).alias("own"), F.array_distinct(F.array(cutout("t", i), cutout("low", i), first(i))).alias("forms"), cutout("v", i).alias("held"))))
+    bench = items.select("item_id", "size", F.size("t").alias("long"), at.alias("idx", "x")).select("item_id", "size", "long", "idx", "x.own", "x.held", F.explode("x.forms").alias("form")).withColumn("h", F.xxhash64("form"))
+    distinct = bench.select("item_id", "own", "h").distinct()
+    total = distinct.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` values
     small = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     b = F.broadcast(distinct) if small else distinct
@@ -65,7 +73,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     hashed = F.filter(F.concat(*[F.coalesce(_windows(F.col("t"), s), F.array().cast("array<long>")) for s in sizes]), lambda x: x.isNotNull()) if sizes else F.array().cast("array<long>")
     # explode_outer: for explode, the optimizer adds a filter that makes the templates twice
     hits = texts.select("doc_id", F.explode_outer(F.array_distinct(hashed)).alias("h")).join(b, "h")
-    enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_matched")).join(F.broadcast(total) if small else total, "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
+    enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("own").alias("n_matched")).join(F.broadcast(total) if small else total, "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
     if sizes:
         enough = _agreeing(cut(enough), bench, raw, sizes, share)
     return enough.select("doc_id", "item_id", "n_matched", "n_windows")
@@ -73,7 +81,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
 
 def _agreeing(enough: DataFrame, bench: DataFrame, raw: DataFrame, sizes: list[int], share: float) -> DataFrame:
     """Pairs that have a place where the slots agree; only pairs that match by form are looked at."""
-    held = enough.join(bench, "item_id").select("doc_id", "item_id", "n_windows", "long", "idx", "h", "form", F.col("held").alias("ours"))
+    held = enough.join(bench, "item_id").select("doc_id", "item_id", "n_windows", "long", "idx", "own", "h", "form", F.col("held").alias("ours"))
     wide = raw.join(enough.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), _plain(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
     n = F.when(F.size("t") == F.size("v"), F.size("t"))  # null where breaks differ: no windows
     # a lambda of two parameters, defaults too, would get the place in the array as its second
@@ -90,9 +98,9 @@ def _agreeing(enough: DataFrame, bench: DataFrame, raw: DataFrame, sizes: list[i
     key = ["doc_id", "item_id", "place"]
     # a window of the item counts once in a place: at the offset that holds most of its windows
     most = met.groupBy(*key, "copy", "off").agg(F.countDistinct("idx").alias("n"))
-    best = F.min_by(F.struct("n_windows", "h", "form", "ours", "theirs"), F.struct(-F.col("n"), "off", "copy"))
+    best = F.min_by(F.struct("n_windows", "own", "form", "ours", "theirs"), F.struct(-F.col("n"), "off", "copy"))
     one = met.join(most, [*key, "copy", "off"]).groupBy(*key, "idx").agg(best.alias("m")).select(*key, "m.*")
-    cover = one.groupBy(*key).agg((F.countDistinct("h") >= share * F.max("n_windows")).alias("covers")).where("covers or place.kind = 3")
+    cover = one.groupBy(*key).agg((F.countDistinct("own") >= share * F.max("n_windows")).alias("covers")).where("covers or place.kind = 3")
     words = one.select(*key, F.explode(F.arrays_zip("form", "ours", "theirs")).alias("s")).where(F.col("s.form").rlike(SLOTS)).select(*key, "s.form", "s.ours", "s.theirs").distinct()
     slots = words.groupBy(*key, "form", "ours").agg(F.count("*").alias("n"))
     good = slots.groupBy(*key).agg((F.count_if(F.col("n") == 1) * 2 >= F.count("*")).alias("agree"))
