@@ -12,29 +12,42 @@ from textloom.llm.common import cut, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, which judges rows in place of a doc_id that may be null or repeat.
+
+    Stages read docs from files or a checkpoint, so rows get the same keys each time."""
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language has less than half the probability."""
-    said = langid.predict(docs, langid.train(docs)).where("lang_pred = 'und' or score < 0.5").select("doc_id").distinct()
-    return docs.join(said, "doc_id", "left_anti").select(COLUMNS)
+    """Rejects rows without a letter and those whose language has less than half the probability."""
+    rows = numbered(docs)
+    said = langid.predict(by_row(rows), langid.train(docs)).where("lang_pred = 'und' or score < 0.5").select(F.col("doc_id").alias("row"))
+    return rows.join(said, "row", "left_anti").select(COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that an earlier document holds; the other columns stay."""
-    new = lines.dedup_lines(docs).select("doc_id", F.col("kept").alias("text"))
-    return docs.select("doc_id", "lang", "source").join(new, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Texts lose the lines that a smaller doc_id holds; the other columns stay, and every row."""
+    new = lines.dedup_lines(docs, carry=["lang", "source"]).withColumnRenamed("kept", "text")
+    return new.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of 5-word similarity 0.8 or more stays."""
-    rows = docs.withColumn("row", F.monotonically_increasing_id())  # docs are files or a checkpoint: the same again
+    rows = numbered(docs)
     best = near.similar_groups(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
     return rows.join(best.select("best.row"), "row", "left_semi").select(COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    """Rows that hold a benchmark item go."""
+    rows = numbered(docs)
+    leaks = decontaminate.matches(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(leaks, "row", "left_anti").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

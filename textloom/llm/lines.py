@@ -125,7 +125,7 @@ def _runs(b: pd.DataFrame):
             yield i, j
 
 
-def _strip(batches: Iterator[pd.DataFrame], low: int) -> Iterator[pd.DataFrame]:
+def _strip(batches: Iterator[pd.DataFrame], low: int, carry: list[str]) -> Iterator[pd.DataFrame]:
     table = str.maketrans(UPPER, LOWER)
     for b in batches:
         out = []
@@ -138,12 +138,12 @@ def _strip(batches: Iterator[pd.DataFrame], low: int) -> Iterator[pd.DataFrame]:
             else:
                 kept = lines
             out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
-        yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), "n_lines": [x[1] for x in out], "n_dropped": [x[2] for x in out], "kept": [x[3] for x in out]})
+        yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), "n_lines": [x[1] for x in out], "n_dropped": [x[2] for x in out], "kept": [x[3] for x in out], **{c: b[c] for c in carry}})
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept: the text without lines that a smaller doc_id holds too."""
-    spark, base = docs.sparkSession, texts(docs)
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept, and columns to carry: the text without lines that a smaller doc_id holds too."""
+    spark, base, carry = docs.sparkSession, texts(docs), carry or []
     keys = F.transform(F.split("text", "\n", -1), lambda x: F.translate(F.btrim(x, F.lit(WS)), UPPER, LOWER))
     md5s = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), F.md5))
     num = lambda a: F.conv(F.substring("m", a, 16), 16, -10).cast("long")
@@ -162,5 +162,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     drops = one.union(two).repartition(parts(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(_probe, "doc_id long, h long, g long")
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
     per_doc = drops.groupBy("doc_id").agg(F.collect_set(F.unhex(F.concat(hexed("h"), hexed("g")))).alias("drops"))
-    joined = base.join(per_doc, "doc_id", "left")
-    return joined.mapInPandas(lambda it: _strip(it, min_chars), "doc_id long, n_lines long, n_dropped long, kept string")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c) for c in carry])
+    joined = whole.join(per_doc, "doc_id", "left")
+    kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInPandas(lambda it: _strip(it, min_chars, carry), f"doc_id long, n_lines long, n_dropped long, kept string{kinds}")
