@@ -161,3 +161,25 @@ def test_bpe_keeps_its_state_when_arcs_are_forgotten(monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choice("wxyzé日") for _ in range(150_000)) + " aaaa" * 9
     assert bpe.Transducer(ranks, P.PATTERN).encode(text) == e.encode_ordinary(text)
+
+
+def test_bpe_query_digests_and_empty_table(spark, docs, tmp_path):
+    import hashlib
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs.union(docs.limit(0)).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, t in odd_rows():
+        ids = e.encode_ordinary(t or "")
+        want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), brute.sha(t or "")))
+    assert rows(queries.op5_bpe(spark, str(tmp_path))) == sorted(want)
+    assert bpe.encode_documents(docs.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_utf8_machine_carries_open_characters():
+    data = ("aß日🙂" * 50).encode() + b"\xff\xe6\x97" + "é".encode()
+    for size in (1, 2, 3, 5, 7):
+        m = bpe.Utf8()
+        got = "".join(m.feed(data[i : i + size]) for i in range(0, len(data), size)) + m.feed(b"", True)
+        assert got == data.decode("utf-8", "replace"), size

@@ -2,23 +2,27 @@
 
 After any prefix of a piece, each earlier place that a longer token may still span is live, and
 every prefix has one valid tokenisation, known by its last token.  A state is the settled last
-token, the bytes since then and the last token at each later place; reading a byte finds the
-token that ends there and fits its predecessor, and emits those tokens that all live places
-share.  Lookahead is bounded by the longest token.  States and arcs are made when first met.
+token and, for each live place, its node in the trie of tokens and the tokens between the settled
+end and it; reading a byte finds the token that ends there and fits its predecessor, and emits
+those tokens that all live places share.  Lookahead is bounded by the longest token.  States and
+arcs are made when first met.
+
+Two tokens may stand side by side if, when their own merges are replayed together by rank, no
+merge across their border comes first.
 
-Whether two tokens may stand side by side is decided by merging their joint bytes by rank.
 Null text is empty and gives no ids; repeated rows, ties and empty tables need nothing special;
-texts of any length are encoded whole, piece by piece.
+a null doc_id stays null; other columns are never read; texts of any length are encoded whole,
+piece by piece.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
+import gc
 import hashlib
-from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .common import texts
 
-ARCS, PIECES, FAR = 250_000, 300_000, 1 << 60  # arcs and pieces that a worker remembers; no rank
+ARCS, PIECES, FAR = 500_000, 400_000, 1 << 60  # arcs and (twice) pieces that a worker remembers; no rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,98 +39,138 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Utf8:
+    """Reads bytes as they come: characters that a chunk leaves open are carried to the next."""
+
+    def __init__(self) -> None:
+        self.carry = b""
+
+    def feed(self, data: bytes, final: bool = False) -> str:
+        data, self.carry = self.carry + data, b""
+        if not final:
+            for back in range(1, min(3, len(data)) + 1):
+                lead = data[-back]
+                if lead >= 0xC0:  # opens a character of 2 to 4 bytes
+                    if back < 2 + (lead >= 0xE0) + (lead >= 0xF0):
+                        data, self.carry = data[:-back], data[-back:]
+                    break
+                if lead < 0x80:
+                    break
+        return data.decode("utf-8", "replace")
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.size = {v: len(k) for k, v in ranks.items()}
-        self.prefixes = {k[:i] for k in ranks for i in range(1, len(k))}
-        self.whole: dict[bytes, bool] = {}
+        self.trie: dict[int, int] = {}  # by node * 256 + byte
+        self.token_at: dict[int, int] = {}
+        self.inner: set[int] = set()
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner.add(node)
+                node = self.trie.setdefault(node << 8 | byte, len(self.trie) + 1)
+            self.token_at[node] = rank
+        self.replays: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.reset()
 
     def reset(self) -> None:
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
-        # a state: last settled token, pending bytes, the token that ends after each pending byte, live places
-        self.states: list[tuple] = [(-1, b"", (), (0,))]
+        self.states: list[tuple] = [(-1, ((0, ()),))]  # last settled token; node and open tokens of each live place
         self.number = {self.states[0]: 0}
 
-    def by_rank(self, data: bytes) -> list[int]:
-        """Plain merging of the few bytes of a token or of two."""
+    def replay(self, t: int) -> tuple | None:
+        """A token's own merges in order: ranks, and the first and last part after each; None if they make another."""
+        if t in self.replays:
+            return self.replays[t]
+        data = self.bytes_of[t]
         part = [data[i : i + 1] for i in range(len(data))]
-        rank = [self.ranks.get(data[i : i + 2], FAR) for i in range(len(data) - 1)]
-        while rank and (low := min(rank)) < FAR:
+        ranks, firsts, lasts = [], [part[0]], [part[-1]]
+        while len(part) > 1:
+            rank = [self.ranks.get(x + y, FAR) for x, y in zip(part, part[1:], strict=False)]
+            low = min(rank)
+            if low == FAR:
+                break
             i = rank.index(low)
-            part[i] += part.pop(i + 1)
-            del rank[i]
-            if i:
-                rank[i - 1] = self.ranks.get(part[i - 1] + part[i], FAR)
-            if i < len(rank):
-                rank[i] = self.ranks.get(part[i] + part[i + 1], FAR)
-        return [self.ranks[p] for p in part]
-
-    def stands(self, token: bytes) -> bool:
-        ok = self.whole.get(token)
-        if ok is None:
-            ok = self.whole[token] = self.by_rank(token) == [self.ranks[token]]
-        return ok
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            ranks.append(low)
+            firsts.append(part[0])
+            lasts.append(part[-1])
+        got = self.replays[t] = ((*ranks, FAR), tuple(firsts), tuple(lasts)) if len(part) == 1 else None
+        return got
 
     def fit(self, a: int, b: int) -> bool:
-        if a < 0:
-            return True
+        """Whether b may follow a, or begin a piece (a is -1)."""
+        right = self.replay(b)
+        if right is None or a < 0:
+            return right is not None
         ok = self.fits.get(a << 32 | b)
-        if ok is None:
-            if len(self.fits) > ARCS:
-                self.fits.clear()
-            ok = self.fits[a << 32 | b] = self.by_rank(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if ok is not None:
+            return ok
+        ranks_a, _, lasts = self.replay(a)
+        ranks_b, firsts, _ = right
+        i = j = 0
+        while True:
+            across, low_a, low_b = self.ranks.get(lasts[i] + firsts[j], FAR), ranks_a[i], ranks_b[j]
+            if across < low_a and across <= low_b:  # of equal ranks the leftmost pair is merged first
+                ok = False
+                break
+            if low_a == low_b == FAR:
+                ok = True
+                break
+            if low_a <= low_b:
+                i += 1
+            else:
+                j += 1
+        if len(self.fits) > ARCS:
+            self.fits.clear()
+        self.fits[a << 32 | b] = ok
         return ok
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Makes an arc."""
-        base, data, ends, live = self.states[state]
-        data += bytes([byte])
-        n = len(data)
-        for i in live:  # the token that ends here: one fits
-            token = data[i:]
-            t = self.ranks.get(token)
-            if t is not None and self.stands(token) and self.fit(ends[i - 1] if i else base, t):
-                break
-        else:
+        base, places = self.states[state]
+        trie, inner, new, found = self.trie, self.inner, [], None
+        for node, held in places:
+            node = trie.get(node << 8 | byte)
+            if node is None:
+                continue
+            if found is None:  # the token that ends here: one fits
+                t = self.token_at.get(node)
+                if t is not None and self.fit(held[-1] if held else base, t):
+                    found = (*held, t)
+            if node in inner:
+                new.append((node, held))
+        if found is None:
             raise ValueError("the ranks lack a byte")
-        ends = (*ends, t)
-        # places from which a later token may start: the end, and those whose rest begins a token
-        live = [i for i in live if data[i:] in self.prefixes] + [n]
-        # the last place that all live places' tokens pass: step back from the furthest till they meet
-        size, meet, needed = self.size, live.copy(), set(live)
-        while len(meet) > 1:
-            p = meet.pop()
-            p -= size[ends[p - 1]]
-            if p not in needed or p not in meet:
-                insort(meet, p)
-                needed.add(p)
-        at = p = meet[0]
-        out = []
-        while p:
-            out.append(ends[p - 1])
-            p -= size[ends[p - 1]]
-        out = tuple(out[::-1])
-        base = -1 if live[0] > at else out[-1] if out else base  # no token will start here: its neighbour no longer matters
-        new = (base, data[at:], tuple(ends[p - 1] if p in needed else -1 for p in range(at + 1, n + 1)), tuple(i - at for i in live))
-        if new not in self.number:
-            self.number[new] = len(self.states)
-            self.states.append(new)
-        arc = self.arcs[state << 8 | byte] = (self.number[new], out)
+        new.append((0, found))
+        out = ()
+        if len(new) == 1:
+            out, new, base = found, [(0, ())], found[-1]
+        else:
+            held = [x[1] for x in new]
+            low, high, n = min(held), max(held), 0
+            for x, y in zip(low, high, strict=False):
+                if x != y:
+                    break
+                n += 1
+            if n:
+                out, new = low[:n], [(node, x[n:]) for node, x in new]
+                base = out[-1]
+            if len(low) > n:  # no token will start at the settled end: what stands before it no longer matters
+                base = -1
+        key = (base, tuple(new))
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.states)
+            self.states.append(key)
+        arc = self.arcs[state << 8 | byte] = (number, out)
         return arc
 
-    def finish(self, state: int) -> list[int]:
-        _, data, ends, _ = self.states[state]
-        out, i = [], len(data)
-        while i:
-            out.append(ends[i - 1])
-            i -= len(self.bytes_of[ends[i - 1]])
-        return out[::-1]
-
     def run(self, data: bytes) -> list[int]:
         if len(self.arcs) > ARCS:
             self.reset()
@@ -143,28 +187,32 @@ class Transducer:
                 state, emitted = arcs.get(state << 8 | byte) or self.step(state, byte)
                 if emitted:
                     out += emitted
-        return out + self.finish(state)
+        out += self.states[state][1][-1][1]  # the place at the end of the piece is the last
+        return out
 
     def encode(self, text: str) -> list[int]:
         out, pieces = [], self.pieces
         for p in self.pattern.findall(text):
             ids = pieces.get(p)
             if ids is None:
-                data = p.encode("utf-8")
-                t = self.ranks.get(data)  # a piece that is a token is that token
-                ids = (t,) if t is not None else tuple(self.run(data))
-                if len(pieces) > PIECES:
-                    pieces.clear()
+                ids = self.older.get(p)
+                if ids is None:
+                    data = p.encode("utf-8")
+                    t = self.ranks.get(data)  # a piece that is a token is that token
+                    ids = (t,) if t is not None else tuple(self.run(data))
+                if len(pieces) >= PIECES:
+                    self.older = pieces
+                    pieces = self.pieces = {}
                 pieces[p] = ids
             out += ids
         return out
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes whole: the decoder's state carries characters that tokens cut."""
-        machine, ids = codecs.getincrementaldecoder("utf-8")(errors="replace"), list(ids)
-        for i in range(0, len(ids), 4096):
-            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, ids[i : i + 4096])))
-        yield machine.decode(b"", final=True)
+        """Text as it becomes whole: the machine's state carries characters that tokens cut."""
+        machine, ids = Utf8(), iter(ids)
+        while some := b"".join(map(self.bytes_of.__getitem__, islice(ids, 4096))):
+            yield machine.feed(some)
+        yield machine.feed(b"", final=True)
 
 
 @lru_cache(2)
@@ -179,6 +227,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = T
         fst = _transducer(path, pattern)
         names = np.array([str(i) for i in range(max(fst.bytes_of) + 1)], object) if digests else None
         for b in batches:
+            gc.freeze()  # states and pieces hold no cycles: do not scan them again
             out = []
             for text in b.text:
                 ids = fst.encode(text)
