@@ -86,10 +86,10 @@ def secrets(rows):
 
 
 def top_k(rows, k=5):
-    ok = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in ok:
+    for a, (q, x) in enumerate(ok):
         if q % 50 == 0:
-            best = sorted((-int(ok[q] @ v), i) for i, v in ok.items() if i != q)[:k]
+            best = sorted((-sum(s * t for s, t in zip(x, y, strict=False)), i) for b, (i, y) in enumerate(ok) if a != b)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out

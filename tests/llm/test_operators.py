@@ -183,3 +183,56 @@ def test_utf8_machine_carries_open_characters():
         m = bpe.Utf8()
         got = "".join(m.feed(data[i : i + size]) for i in range(0, len(data), size)) + m.feed(b"", True)
         assert got == data.decode("utf-8", "replace"), size
+
+
+@pytest.mark.parametrize("length", [2, 35])
+def test_substrings_of_hot_grams_take_the_exact_way(spark, monkeypatch, length):
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    data = [(d, " ".join([f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 50))] + passage[: rng.randint(0, 60)] + [f"y{rng.randint(0, 9)}" for _ in range(rng.randint(0, 50))])) for d in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(brute.substrings(data, length))
+    for hot, shard in ((1, 3), (4, 1), (2000, 5)):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        monkeypatch.setattr(substrings, "SHARD", shard)
+        got = substrings.drop_repeats(docs, length).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
+        assert rows(got) == want
+
+
+def test_substrings_of_long_words_that_collide_in_polynomials(spark):
+    """Two words of 1,024 letters whose polynomials modulo 2^64 agree are not one word."""
+    turn = "a"
+    for _ in range(10):
+        turn += turn.translate(str.maketrans("ab", "ba"))
+    other, common = turn.translate(str.maketrans("ab", "ba")), " ".join(f"w{i}" for i in range(34))
+    data = [(1, f"{common} {turn}"), (2, f"{common} {other}")]
+    got = substrings.drop_repeats(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(1, 0), (2, 0)]
+
+
+def test_automaton_statistics_against_plain_search():
+    rng = random.Random(2)
+    runs = [[rng.randint(0, 2) for _ in range(rng.randint(1, 25))] for _ in range(30)]
+    m = substrings.Automaton()
+    for r in runs:
+        m.add(r, 1)
+    m.close()
+    times = lambda x: sum(r[i : i + len(x)] == x for r in runs for i in range(len(r)))
+    for q in [*runs[:10], [rng.randint(0, 3) for _ in range(60)]]:
+        want = [max(n for n in range(i + 1) if n == 0 or times(q[i - n : i]) > 1) for i in range(1, len(q) + 1)]
+        assert m.statistics(q) == want
+
+
+def test_top_k_rows_lengths_ties_and_groups(spark, monkeypatch):
+    """Repeated rows of one vec_id stay rows, lengths may differ, ties go to the smaller vec_id; also over many groups and blocks."""
+    rng = random.Random(1)
+    data = [(0, [1.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (1, [0.5, 0.0], "x"), (2, [0.2, 0.1], "x")]
+    vectors = lambda d: spark.createDataFrame(d, "vec_id long, embedding array<double>, score string")
+    assert rows(topk.top_k(vectors(data))) == [(0, 1, 1, 65536), (0, 2, 1, 32768), (0, 3, 2, 13056)]
+    same = [0.25, -0.5, 0.75, 0.125]
+    data = [(i % 130, [rng.choice([-1.0, -0.5, 0.25, 0.5, 2.0]) for _ in range(rng.choice([0, 2, 4, 4, 4]))], "x") for i in range(200)] + [(200 + i, same, "x") for i in range(100)] + [(None, same, "x"), (50, None, "x")]
+    want = sorted(brute.top_k([d[:2] for d in data]))
+    assert rows(topk.top_k(vectors(data))) == want
+    for name, n in (("GROUP", 16), ("QUERIES", 2), ("BLOCK", 4), ("HEAD", 1)):
+        monkeypatch.setattr(topk, name, n)
+    assert rows(topk.top_k(vectors(data))) == want

@@ -74,10 +74,10 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from m group by doc_id""",
     "op7_top_k": """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
-           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-     s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-           from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
-     r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select q.r, q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) as bigint) as score
+           from v q, v c where q.vec_id % 50 = 0 and c.r <> q.r),
+     r as (select *, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5""",
 }

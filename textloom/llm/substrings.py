@@ -1,24 +1,32 @@
-"""Substring dedup: exact removal of words covered by windows that occur more than once.
-
-Winnowing bounds the work.  Every window of `length` words names its smallest gram of
-`length // 2 + 1` words, the leftmost if equal; so equal windows name equal grams at the same
-place.  Consecutive windows that name one gram make a stretch, about one for ten words, and
-stretches, not windows, are shuffled:
-
-1. Grams are counted with a map-side combine; stretches of grams found once go.
-2. Stretches are counted by gram and hash of their words.  One found twice has every window
-   repeated.
-3. Only where one gram has several different stretches are windows looked at singly: each
-   stretch found once, and one of those found more often, emits its windows, and a window of
-   two different stretches is repeated.
+"""Substring dedup by suffix automata of reference shards: exact removal of repeated spans of words.
+
+A span of `length` or more words that occurs more than once goes.  Reference shards hold the
+text that may repeat, a suffix automaton of each shard knows how often every run of its words
+occurs, and texts are streamed through it for matching statistics: at each word the longest run
+ending there that occurs twice or more.  Runs of `length` or more are the spans that go.
+
+So that no text need meet every shard, text is dealt to shards by content:
+
+1. Every window of `length` words names its smallest gram of `length // 2 + 1` words, the
+   leftmost if equal, so equal windows name equal grams.  Consecutive windows of one name make a
+   stretch, about one for ten words.  Grams are counted with a map-side combine; stretches of
+   grams found once go.
+2. Equal stretches of one gram become one reference with a count.  The shards are dealt by gram,
+   so all places of a window are in one shard, and counts there are counts in the corpus.
+3. Each shard's automaton is made in the task that its references are sent to, and those are
+   streamed through it; the spans found come back to every text that has the stretch.
+4. A gram with more than HOT different stretches (a common passage in ever other surroundings)
+   would outgrow a shard.  Its windows are dealt singly, by hash: the exact way for the rest.
 
 Counts are of every row, so windows are judged on the input and a text's own repeats count.
-Keys are 64 bits of the gram with 64 of the stretch or window.
+Texts, stretches and windows are known by 128 bits of hash, words by 64.
 
-This is not the broadcast suffix automaton of reference shards: see the README.
+Automata are not broadcast: together they grow with the repeated text, which has no bound.  They
+go to tasks by shuffle, in shards of about SHARD references.
 
 Null text has no words.  A repeated row is one more document with the same words.  Rows with
-a null doc_id take part.  Texts shorter than a window lose nothing.
+a null doc_id take part.  Texts shorter than a window lose nothing; very long ones are read in
+whole.  An empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,11 +40,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, parts, texts
 
 LENGTH = 35
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 ROWS = 50_000  # of an emitted frame, about
+SHARD, HOT = 1_500, 2_000  # references of a shard, about; different stretches of a gram that a shard takes
+LONG = 64  # bytes of a word from which its letters' polynomial could be made to collide
 BLOCK, SLAB = 250_000, 50_000  # bytes, words
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 LETTERS = np.array([[xxhash.xxh3_64_intdigest(bytes([i, k])) for i in range(256)] for k in range(2)], np.uint64)
@@ -88,9 +98,89 @@ class Words:
         for i in range(0, len(out), SLAB):
             s, e = self.starts[i : i + SLAB], self.ends[i : i + SLAB]
             out[i : i + SLAB] = Rolling(LETTERS[k][self.data[s[0] : e[-1]]], BASES[k]).of(s - s[0], e - s[0])
+        for i in np.flatnonzero(self.ends - self.starts >= LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), seed=k)
+        return out
+
+
+class Automaton:
+    """Suffix automaton of many runs of words, each with a weight."""
+
+    def __init__(self) -> None:
+        self.next: list[dict[int, int]] = [{}]
+        self.size, self.link, self.weight = [0], [-1], [0]
+        self.twice: list[int] = []
+
+    def _state(self, after: dict[int, int], size: int, link: int) -> int:
+        self.next.append(after)
+        self.size.append(size)
+        self.link.append(link)
+        self.weight.append(0)
+        return len(self.size) - 1
+
+    def _split(self, p: int, w: int, q: int) -> int:
+        """A state for the shorter runs of q, those that p reaches."""
+        half = self._state(self.next[q].copy(), self.size[p] + 1, self.link[q])
+        self.link[q] = half
+        while p >= 0 and self.next[p].get(w) == q:
+            self.next[p][w] = half
+            p = self.link[p]
+        return half
+
+    def add(self, words: list[int], weight: int) -> None:
+        follow, size, link, v = self.next, self.size, self.link, 0
+        for w in words:
+            q = follow[v].get(w)
+            if q is not None:
+                v = q if size[q] == size[v] + 1 else self._split(v, w, q)
+            else:
+                new, p = self._state({}, size[v] + 1, 0), v
+                while p >= 0 and w not in follow[p]:
+                    follow[p][w] = new
+                    p = link[p]
+                if p >= 0:
+                    q = follow[p][w]
+                    link[new] = q if size[q] == size[p] + 1 else self._split(p, w, q)
+                v = new
+            self.weight[v] += weight
+
+    def close(self) -> None:
+        """Sums the weights up to shorter runs; then names of each state the longest run within it found twice."""
+        order = np.argsort(self.size, kind="stable").tolist()
+        for v in reversed(order[1:]):
+            self.weight[self.link[v]] += self.weight[v]
+        self.twice = [0] * len(order)
+        for v in order[1:]:
+            self.twice[v] = v if self.weight[v] > 1 else self.twice[self.link[v]]
+
+    def statistics(self, words: list[int]) -> list[int]:
+        """After each word: the length of the longest run ending there that was added twice or more."""
+        follow, size, link, twice, out, v, n = self.next, self.size, self.link, self.twice, [], 0, 0
+        for w in words:
+            q = follow[v].get(w)
+            while q is None and v:
+                v = link[v]
+                n = size[v]
+                q = follow[v].get(w)
+            if q is not None:
+                v, n = q, n + 1
+            t = twice[v]
+            out.append(n if t == v else size[t])
         return out
 
 
+def spans(statistics: list[int], length: int) -> list[tuple[int, int]]:
+    """Maximal runs of words (first, end) that matches of `length` or more cover."""
+    out: list[tuple[int, int]] = []
+    for i, n in enumerate(statistics, 1):
+        if n >= length:
+            lo = i - n
+            while out and out[-1][1] >= lo:
+                lo = min(lo, out.pop()[0])
+            out.append((lo, i))
+    return out
+
+
 def stretches(held: list[bytes], length: int, whole: bool = True) -> dict[str, np.ndarray]:
     """Of each stretch: gram hash h and, if whole, hash of its words c, its text's place, first and last window."""
     words, gram = Words(held), length // 2 + 1
@@ -158,8 +248,8 @@ def _of_key(rows: DataFrame, keys: DataFrame, key: str, how: str, *more: str) ->
     return dealt(rows).join(dealt(keys), ["dealt", *more], how).withColumn(key, F.bitwise_not("dealt")).drop("dealt")
 
 
-def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """t1, t2 (hash of a text) and spots: its stretches (lo, hi, h, c, whole, emit) of repeated grams."""
+def found_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """t1, t2 (hash of a text), doc_id, and its stretches (h, c, lo, hi) of repeated grams, one in a row."""
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _frames((stretches(held, length, whole=False) for b in batches for _, held in blocks(b.text.tolist())), "h")
@@ -167,44 +257,99 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             for b in batches:
-                t1, t2 = b.t1.to_numpy(), b.t2.to_numpy()
+                t1, t2, doc = b.t1.to_numpy(), b.t2.to_numpy(), b.doc_id.to_numpy()
                 for at, held in blocks(b.text.tolist()):
                     x = stretches(held, length)
                     text = x.pop("text") + at
-                    yield x | {"t1": t1[text], "t2": t2[text]}
+                    yield x | {"t1": t1[text], "t2": t2[text], "doc_id": doc[text]}
 
         yield from _frames(each(), "h")
 
     grams = texts(docs).select("text").mapInPandas(name, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = _hashed(docs).drop("doc_id").mapInPandas(find, "h long, c long, lo int, hi int, t1 long, t2 long")
-    found = cut(_of_key(found, grams, "h", "left_semi"))
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min("t1").alias("one"))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("mixed"))
-    known = _of_key(kinds, mixed, "h", "left").select("h", "c", (F.col("n") > 1).alias("whole"), F.coalesce("mixed", F.lit(False)).alias("mixed"), "one")
-    emit = F.col("mixed") & (~F.col("whole") | (F.col("t1") == F.col("one")))
-    spots = found.join(known, ["h", "c"]).select("t1", "t2", F.struct("lo", "hi", "h", "c", "whole", emit.alias("emit")).alias("x"))
-    return spots.where("x.whole or x.emit").groupBy("t1", "t2").agg(F.collect_set("x").alias("spots"))
+    hashed = _hashed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    found = hashed.mapInPandas(find, "h long, c long, lo int, hi int, t1 long, t2 long, doc_id long")
+    return cut(_of_key(found, grams, "h", "left_semi"))
+
+
+def _with_words(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """kinds with words, the 64-bit hashes of each one's words, read from the row that stands for it."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held: list[tuple] = []
+            for text, refs in zip(b.text, b.refs, strict=True):
+                w = Words([text.encode()]).hashes(1).view(np.int64)
+                held += [(r["h"], r["c"], r["n"], w[r["lo"] : r["hi"] + length]) for r in refs]
+                if len(held) * length > ROWS * 20:
+                    yield pd.DataFrame(held, columns=["h", "c", "n", "words"])
+                    held = []
+            yield pd.DataFrame(held, columns=["h", "c", "n", "words"])
+
+    where = kinds.groupBy("one.t1", "one.t2", "one.doc_id").agg(F.collect_list(F.struct("h", "c", "n", "one.lo", "one.hi")).alias("refs"))
+    rows = _hashed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(where, ["t1", "t2", "doc_id"])
+    return rows.select("text", "refs").mapInPandas(read, "h long, c long, n long, words array<long>")
+
+
+def _judge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by shard, h, c: the spans of each reference that its shard holds twice or more."""
+    held, rest = [], None
+
+    def close(rows: list[pd.DataFrame]) -> pd.DataFrame:
+        one = pd.concat(rows).drop_duplicates(["h", "c"])  # a repeated row reads its stretches again
+        machine, words = Automaton(), [w.tolist() for w in one.words]
+        for w, n in zip(words, one.n.tolist(), strict=True):
+            machine.add(w, n)
+        machine.close()
+        out = [spans(machine.statistics(w), length) for w in words]
+        return pd.DataFrame({"h": one.h.to_numpy(), "c": one.c.to_numpy(), "gone": [[{"a": a, "b": b} for a, b in x] for x in out]})[[bool(x) for x in out]]
+
+    for b in batches:
+        shard = b.shard.to_numpy()
+        for lo, hi in zip([0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1)], [*(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(b)], strict=True):
+            if held and rest != shard[lo]:
+                yield close(held)
+                held = []
+            rest = shard[lo]
+            held.append(b.iloc[lo:hi])
+    if held:
+        yield close(held)
+
+
+def repeated_spans(docs: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """t1, t2 and spots: the spans (a, b) of words of each text that occur more than once."""
+    rep = F.min(F.struct("t1", "t2", "doc_id", "lo", "hi")).alias("one")
+    kinds = cut(found.groupBy("h", "c").agg(F.count("*").alias("n"), rep))
+    hot = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("h")
+    hot = cut(hot)
+    cold = _of_key(kinds, hot, "h", "left_anti")
+    shards = max(1, kinds.count() // SHARD)
+    dealt = _with_words(docs, cold, length).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    gone = dealt.repartition(parts(docs.sparkSession), "shard").sortWithinPartitions("shard", "h", "c").mapInPandas(lambda it: _judge(it, length), "h long, c long, gone array<struct<a int, b int>>")
+    spots = found.join(cut(gone), ["h", "c"]).select("t1", "t2", F.explode("gone").alias("x"), "lo").select("t1", "t2", F.struct((F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b")).alias("b")).alias("x"))
+    if hot.limit(1).count():
+        spots = spots.union(repeated_windows(docs, _of_key(found, hot, "h", "left_semi"), length))
+    return spots.groupBy("t1", "t2").agg(F.collect_set("x").alias("spots"))
 
 
-def repeated_windows(docs: DataFrame, spots: DataFrame, length: int = LENGTH) -> DataFrame:
-    """t1, t2 and starts: the windows, of stretches found once, that also start elsewhere."""
+def repeated_windows(docs: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """t1, t2, x: the windows (a, b) that also start elsewhere, each looked at alone."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each():
             for b in batches:
-                for t1, t2, text, emit in zip(b.t1, b.t2, b.text, b.emit, strict=True):
+                for t1, t2, text, some in zip(b.t1, b.t2, b.text, b.some, strict=True):
                     r = Rolling(Words([text.encode()]).hashes(1), BASES[1])
-                    lo, hi, h, c, whole = (np.array([x[k] for x in emit]) for k in ("lo", "hi", "h", "c", "whole"))
+                    lo, hi, h = (np.array([x[k] for x in some]) for k in ("lo", "hi", "h"))
                     n = hi - lo + 1
                     s = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    yield {"h": np.repeat(h, n), "w": r.of(s, s + length).view(np.int64), "c": np.repeat(c, n), "t1": np.int64(t1), "t2": np.int64(t2), "start": s.astype(np.int32), "whole": np.repeat(whole, n)}
+                    yield {"h": np.repeat(h, n), "w": r.of(s, s + length).view(np.int64), "t1": np.int64(t1), "t2": np.int64(t2), "a": s.astype(np.int32)}
 
         yield from _frames(each(), "h")
 
-    some = spots.select("t1", "t2", F.filter("spots", lambda x: x.emit).alias("emit")).where("size(emit) > 0")
-    made = _hashed(docs).drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, c long, t1 long, t2 long, start int, whole boolean")
-    twice = made.groupBy("h", "w").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h", "w")
-    return _of_key(made.where("not whole"), twice, "w", "left_semi", "h").groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
+    some = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "h")).alias("some"))
+    made = cut(_hashed(docs).drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, t1 long, t2 long, a int"))
+    twice = made.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
+    return _of_key(made, twice, "w", "left_semi", "h").select("t1", "t2", F.struct("a", (F.col("a") + length).alias("b")).alias("x"))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -213,19 +358,15 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for text, whole, starts in zip(b.text, b.whole, b.starts, strict=True):
+            for text, spots in zip(b.text, b.spots, strict=True):
                 words = text.encode().split()
                 n = len(words)
-                lo = [x["lo"] for x in whole] if whole is not None else []
-                hi = [x["hi"] for x in whole] if whole is not None else []
-                one = [] if starts is None else list(starts)
-                if lo or one:
-                    edge = np.bincount(np.array(lo + one, np.int64), minlength=n + 1) - np.bincount(np.array(hi + one, np.int64) + length, minlength=n + 1)
+                if spots is not None and len(spots):
+                    edge = np.bincount([x["a"] for x in spots], minlength=n + 1) - np.bincount([x["b"] for x in spots], minlength=n + 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:n] == 0).tolist()]
                 out.append((n, n - len(words), b" ".join(words).decode()))
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64").to_numpy(), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
 
-    spots = cut(repeated_stretches(docs, length))
-    whole = F.transform(F.filter("spots", lambda x: x.whole), lambda x: F.struct(x.lo.alias("lo"), x.hi.alias("hi")))
-    joined = _hashed(docs).join(spots.select("t1", "t2", whole.alias("whole")), ["t1", "t2"], "left").join(repeated_windows(docs, spots, length), ["t1", "t2"], "left")
-    return joined.select("doc_id", "text", "whole", "starts").mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
+    spots = repeated_spans(docs, found_stretches(docs, length), length)
+    joined = _hashed(docs).join(spots, ["t1", "t2"], "left")
+    return joined.select("doc_id", "text", "spots").mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
