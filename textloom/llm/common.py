@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,53 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+SLICES, SIEVE_BITS = 64, 28  # slices that tasks fill; at most 2^28 bits, 32 MB, whatever the number of keys
+
+
+class Sieve:
+    """Bloom filter of 64-bit keys: says no only to keys that it lacks, and rarely yes to those."""
+
+    def __init__(self, slices: dict[int, bytes], log: int):
+        self.bits = np.zeros((SLICES, (1 << log) // 8), np.uint8)
+        for i, b in slices.items():
+            self.bits[i] |= np.frombuffer(b, np.uint8)
+        self.log = log
+
+    @staticmethod
+    def places(keys: np.ndarray, log: int) -> tuple[np.ndarray, ...]:
+        """Slice of each key, and two bits in it."""
+        x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        low = np.uint64((1 << log) - 1)
+        return tuple(v.astype(np.int64) for v in (x >> np.uint64(58), x & low, (x >> np.uint64(29)) & low))
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        i, a, b = self.places(keys, self.log)
+        return ((self.bits[i, a >> 3] >> (a & 7)) & (self.bits[i, b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
+def sieve(df: DataFrame, key: str, n: int):
+    """Broadcast sieve of the n keys of a column; tasks fill slices, the driver sees bits alone."""
+    log = min(SIEVE_BITS, max(16, (16 * max(1, n) - 1).bit_length())) - 6
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k = b[key].to_numpy(np.int64)
+            yield pd.DataFrame({"i": Sieve.places(k, log)[0], "k": k})
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            s, x, y = Sieve.places(b.k.to_numpy(np.int64), log)
+            for i in np.unique(s).tolist():
+                bits = held.setdefault(i, np.zeros((1 << log) // 8, np.uint8))
+                for at in (x[s == i], y[s == i]):
+                    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pd.DataFrame({"i": list(held), "bits": [v.tobytes() for v in held.values()]})
+
+    dealt = df.select(key).mapInPandas(deal, "i long, k long").repartition(SLICES, "i")
+    rows = dealt.mapInPandas(fill, "i long, bits binary").collect()  # the bits of the sieve, 32 MB at most
+    return df.sparkSession.sparkContext.broadcast(Sieve({r.i: bytes(r.bits) for r in rows}, log))

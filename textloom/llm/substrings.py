@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts, texts
+from .common import cut, parts, sieve, texts
 
 LENGTH = 35
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -260,17 +260,33 @@ def found_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 t1, t2, doc = b.t1.to_numpy(), b.t2.to_numpy(), b.doc_id.to_numpy()
                 for at, held in blocks(b.text.tolist()):
                     x = stretches(held, length)
+                    some = known.value.may_hold(x["h"])  # most stretches of grams found once stop here
+                    x = {k: v[some] for k, v in x.items()}
                     text = x.pop("text") + at
                     yield x | {"t1": t1[text], "t2": t2[text], "doc_id": doc[text]}
 
         yield from _frames(each(), "h")
 
-    grams = texts(docs).select("text").mapInPandas(name, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    grams = cut(texts(docs).select("text").mapInPandas(name, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    known = sieve(grams, "h", grams.count())
     hashed = _hashed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     found = hashed.mapInPandas(find, "h long, c long, lo int, hi int, t1 long, t2 long, doc_id long")
     return cut(_of_key(found, grams, "h", "left_semi"))
 
 
+def _among(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts (with t1, t2) that may be among the keys, and those that are not: these need no shuffle."""
+    some = cut(keys.select("t1", "t2").distinct())
+    known = sieve(some, "t1", some.count())
+
+    @F.pandas_udf("boolean")
+    def may(t1: pd.Series) -> pd.Series:
+        return pd.Series(known.value.may_hold(t1.to_numpy(np.int64)))
+
+    marked = _hashed(docs).withColumn("may", may("t1"))
+    return marked.where("may").drop("may"), marked.where("not may").drop("may")
+
+
 def _with_words(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
     """kinds with words, the 64-bit hashes of each one's words, read from the row that stands for it."""
 
@@ -286,7 +302,8 @@ def _with_words(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(held, columns=["h", "c", "n", "words"])
 
     where = kinds.groupBy("one.t1", "one.t2", "one.doc_id").agg(F.collect_list(F.struct("h", "c", "n", "one.lo", "one.hi")).alias("refs"))
-    rows = _hashed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(where, ["t1", "t2", "doc_id"])
+    where = cut(where)
+    rows = _among(docs, where)[0].withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(where, ["t1", "t2", "doc_id"])
     return rows.select("text", "refs").mapInPandas(read, "h long, c long, n long, words array<long>")
 
 
@@ -347,7 +364,8 @@ def repeated_windows(docs: DataFrame, found: DataFrame, length: int = LENGTH) ->
         yield from _frames(each(), "h")
 
     some = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "h")).alias("some"))
-    made = cut(_hashed(docs).drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, t1 long, t2 long, a int"))
+    some = cut(some)
+    made = cut(_among(docs, some)[0].drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, t1 long, t2 long, a int"))
     twice = made.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
     return _of_key(made, twice, "w", "left_semi", "h").select("t1", "t2", F.struct("a", (F.col("a") + length).alias("b")).alias("x"))
 
@@ -367,6 +385,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((n, n - len(words), b" ".join(words).decode()))
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64").to_numpy(), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
 
-    spots = repeated_spans(docs, found_stretches(docs, length), length)
-    joined = _hashed(docs).join(spots, ["t1", "t2"], "left")
-    return joined.select("doc_id", "text", "spots").mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
+    spots = cut(repeated_spans(docs, found_stretches(docs, length), length))
+    some, rest = _among(docs, spots)
+    joined = some.join(spots, ["t1", "t2"], "left").select("doc_id", "text", "spots")
+    joined = joined.union(rest.select("doc_id", "text", F.lit(None).cast(joined.schema["spots"].dataType)))
+    return joined.mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
