@@ -1,15 +1,38 @@
-"""Column expressions over texts and bytes."""
+"""Column expressions over texts.
+
+White space is that of Unicode (what a split without arguments takes), not of ASCII; words are runs
+of letters, numbers and the underscore.  Both classes are written out, so that they mean the same
+in every regular-expression dialect.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE = f"[{WS}]+"
+WORD = r"\p{L}\p{N}_"
+RUNS = f"[{WORD}]+|[^{WORD}]+"
+BLANKS = f"{SPACE}|[^{WS}]+"
+# Lines of distributors and transcribers that are never a text's own.
+BOILERPLATE = (
+    r"(?i)(Produced by|Transcribed by|E-?text prepared|Proofreading Team|Distributed Proofread|Thanks to .{0,40}for creating|anonymous donor|"
+    r"PROJECT GUTENBERG|gutenberg\.org|Updated editions will replace|START OF (THE|THIS) PROJECT|END OF (THE|THIS) PROJECT|"
+    r"Character set encoding|Release Date|Posting Date|\[Illustration)"
+)
+# Banners around a distributor's text, tried in order, and chapter words of several languages.
+HEADERS = (r"(?i)\*\*\*\s*START OF TH(?:E|IS) PROJECT GUTENBERG EBOOK[^\*]*\*\*\*", r"(?i)\*\*\*\s*START OF THE PROJECT GUTENBERG[^\*]*\*\*\*")
+FOOTERS = (r"(?i)\*\*\*\s*END OF TH(?:E|IS) PROJECT GUTENBERG EBOOK", r"(?i)\*\*\*\s*END OF THE PROJECT GUTENBERG")
+CHAPTERS = "chapter|act|book|part|canto|глава|розділ|действие|часть|scene"
+HEADING = rf"(?:^|\n)[\t-\r ]*(?:#+[\t-\r ]*)?(?i:{CHAPTERS})(?:[^{WORD}\n\r][^\n\r]*)?(?=[\n\r]|$)"
 
 
 def words(c) -> Column:
-    return F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(c, SPACE), lambda w: w != "")
 
 
 def word_count(c) -> Column:
@@ -20,44 +43,171 @@ def token_estimate(c) -> Column:
     return (word_count(c) * F.lit(1.35)).cast("int")
 
 
+def strip(c) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}", ""), f"{SPACE}$", "")
+
+
 def newlines(c) -> Column:
-    return F.btrim(F.regexp_replace(c, "\r\n?", "\n"), F.lit(" \t\n\x0b\x0c\r"))
+    """Line ends of any kind become one newline; the edges are stripped."""
+    return strip(F.regexp_replace(c, "\r\n?", "\n"))
 
 
 def slug(c) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "-"), F.lit("-"))
+    return F.btrim(F.regexp_replace(F.lower(c), f"[^{WORD}]+", "-"), F.lit("-"))
 
 
 def collapse(c) -> Column:
-    return F.regexp_replace(c, r"[\x20\x09-\x0D]+", " ")
+    return F.regexp_replace(c, SPACE, " ")
+
+
+@lru_cache(1)
+def _folds() -> tuple[str, str]:
+    """Precomposed characters and the one base character that is left of each without its marks."""
+    pairs = []
+    for i in range(0x80, 0x10000):
+        c = chr(i)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != c:
+            pairs.append((c, base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def strip_accents(c) -> Column:
+    """Letters without their marks; Hangul syllables, which come apart into several letters, stay whole."""
+    return F.regexp_replace(F.translate(c, *_folds()), r"\p{Mn}", "")
+
+
+def old_orthography(c) -> Column:
+    """Key of a dictionary word: accents, hard signs and apostrophes go, yat becomes i."""
+    return strip(F.translate(F.lower(strip_accents(c)), "ѣъ’'", "і"))
+
+
+def casefold(c) -> Column:
+    """Lower case, with the few letters that folding changes further."""
+    return F.replace(F.translate(F.lower(c), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+
+
+def cut_boilerplate(c) -> Column:
+    """What follows the last header banner and precedes the first footer banner; of either kind the first pattern that matches counts."""
+
+    def part(text, patterns, last):
+        out = text
+        for p in reversed(patterns):
+            parts = F.split(text, p)
+            out = F.when(F.size(parts) > 1, F.element_at(parts, -1 if last else 1)).otherwise(out)
+        return out
+
+    return strip(part(part(F.regexp_replace(c, "\r\n?", "\n"), HEADERS, True), FOOTERS, False))
+
+
+def front_matter(c) -> Column:
+    """header, body, shift: a leading block between two lines of dashes, the rest, and the bytes before it."""
+    close = F.locate("---", c, 4)
+    has = F.startswith(c, F.lit("---")) & (close > 0)
+    header = F.when(has, F.substring(c, F.lit(1), close + 2)).otherwise("")
+    body = F.when(has, F.substring(c, close + 3, F.length(c))).otherwise(c)
+    return F.struct(header.alias("header"), F.when(has, strip(body)).otherwise(body).alias("body"), F.octet_length(header).alias("shift"))
 
 
 def html_text(c) -> Column:
-    """Scripts and styles go, headings and breaks become lines, tags go, common entities are read."""
-    for pattern, by in ((r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"(?i)<h[1-3][^>]*>", "\n# "), (r"(?i)</h[1-3]>", "\n"), (r"(?i)<(p|br)[^>]*>|</p>", "\n"), (r"<[^>]+>", "")):
+    """Scripts and styles go, headings get as many signs as their level, paragraphs and breaks become lines, tags go, entities are read."""
+    for pattern, by in (
+        (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""),
+        (r"(?i)<h1[^>]*>(.*?)</h1>", "\n\n# $1\n\n"), (r"(?i)<h2[^>]*>(.*?)</h2>", "\n\n## $1\n\n"), (r"(?i)<h3[^>]*>(.*?)</h3>", "\n\n### $1\n\n"),
+        (r"(?i)<p[^>]*>(.*?)</p>", "$1\n\n"), (r"(?i)<br\s*/?>", "\n"), (r"<[^>]+>", ""),
+    ):
         c = F.regexp_replace(c, pattern, by)
-    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(by))
-    return F.btrim(F.regexp_replace(c, r"\n{3,}", "\n\n"), F.lit(" \t\n\x0b\x0c\r"))
+    return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def fiction_book_text(c) -> Column:
+    return strip(collapse(F.regexp_replace(c, r"<[^>]+>", " ")))
+
+
+def lines(c) -> Column:
+    return F.split(c, "\n", -1)
+
+
+def snippets(text, term, width: int = 350, most: int = 5) -> Column:
+    """exact_match, position, context of a whole word's first `most` places: `width` characters on both sides, white space collapsed."""
+    edge, esc = f"[{WORD}]", F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
+    found = F.regexp_extract_all(text, F.concat(F.lit(f"(?i)(?<!{edge})"), esc, F.lit(f"(?!{edge})")), F.lit(0))
+    gaps = F.split(text, F.concat(F.lit(f"(?i)(?<!{edge})"), esc, F.lit(f"(?!{edge})")), -1)
+    n = F.least(F.size(found), F.lit(most))
+    before = lambda i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
+
+    def one(i):
+        at, form = before(i), F.get(found, i)
+        low = F.greatest(F.lit(0), at - width)
+        return F.struct(form.alias("exact_match"), at.alias("position"), collapse(strip(F.substring(text, low + 1, at + F.length(form) + width - low))).alias("context"))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one))
+
+
+def whole_word(text, name) -> Column:
+    """Whether a name's words stand in the text, whatever the white space between them, not inside longer words."""
+    parts = F.transform(words(name), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    return F.regexp_like(text, F.concat(F.lit(f"(?<![{WORD}])"), F.array_join(parts, SPACE), F.lit(f"(?![{WORD}])")))
+
+
+def _bytes_before(runs, blank, prefix) -> Column:
+    """Bytes of the text, in runs of white space and others, that the start `prefix` of its collapsed form stands for."""
+    k = F.size(F.regexp_extract_all(prefix, F.lit(BLANKS), F.lit(0)))
+    whole = F.aggregate(F.slice(runs, 1, F.greatest(F.lit(0), k - 1)), F.lit(0), lambda s, x: s + F.octet_length(x))
+    last = F.element_at(F.regexp_extract_all(prefix, F.lit(BLANKS), F.lit(0)), -1)
+    return F.when(k == 0, 0).otherwise(whole + F.when(last == " ", F.octet_length(F.get(runs, k - 1))).otherwise(F.octet_length(last)))
+
+
+def locate(text, quote) -> Column:
+    """error, byte_start, byte_len, alignment of a quote's one place in a text, white space aside."""
+    runs, flat, q = F.regexp_extract_all(text, F.lit(BLANKS), F.lit(0)), collapse(text), collapse(strip(quote))
+    p = F.position(q, flat)
+    again = F.position(q, flat, p + 1)
+    start = _bytes_before(runs, flat, F.substring(flat, F.lit(1), p - 1))
+    end = _bytes_before(runs, flat, F.substring(flat, F.lit(1), p - 1 + F.length(q)))
+    error = F.when(quote.isNull() | (q == ""), "empty_quote").when(p == 0, "quote_absent").when(again > 0, "quote_ambiguous")
+    ok = lambda c: F.when(error.isNull(), c)
+    raw = F.decode(F.substring(F.encode(text, "utf-8"), start + 1, end - start), "utf-8")
+    return F.struct(error.alias("error"), ok(start).alias("byte_start"), ok(end - start).alias("byte_len"), ok(F.when(raw == quote, "exact").otherwise("whitespace_only")).alias("alignment"))
+
+
+def anchor(text, needle, most: int = 3) -> Column:
+    """Byte place of an anchor: its own letters if they stand there at most `most` times; else, where they never do, with other white space."""
+    q = strip(needle)
+    times = F.size(F.split(text, F.concat(F.lit(r"\Q"), q, F.lit(r"\E")), -1)) - 1
+    exact = F.octet_length(F.substring(text, F.lit(1), F.position(q, text) - 1))
+    flat, runs = collapse(text), F.regexp_extract_all(text, F.lit(BLANKS), F.lit(0))
+    p = F.position(collapse(q), flat)
+    loose = F.when(p > 0, _bytes_before(runs, flat, F.substring(flat, F.lit(1), p - 1)))
+    return F.when(F.length(q) < 3, None).when((times > 0) & (times <= most), exact).when(times == 0, loose)
+
+
+def chapters(text) -> Column:
+    """title, start, end (characters) of the parts that headings open; null where there are fewer than two."""
+    found = F.regexp_extract_all(text, F.lit(HEADING), F.lit(0))
+    gaps = F.split(text, HEADING, -1)
+    at = lambda i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
+    n = F.size(found)
+    one = lambda i: F.struct(F.regexp_replace(strip(F.get(found, i)), "^[# ]+", "").alias("title"), at(i).alias("start"), F.when(i + 1 < n, at(i + 1)).otherwise(F.length(text)).alias("end"))
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 1), one))
 
 
-def byte_slice(content, start, length) -> Column:
-    return F.substring(content, start + 1, length)
+def chunks(text, size: int = 3000) -> Column:
+    w = words(text)
+    return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda i: F.slice(w, i + 1, size)))
 
 
-def snippet(text, at, width: int = 350) -> Column:
-    """Characters around a 1-based place."""
-    low = F.greatest(F.lit(1), at - width)
-    return F.substring(text, low, at + width - low)
+def rescue_json(c) -> Column:
+    """The JSON object within a model's answer: thoughts, fences, what stands outside the braces and trailing commas go."""
+    c = F.when(c.contains("</think>"), strip(F.element_at(F.split(c, "</think>", -1), -1))).otherwise(c)
+    fenced = lambda mark: strip(F.element_at(F.split(F.element_at(F.split(c, mark, -1), 2), "```", -1), 1))
+    c = F.when(c.contains("```json"), fenced("```json")).when(c.contains("```"), fenced("```")).otherwise(c)
+    braces = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    c = F.when(braces != "", braces).otherwise(c)
+    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.regexp_replace(c, r",\s*([\]}])", "$1"))
 
 
-def volume_of_letter(c) -> Column:
-    """Dictionary volume by first letter; null when the letter is in no range."""
-    up = F.upper(F.substring(c, 1, 1))
-    # Letter ranges of the four volumes.
-    ranges = ((1, "АБВГҐДЕЄЖ"), (2, "ЗИІЇЙКЛМН"), (3, "ОП"), (4, "РСТУФХЦЧШЩЬЮЯ"))
-    out = None
-    for v, letters in ranges:
-        hit = (up != "") & F.lit(letters).contains(up)
-        out = F.when(hit, v) if out is None else out.when(hit, v)
-    return out
+def blank(c) -> Column:
+    return c.isNull() | (strip(c) == "")
