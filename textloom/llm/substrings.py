@@ -45,7 +45,7 @@ from .common import cut, parts, sieve, texts
 LENGTH = 35
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 ROWS = 50_000  # of an emitted frame, about
-SHARD, HOT = 1_500, 2_000  # references of a shard, about; different stretches of a gram that a shard takes
+SHARD, HOT = 800, 2_000  # references of a shard, about; different stretches of a gram that a shard takes
 LONG = 64  # bytes of a word from which its letters' polynomial could be made to collide
 BLOCK, SLAB = 250_000, 50_000  # bytes, words
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -274,17 +274,20 @@ def found_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return cut(_of_key(found, grams, "h", "left_semi"))
 
 
-def _among(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The texts (with t1, t2) that may be among the keys, and those that are not: these need no shuffle."""
+def _sieve_of_texts(keys: DataFrame):
     some = cut(keys.select("t1", "t2").distinct())
-    known = sieve(some, "t1", some.count())
+    return sieve(some, "t1", some.count())
 
-    @F.pandas_udf("boolean")
-    def may(t1: pd.Series) -> pd.Series:
-        return pd.Series(known.value.may_hold(t1.to_numpy(np.int64)))
 
-    marked = _hashed(docs).withColumn("may", may("t1"))
-    return marked.where("may").drop("may"), marked.where("not may").drop("may")
+def _among(docs: DataFrame, known) -> DataFrame:
+    """doc_id, text, t1, t2 of the texts that may be among the keys of a sieve: the others need no shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["doc_id"] = b.doc_id.astype("Int64")
+            yield b[known.value.may_hold(b.t1.to_numpy(np.int64))]
+
+    return _hashed(docs).mapInPandas(run, "doc_id long, text string, t1 long, t2 long")
 
 
 def _with_words(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
@@ -303,7 +306,7 @@ def _with_words(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
 
     where = kinds.groupBy("one.t1", "one.t2", "one.doc_id").agg(F.collect_list(F.struct("h", "c", "n", "one.lo", "one.hi")).alias("refs"))
     where = cut(where)
-    rows = _among(docs, where)[0].withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(where, ["t1", "t2", "doc_id"])
+    rows = _among(docs, _sieve_of_texts(where)).withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(where, ["t1", "t2", "doc_id"])
     return rows.select("text", "refs").mapInPandas(read, "h long, c long, n long, words array<long>")
 
 
@@ -365,7 +368,7 @@ def repeated_windows(docs: DataFrame, found: DataFrame, length: int = LENGTH) ->
 
     some = found.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi", "h")).alias("some"))
     some = cut(some)
-    made = cut(_among(docs, some)[0].drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, t1 long, t2 long, a int"))
+    made = cut(_among(docs, _sieve_of_texts(some)).drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, t1 long, t2 long, a int"))
     twice = made.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
     return _of_key(made, twice, "w", "left_semi", "h").select("t1", "t2", F.struct("a", (F.col("a") + length).alias("b")).alias("x"))
 
@@ -373,20 +376,24 @@ def repeated_windows(docs: DataFrame, found: DataFrame, length: int = LENGTH) ->
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space)."""
 
-    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spots = cut(repeated_spans(docs, found_stretches(docs, length), length))
+    known = _sieve_of_texts(spots)
+
+    def strip(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if whole:
+                b = b[~known.value.may_hold(b.t1.to_numpy(np.int64))]
             out = []
-            for text, spots in zip(b.text, b.spots, strict=True):
+            for text, gone in zip(b.text, [None] * len(b) if whole else b.spots, strict=True):
                 words = text.encode().split()
                 n = len(words)
-                if spots is not None and len(spots):
-                    edge = np.bincount([x["a"] for x in spots], minlength=n + 1) - np.bincount([x["b"] for x in spots], minlength=n + 1)
+                if gone is not None and len(gone):
+                    edge = np.bincount([x["a"] for x in gone], minlength=n + 1) - np.bincount([x["b"] for x in gone], minlength=n + 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:n] == 0).tolist()]
                 out.append((n, n - len(words), b" ".join(words).decode()))
             yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64").to_numpy(), "n_words": [x[0] for x in out], "n_removed": [x[1] for x in out], "kept": [x[2] for x in out]})
 
-    spots = cut(repeated_spans(docs, found_stretches(docs, length), length))
-    some, rest = _among(docs, spots)
-    joined = some.join(spots, ["t1", "t2"], "left").select("doc_id", "text", "spots")
-    joined = joined.union(rest.select("doc_id", "text", F.lit(None).cast(joined.schema["spots"].dataType)))
-    return joined.mapInPandas(strip, "doc_id long, n_words long, n_removed long, kept string")
+    kind = "doc_id long, n_words long, n_removed long, kept string"
+    joined = _among(docs, known).join(spots, ["t1", "t2"], "left").select("doc_id", "text", "spots")
+    whole = _hashed(docs).drop("t2").mapInPandas(lambda it: strip(it, True), kind)
+    return joined.mapInPandas(lambda it: strip(it, False), kind).union(whole)
