@@ -284,8 +284,8 @@ def _among(docs: DataFrame, known) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["doc_id"] = b.doc_id.astype("Int64")
-            yield b[known.value.may_hold(b.t1.to_numpy(np.int64))]
+            b = b[known.value.may_hold(b.t1.to_numpy(np.int64))]
+            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64").to_numpy(), "text": b.text.tolist(), "t1": b.t1.to_numpy(), "t2": b.t2.to_numpy()})
 
     return _hashed(docs).mapInPandas(run, "doc_id long, text string, t1 long, t2 long")
 
