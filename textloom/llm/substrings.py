@@ -285,7 +285,8 @@ def _among(docs: DataFrame, known) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b[known.value.may_hold(b.t1.to_numpy(np.int64))]
-            yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64").to_numpy(), "text": b.text.tolist(), "t1": b.t1.to_numpy(), "t2": b.t2.to_numpy()})
+            if len(b):
+                yield pd.DataFrame({"doc_id": b.doc_id.astype("Int64").to_numpy(), "text": pd.Series(b.text.tolist(), dtype=object), "t1": b.t1.to_numpy(), "t2": b.t2.to_numpy()})
 
     return _hashed(docs).mapInPandas(run, "doc_id long, text string, t1 long, t2 long")
 
@@ -302,7 +303,8 @@ def _with_words(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
                 if len(held) * length > ROWS * 20:
                     yield pd.DataFrame(held, columns=["h", "c", "n", "words"])
                     held = []
-            yield pd.DataFrame(held, columns=["h", "c", "n", "words"])
+            if held:
+                yield pd.DataFrame(held, columns=["h", "c", "n", "words"])
 
     where = kinds.groupBy("one.t1", "one.t2", "one.doc_id").agg(F.collect_list(F.struct("h", "c", "n", "one.lo", "one.hi")).alias("refs"))
     where = cut(where)
@@ -314,25 +316,25 @@ def _judge(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
     """Rows sorted by shard, h, c: the spans of each reference that its shard holds twice or more."""
     held, rest = [], None
 
-    def close(rows: list[pd.DataFrame]) -> pd.DataFrame:
+    def close(rows: list[pd.DataFrame]) -> list[pd.DataFrame]:
         one = pd.concat(rows).drop_duplicates(["h", "c"])  # a repeated row reads its stretches again
         machine, words = Automaton(), [w.tolist() for w in one.words]
         for w, n in zip(words, one.n.tolist(), strict=True):
             machine.add(w, n)
         machine.close()
-        out = [spans(machine.statistics(w), length) for w in words]
-        return pd.DataFrame({"h": one.h.to_numpy(), "c": one.c.to_numpy(), "gone": [[{"a": a, "b": b} for a, b in x] for x in out]})[[bool(x) for x in out]]
+        out = [(h, c, [{"a": a, "b": b} for a, b in x]) for h, c, x in ((h, c, spans(machine.statistics(w), length)) for h, c, w in zip(one.h, one.c, words, strict=True)) if x]
+        return [pd.DataFrame(out, columns=["h", "c", "gone"])] if out else []
 
     for b in batches:
         shard = b.shard.to_numpy()
         for lo, hi in zip([0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1)], [*(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(b)], strict=True):
             if held and rest != shard[lo]:
-                yield close(held)
+                yield from close(held)
                 held = []
             rest = shard[lo]
             held.append(b.iloc[lo:hi])
     if held:
-        yield close(held)
+        yield from close(held)
 
 
 def repeated_spans(docs: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -383,6 +385,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             if whole:
                 b = b[~known.value.may_hold(b.t1.to_numpy(np.int64))]
+            if not len(b):  # a frame without rows has no Arrow type
+                continue
             out = []
             for text, gone in zip(b.text, [None] * len(b) if whole else b.spots, strict=True):
                 words = text.encode().split()
