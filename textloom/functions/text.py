@@ -28,7 +28,7 @@ BOILERPLATE = (
 HEADERS = (r"(?i)\*\*\*\s*START OF TH(?:E|IS) PROJECT GUTENBERG EBOOK[^\*]*\*\*\*", r"(?i)\*\*\*\s*START OF THE PROJECT GUTENBERG[^\*]*\*\*\*")
 FOOTERS = (r"(?i)\*\*\*\s*END OF TH(?:E|IS) PROJECT GUTENBERG EBOOK", r"(?i)\*\*\*\s*END OF THE PROJECT GUTENBERG")
 CHAPTERS = "chapter|act|book|part|canto|глава|розділ|действие|часть|scene"
-HEADING = rf"(?:^|\n)[\t-\r ]*(?:#+[\t-\r ]*)?(?i:{CHAPTERS})(?:[^{WORD}\n\r][^\n\r]*)?(?=[\n\r]|$)"
+HEADING = rf"(?:^|\n)[\t-\r ]*(?:#+[\t-\r ]*)?(?iu:{CHAPTERS})(?:[^{WORD}\n\r][^\n\r]*)?(?=[\n\r]|$)"
 
 
 def words(c) -> Column:

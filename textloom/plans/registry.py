@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import evidence as E
-from textloom.sources.tables import table, upsert
+from textloom.sources.tables import table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -21,32 +21,40 @@ def query(sql: str, *tables: str):
 
     def wrap(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in tables])
-        ORACLES[f.__name__] = sql
+        if sql:  # none for state machines: those are tested against a plain fold
+            ORACLES[f.__name__] = sql
         return f
 
     return wrap
 
 
 def _terms(b: DataFrame) -> DataFrame:
-    return b.select(F.explode(F.split(F.lower("text"), WORD)).alias("term")).where("length(term) >= 8").distinct()
+    return b.select(F.explode(F.split(F.lower("text"), WORD)).alias("term")).where("term <> ''").distinct()
 
 
-_RUNS = r"with t as (select distinct term from (select unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) as term from benchmark) where length(term) >= 8), r as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) as form, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) as pos from documents), p as (select *, cast(sum(strlen(form)) over (partition by doc_id order by pos) - strlen(form) as bigint) as byte_offset from r), o as (select doc_id, term, byte_offset, form, cast(row_number() over (partition by doc_id, term order by byte_offset) - 1 as integer) as idx from p join t on starts_with(lower(form), term) and length(form) - length(term) <= 3)"
+_TERMS = r"t as (select distinct term from (select unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) as term from benchmark) where term <> '')"
+_RUNS = r"r as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+')) as form, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'), 1) as pos from documents), p as (select *, cast(sum(strlen(form)) over (partition by doc_id order by pos) - strlen(form) as bigint) as byte_offset from r)"
+_OCC = f"with {_TERMS}, {_RUNS}, k as (select *, unnest([lower(form)[1:length(form) - i] for i in range(4) if i < length(form)]) as term from p), o as (select doc_id, term, byte_offset, form, cast(row_number() over (partition by doc_id, term order by byte_offset) - 1 as integer) as idx from k join t using (term))"
 
 
-@query(_RUNS + " select * from o", "documents", "benchmark")
+@query(_OCC + " select * from o", "documents", "benchmark")
 def j06_term_occurrences(d, b):
     return E.occurrences(d, _terms(b))
 
 
-@query(_RUNS + " select term, count(*) as n, count(distinct doc_id) as n_docs from o group by term", "documents", "benchmark")
+@query(_OCC + " select term, count(*) as n, count(distinct doc_id) as n_docs from o group by term", "documents", "benchmark")
 def a20_occurrence_counts(d, b):
-    return E.occurrences(d, _terms(b)).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    return E.counts(d, _terms(b))
 
 
-@query(_RUNS + " select doc_id, term, byte_offset, form from o where idx = 0", "documents", "benchmark")
-def w04_first_occurrence(d, b):
-    return E.occurrences(d, _terms(b)).where("idx = 0").drop("idx")
+_PAIRS = r"t as (select distinct w[1] || ' ' || w[2] as term, w[1] as a, w[2] as z from (select list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '') as w from benchmark) where len(w) >= 2)"
+_PAIR_OCC = rf"with {_PAIRS}, {_RUNS}, w as (select *, lead(form, 1) over q as gap, lead(form, 2) over q as next from p window q as (partition by doc_id order by pos)), m as (select doc_id, term, byte_offset, pos, form || gap || next as form from w join t on lower(form) = a where starts_with(lower(next), z) and length(next) - length(z) <= 3 and (if(least(length(a), length(z)) >= 3, regexp_full_match(gap, '[-\x{{09}}-\x{{0D}}\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}]+'), gap = ' ')))"
+
+
+@query(_PAIR_OCC + " select doc_id, term, byte_offset, form, cast(row_number() over (partition by doc_id, term order by byte_offset) - 1 as integer) as idx from m where not exists (select 1 from m as e where e.doc_id = m.doc_id and e.term = m.term and e.pos = m.pos - 2)", "documents", "benchmark")
+def x01_two_word_terms(d, b):
+    w = F.filter(F.split(F.lower("text"), WORD), lambda x: x != "")
+    return E.occurrences(d, b.where(F.size(w) >= 2).select(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1))).alias("term")).distinct())
 
 
 _WIN = "with w as (select doc_id, s as start, least(s + 800, n_chars) as \"end\" from (select doc_id, n_chars, unnest(range(0, greatest(0, cast(ceil((n_chars - 100) / 700.0) as bigint) - 1) * 700 + 1, 700)) as s from documents where n_chars > 0))"
@@ -57,11 +65,6 @@ def q01_plan_windows(d):
     return E.windows(d, "n_chars", 800, 100)
 
 
-@query(_WIN + ' select doc_id, cast(max("end") - min(start) as bigint) as covered from w group by doc_id', "documents")
-def a06_interval_union(d):
-    return E.covered(E.windows(d, "n_chars", 800, 100), "doc_id")
-
-
 _ZONES = "with w as (select doc_id, s as start, least(s + 800, n_chars) as \"end\" from (select doc_id, n_chars, unnest(range(0, greatest(0, cast(ceil((n_chars - 100) / 700.0) as bigint) - 1) * 700 + 1, 700)) as s from documents where n_chars > 0)), z as (select doc_id, 0 as ord, 'front_matter' as kind, 0 as z_start, n_chars // 10 as z_end from documents union all select doc_id, 1, 'body', n_chars // 10, n_chars from documents)"
 
 
@@ -93,11 +96,6 @@ def a12_weighted_kappa(li):
     return E.kappa(li.select((F.col("l_linenumber") % 4).alias("a"), (F.col("l_quantity").cast("long") % 4).alias("b")))
 
 
-@query("select l_linenumber % 4 as a, cast(l_quantity as bigint) % 4 as b, count(*) as n from lineitem group by all", "lineitem")
-def a11_contingency(li):
-    return li.groupBy((F.col("l_linenumber") % 4).alias("a"), (F.col("l_quantity").cast("long") % 4).alias("b")).agg(F.count("*").alias("n"))
-
-
 # sources, projections and filters
 @query("select n_nationkey, n_name, n_regionkey from nation", "nation")
 def s01_table_scan(n):
@@ -119,36 +117,11 @@ def f03_category_filter(e):
     return e.where("event_type = 'click'").select("event_id", "user_id")
 
 
-@query("select c_custkey, c_acctbal from customer where c_acctbal >= 1000 and contains(lower(c_name || c_mktsegment), 'build')", "customer")
-def f05_conjunctive(c):
-    return c.where((F.col("c_acctbal") >= 1000) & F.lower(F.concat("c_name", "c_mktsegment")).contains("build")).select("c_custkey", "c_acctbal")
-
-
-@query("select o_orderkey, o_orderstatus from orders where o_orderstatus in ('O', 'P')", "orders")
-def f06_membership(o):
-    return o.where(F.col("o_orderstatus").isin("O", "P")).select("o_orderkey", "o_orderstatus")
-
-
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)", "customer", "orders")
-def f09_anti_join(c, o):
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
-
-
-@query("select doc_id, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where length(trim(line)) >= 3 and not regexp_matches(line, '(?i)license|copyright') group by doc_id", "documents")
-def f10_boilerplate_lines(d):
-    return d.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where((F.length(F.trim("line")) >= 3) & ~F.col("line").rlike("(?i)license|copyright")).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query("select doc_id from documents where text ilike '%worthless%'", "documents")
 def f11_like(d):
     return d.where(F.col("text").ilike("%worthless%")).select("doc_id")
 
 
-@query("select doc_id from documents where length(trim(text)) > 200", "documents")
-def f16_length(d):
-    return d.where(F.length(F.trim("text")) > 200).select("doc_id")
-
-
 # joins
 @query("select o_orderkey, c_name, o_totalprice from orders join customer on o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 50", "orders", "customer")
 def j01_top_works(o, c):
@@ -167,11 +140,6 @@ def a01_earliest_attestation(li):
     return _early(li)
 
 
-@query("select p_partkey, p_name, earliest_year, n from part left join " + _EARLY + " e on p_partkey = l_partkey", "part", "lineitem")
-def j02_terms_with_earliest(p, li):
-    return p.join(_early(li), p.p_partkey == F.col("l_partkey"), "left").select("p_partkey", "p_name", "earliest_year", "n")
-
-
 @query("select o_orderkey, c_name, coalesce(l_linenumber, -1) as line from orders left join customer on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey and l_returnflag = 'R'", "orders", "customer", "lineitem")
 def j03_two_left_joins(o, c, li):
     r = li.where("l_returnflag = 'R'")
@@ -184,28 +152,12 @@ def j05_lookup_default(n, r):
     return n.join(r, n.n_regionkey == r.r_regionkey, "left").select("n_name", F.coalesce("r_name", F.lit("unknown")).alias("region"))
 
 
-@query("select doc_id, substring(sha256('review.v1:' || doc_id), 1, 16) as k, quality from documents join labels using (doc_id)", "documents", "labels")
-def j14_computed_key(d, lab):
-    key = lambda c: F.substring(F.sha2(F.concat(F.lit("review.v1:"), c.cast("string")), 256), 1, 16)
-    return d.select("doc_id", key(F.col("doc_id")).alias("k")).join(lab.select(key(F.col("doc_id")).alias("k"), "quality"), "k").select("doc_id", "k", "quality")
-
-
 @query("select d.doc_id, case when l.quality = 1 and l.toxic = 0 then 'include' when l.doc_id is null then 'held' else 'exclude' end as decision from documents d left join labels l using (doc_id)", "documents", "labels")
 def j17_decision_lookup(d, lab):
     return d.join(lab.withColumn("hit", F.lit(1)), "doc_id", "left").select("doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "include").when(F.col("hit").isNull(), "held").otherwise("exclude").alias("decision"))
 
 
 # aggregations
-@query("select count(*) as n, count(*) filter (quality = 1) as good, count(*) filter (toxic = 1) as toxic from labels", "labels")
-def a02_global_stats(lab):
-    return lab.agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-
-
-@query(r"select cast(sum(strlen(text)) as bigint) as bytes, cast(sum(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) as bigint) as words from documents", "documents")
-def a04_corpus_totals(d):
-    return d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(T.word_count("text")).alias("words"))
-
-
 @query("select o_custkey, count(*) filter (o_orderstatus = 'O') as pending, count(*) filter (o_orderstatus = 'F') as done, count(*) filter (o_orderstatus = 'P') as leased from orders group by o_custkey", "orders")
 def a05_state_counts(o):
     return o.groupBy("o_custkey").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("O", "pending"), ("F", "done"), ("P", "leased"))])
@@ -216,11 +168,6 @@ def a10_collect_nested(c):
     return c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x")).select("conv_id", F.array_join("x.role", ",").alias("roles"))
 
 
-@query("select event_type, count(*) as n, count(distinct user_id) as users from events group by event_type order by n desc", "events")
-def a15_histogram(e):
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).orderBy(F.desc("n"))
-
-
 # ordinal logic
 @query("select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by (o_orderstatus = 'F') desc, o_orderkey) as r from orders) where r = 1", "orders")
 def w01_prefer_verified(o):
@@ -233,11 +180,6 @@ def w03_top_three(o):
     return o.select(F.col("o_custkey").alias("c"), "o_orderkey", F.row_number().over(w).alias("r")).where("r <= 3")
 
 
-@query("select conv_id, turn, coalesce(lead(turn) over (partition by conv_id order by turn), -1) as next_turn from conversations", "conversations")
-def w06_next_start(c):
-    return c.select("conv_id", "turn", F.lead("turn", 1, -1).over(Window.partitionBy("conv_id").orderBy("turn")).alias("next_turn"))
-
-
 @query("select user_id, arg_max(event_type, event_id) as last_type from events group by user_id", "events")
 def w07_last_decision(e):
     return e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"))
@@ -272,24 +214,6 @@ def u07_duplicates(d):
     return d.groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("select 'customer' as kind, c_custkey as id, c_name as name from customer union all select 'supplier', s_suppkey, s_name from supplier", "customer", "supplier")
-def u01_union(c, s):
-    return c.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).unionByName(s.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
-
-
-@query("select coalesce(c.c_custkey, s.s_suppkey) as id, coalesce(c.c_name, s.s_name) as name, case when s.s_suppkey is not null then s.s_acctbal else c.c_acctbal end as score from customer c full join supplier s on c.c_custkey = s.s_suppkey", "customer", "supplier")
-def s17_upsert(c, s):
-    new = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score"))
-    return upsert(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score")), new, ["id"], ["score"])
-
-
-# scalars
-_N = r"len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
-
-
-@query(f"select doc_id, cast({_N} as integer) as n_words, cast(floor({_N} * cast(1.35 as double)) as integer) as n_tokens from documents", "documents")
-def x03_word_counts(d):
-    return d.select("doc_id", T.word_count("text").alias("n_words"), T.token_estimate("text").alias("n_tokens"))
 
 
 @query(r"select p_partkey, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}_]+', '-', 'g'), '-') as slug from part", "part")
@@ -297,46 +221,13 @@ def x08_slug(p):
     return p.select("p_partkey", T.slug("p_name").alias("slug"))
 
 
-@query(r"select doc_id, md5(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')) as h from documents", "documents")
-def x12_collapse(d):
-    return d.select("doc_id", F.md5(T.collapse("text")).alias("h"))
-
-
-@query("select doc_id, substring(text, cast(greatest(1, p - 350) as bigint), cast(p + 350 - greatest(1, p - 350) as bigint)) as snip from (select doc_id, text, instr(text, 'idiot') as p from documents) where p > 0", "documents")
-def x13_snippet(d):
-    return d.withColumn("p", F.instr("text", "idiot")).where("p > 0").select("doc_id", T.snippet(F.col("text"), F.col("p")).alias("snip"))
-
-
 @query("select doc_id, strlen(substring(text, 1, instr(text, 'idiot') - 1)) as at from documents where contains(text, 'idiot')", "documents")
 def x17_quote_offset(d):
     return d.where(F.col("text").contains("idiot")).select("doc_id", F.octet_length(F.substring("text", F.lit(1), F.instr("text", "idiot") - 1)).cast("long").alias("at"))
 
 
-_HTML = "html"
-for _p, _b in ((r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "''"), (r"(?i)<h[1-3][^>]*>", "chr(10) || '# '"), (r"(?i)</h[1-3]>", "chr(10)"), (r"(?i)<(p|br)[^>]*>|</p>", "chr(10)"), (r"<[^>]+>", "''")):
-    _HTML = f"regexp_replace({_HTML}, '{_p}', {_b}, 'g')"
-for _p, _b in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
-    _HTML = f"replace({_HTML}, '{_p}', {_b})"
-
-
-@query(rf"select page_id, md5(trim(regexp_replace({_HTML}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as h from pages", "pages")
-def x20_html_text(p):
-    return p.select("page_id", F.md5(T.html_text("html")).alias("h"))
-
-
 @query("select doc_id, sha256(text) as h, substring(sha256(text), 1, 20) as card from documents", "documents")
 def x40_sha256(d):
     return d.select("doc_id", F.sha2("text", 256).alias("h"), F.substring(F.sha2("text", 256), 1, 20).alias("card"))
 
 
-# domain rules
-@query("select o_orderkey, case when y < 1993 then 'early' when y <= 1995 then 'middle' else 'late' end as era from (select o_orderkey, year(o_orderdate) as y from orders)", "orders")
-def m01_era_key(o):
-    y = F.year("o_orderdate")
-    return o.select("o_orderkey", F.when(y < 1993, "early").when(y <= 1995, "middle").otherwise("late").alias("era"))
-
-
-@query("select doc_id, case when quality is null then 'no_label' when length(text) < 50 then 'short_read' when not contains(lower(text), 'the') then 'term_absent' else 'ok' end as verdict from documents left join labels using (doc_id)", "documents", "labels")
-def m06_witness_verdict(d, lab):
-    t = F.col("text")
-    return d.join(lab, "doc_id", "left").select("doc_id", F.when(F.col("quality").isNull(), "no_label").when(F.length(t) < 50, "short_read").when(~F.lower(t).contains("the"), "term_absent").otherwise("ok").alias("verdict"))
