@@ -236,3 +236,74 @@ def test_top_k_rows_lengths_ties_and_groups(spark, monkeypatch):
     for name, n in (("GROUP", 16), ("QUERIES", 2), ("BLOCK", 4), ("HEAD", 1)):
         monkeypatch.setattr(topk, name, n)
     assert rows(topk.top_k(vectors(data))) == want
+
+
+def test_secret_columns_of_the_query(spark, docs, tmp_path):
+    body = "xyz" * 10
+    more = [(20, f"x ghp_{body}{secret_scan.checksum(body)} y ghp_{body}000000"), (21, "ß日🙂 API_KEY = 'abc123' " + "a1" * 11 + " " + "a1" * 12 + "z"), (22, "0" * 200_000 + " secret:" + "x" * 6), (None, "token=abcdef")]
+    docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).selectExpr("*", "'x' as spans").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in queries.op10_secrets(spark, str(tmp_path)).collect()), key=str)
+    assert [r[:5] for r in got] == sorted(brute.secrets(odd_rows() + more), key=str)
+    spans = {r[0]: r[5] for r in got}
+    assert spans[20] == "github:2:42" and "hex:" in spans[21] and spans[22].startswith("hex:0:200000,assign:200001")
+
+
+def test_toxicity_learns_pairs_and_holds_its_contract(spark):
+    """Neither word is toxic alone; more terms than there are change nothing; odd rows have a score."""
+    import numpy as np
+
+    rng = random.Random(3)
+    data = []
+    for d in range(1500):
+        words = [rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(8)] + rng.choice([["insult"], ["group"], ["insult", "group"], []])
+        data.append((d, " ".join(words), int("insult" in words and "group" in words)))
+    docs = spark.createDataFrame([x[:2] for x in data] + [(5000, None), (5001, ""), (None, "insult group"), (7, data[7][1]), (5002, "insult group " * 20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in data] + [(3, data[3][2]), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert sum(got[d].predicted == y for d, _, y in data if got[d].held_out) / sum(got[d].held_out for d, _, _ in data) > 0.97
+    assert got[None].predicted == 1 and got[5002].predicted == 1 and got[5000].score == got[5001].score
+    assert np.abs(model.v).max() > 0.3
+    assert [tuple(r) for r in toxicity.score(docs, toxicity.train(docs, labels, terms_held=100_000)).collect()] == [tuple(r) for r in toxicity.score(docs, model).collect()]
+    one = toxicity.train(docs, labels.where("toxic = 0"))
+    assert {round(r.score, 6) for r in toxicity.score(docs, one).collect()} == {round(one.score(one.rows([toxicity.terms("")]))[0], 6)}
+
+
+def test_language_of_odd_rows(spark):
+    """No letter, null and empty: und; long texts are read in segments; repeated rows agree; extra columns are carried."""
+    import numpy as np
+
+    text = {"a": "lorem ipsum dolor sit amet ", "b": "das ist ein schöner tag über "}
+    data = [(d, text["ab"[d % 2]] * (d % 5 + 1), "ab"[d % 2]) for d in range(300)] + [(900, None, "a"), (901, "", None), (902, "12 34 ?", "b"), (903, text["b"] * 300, None), (903, text["b"] * 300, None), (None, text["a"], "b")]
+    docs = spark.createDataFrame([(*x, 7, "x") for x in data], "doc_id long, text string, lang string, n_chars long, score string")
+    model = langid.train(docs)
+    got = langid.predict(docs, model, carry=["n_chars", "text"]).collect()
+    by = {r.doc_id: r for r in got}
+    assert [(by[d].lang_pred, by[d].score) for d in (900, 901, 902)] == [("und", 0.0)] * 3
+    assert by[903].lang_pred == "b" and by[None].lang_pred == "a" and not by[None].held_out and {r.n_chars for r in got} == {7}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 903}) == 1
+    whole, cut = model.documents([(text["b"] * 300).encode()]), None
+    old, langid.SEGMENT = langid.SEGMENT, 10**9
+    try:
+        cut = model.documents([(text["b"] * 300).encode()])
+    finally:
+        langid.SEGMENT = old
+    assert np.abs(whole - cut).max() < 0.05
+    nothing = langid.predict(docs, langid.train(docs.where("lang is null")))
+    assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_samples_are_small_and_the_same_each_time(spark):
+    from textloom.llm.common import smallest
+
+    df = spark.range(5000).selectExpr("id as doc_id", "id % 7 as x")
+    a, b = (sorted(r.doc_id for r in smallest(df.repartition(n), ["doc_id"], 100).collect()) for n in (1, 9))
+    assert a == b and len(a) == 100 and len(smallest(df.limit(20), ["doc_id"], 100).collect()) == 20
+
+
+def test_line_rule_with_more_holders(spark):
+    line = "a line of some length"
+    docs = spark.createDataFrame([(d, f"{line}\n{d}" + ("\nanother line of two" if d < 2 else "")) for d in range(3)], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs, least=3).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+    assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs).collect()} == {0: 0, 1: 2, 2: 1}

@@ -24,17 +24,39 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder; a folder of our own only where none is set (single-machine tests)."""
+    """Checkpoint in the shared folder that the session names.
+
+    A session without one gets a folder of its own only if it runs on this machine alone, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint()
 
 
+def of_key(rows: DataFrame, keys: DataFrame, key: str, how: str, *more: str) -> DataFrame:
+    """Joins on keys that were just grouped, by another expression of them: both sides are then dealt
+    anew, so that a hot key's rows can be split among tasks."""
+    dealt = lambda df: df.withColumn("dealt", F.bitwise_not(key)).drop(key)
+    return dealt(rows).join(dealt(keys), ["dealt", *more], how).withColumn(key, F.bitwise_not("dealt")).drop("dealt")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def smallest(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The n rows of smallest hash of their keys, or a few less where hashes crowd: a sample that never grows with the table.
+
+    Rows are counted, those below a threshold that about four times n pass are kept, and only these are sorted."""
+    h = F.xxhash64(*keys)
+    share = min(1.0, 4.0 * n / max(1, rows.count()))
+    low = rows.where(h <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    return low.orderBy(h, *keys, *[c for c in rows.columns if c not in keys]).limit(n)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): rows (node, root), root the smallest node.
 
@@ -46,9 +68,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = of_key(both, low, "a", "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
+        small = of_key(large, down, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
         now = cut(small.where("a <> b").distinct())
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == seen:

@@ -1,13 +1,16 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-Trained in numpy by backpropagation through time on windows of a bounded, hash-ordered sample
-(`max_rows` documents, a parameter).  At prediction a whole text is cut into windows that read
-some bytes of context on each side; every position gets a distribution, and their mean over
-the document is its probability.
+Trained in numpy by backpropagation through time on one window of `window` code points, from
+anywhere in the text, of a bounded sample: the `max_rows` documents of smallest hash (both are
+parameters).  At prediction whole texts are read: texts of up to SEGMENT bytes in one run from end
+to end; longer ones in segments whose states are first warmed up on CONTEXT bytes of each
+neighbour, by which the network forgets where it began.  Every position gets a distribution, and
+their mean over the document is its probability.
 
 `und` with score 0 for null texts and texts without a letter.  With no labelled text, every
 text is `und`.  Rows with a null doc_id are predicted and never learned from; repeated rows
-get equal results; equal probabilities go to the first language by name.
+get equal results; equal probabilities go to the first language by name.  An empty table gives no
+rows; columns but doc_id, text and lang (in training) and those to carry are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN, STEPS, CONTEXT, MAX_ROWS, LANES = 8, 96, 8, 4_000, 4096
+from .common import smallest
+
+HIDDEN, WINDOW, MAX_ROWS = 8, 96, 4_000
+SEGMENT, CONTEXT, LANES = 1024, 128, 1024
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -81,28 +87,38 @@ class Model:
     b: np.ndarray
 
     def logits(self, x):
-        f, _ = self.fore.forward(x)
-        g, _ = self.back.forward(x[::-1])
-        k = f.shape[2]
-        return f @ self.w[:k] + g[::-1] @ self.w[k:] + self.b
+        """Forward and backward parts add up step by step, so that states need not be kept."""
+        k = self.fore.u.shape[0]
+        z = np.empty((len(x), x.shape[1], len(self.b)), np.float32)
+        h = np.zeros((x.shape[1], k), np.float32)
+        for t in range(len(x)):
+            h = self.fore.step(x[t], h)[0]
+            np.matmul(h, self.w[:k], out=z[t])
+        h = np.zeros((x.shape[1], k), np.float32)
+        for t in range(len(x) - 1, -1, -1):
+            h = self.back.step(x[t], h)[0]
+            z[t] += h @ self.w[k:]
+        return z + self.b
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Mean of the distributions at every byte of each text."""
         total, size = np.zeros((len(texts), len(self.langs))), np.array([max(1, len(t)) for t in texts])
-        piece = [(i, s) for i, t in enumerate(texts) for s in range(0, len(t), STEPS)]
-        for p in range(0, len(piece), LANES):
-            lanes = piece[p : p + LANES]
-            x = np.full((len(lanes), STEPS + 2 * CONTEXT), 256, np.int64)
-            own = np.zeros((STEPS, len(lanes), 1), np.float32)
-            for j, (i, s) in enumerate(lanes):
+        parts = [(min(SEGMENT, len(t) - s) + min(s, CONTEXT) + min(CONTEXT, max(0, len(t) - s - SEGMENT)), i, s) for i, t in enumerate(texts) for s in range(0, len(t), SEGMENT)]
+        parts.sort()
+        for p in range(0, len(parts), LANES):
+            lanes = parts[p : p + LANES]
+            steps = lanes[-1][0]
+            x = np.full((len(lanes), steps), 256, np.int64)
+            own = np.zeros((len(lanes), steps), np.float32)
+            for j, (n, i, s) in enumerate(lanes):
                 a = max(0, s - CONTEXT)
-                got = np.frombuffer(texts[i], np.uint8)[a : s + STEPS + CONTEXT]
-                x[j, CONTEXT - (s - a) : CONTEXT - (s - a) + len(got)] = got
-                own[: min(STEPS, len(texts[i]) - s), j] = 1
-            z = self.logits(np.ascontiguousarray(x.T))[CONTEXT : CONTEXT + STEPS]
-            z = np.exp(z - z.max(axis=2, keepdims=True))
-            z *= own / z.sum(axis=2, keepdims=True)
-            np.add.at(total, [i for i, _ in lanes], z.sum(axis=0))
+                x[j, :n] = np.frombuffer(texts[i], np.uint8, n, a)
+                own[j, s - a : s - a + min(SEGMENT, len(texts[i]) - s)] = 1
+            z = self.logits(np.ascontiguousarray(x.T))
+            z -= z.max(axis=2, keepdims=True)
+            np.exp(z, out=z)
+            z *= (own.T / z.sum(axis=2))[:, :, None]
+            np.add.at(total, [i for _, i, _ in lanes], z.sum(axis=0))
         return total / size[:, None]
 
 
@@ -111,9 +127,12 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 12, rate: float = 0.
     rng = np.random.default_rng(seed)
     init = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
     m = Model(names, Reader(init(257, 3 * HIDDEN), init(HIDDEN, 3 * HIDDEN)), Reader(init(257, 3 * HIDDEN), init(HIDDEN, 3 * HIDDEN)), init(2 * HIDDEN, len(names)), np.zeros(len(names), np.float32))
-    x = np.full((len(texts), STEPS), 256, np.int64)
+    for reader in (m.fore, m.back):
+        reader.e[256, :HIDDEN] = -1e4  # padding shuts the update gate, here and for good: states pass it unchanged
+    longest = max(len(t) for t in texts)
+    x = np.full((len(texts), longest), 256, np.int64)
     for i, t in enumerate(texts):
-        x[i, : min(STEPS, len(t))] = np.frombuffer(t[:STEPS], np.uint8)
+        x[i, : len(t)] = np.frombuffer(t, np.uint8)
     y = np.array([names.index(v) for v in langs])
     params = [m.fore.e, m.fore.u, m.back.e, m.back.u, m.w, m.b]
     mo, ve, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -127,7 +146,7 @@ def fit(texts: list[bytes], langs: list[str], epochs: int = 12, rate: float = 0.
             z = np.exp(z - z.max(axis=2, keepdims=True))
             d = z / z.sum(axis=2, keepdims=True)
             d[:, np.arange(len(lot)), yb] -= 1
-            d *= (xb < 256)[:, :, None] / xb.size
+            d *= (xb < 256)[:, :, None] / max(1, int((xb < 256).sum()))
             dh = d @ m.w.T
             grads = [*m.fore.backward(xb, fp, dh[:, :, :HIDDEN]), *m.back.backward(xb[::-1], gp, dh[::-1, :, HIDDEN:]), np.tensordot(hid, d, ((0, 1), (0, 1))), d.sum(axis=(0, 1))]
             t += 1
@@ -144,31 +163,35 @@ def crc_mod(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
-def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
+def train(docs: DataFrame, max_rows: int = MAX_ROWS, window: int = WINDOW) -> Model | None:
     """Learns from documents whose crc32(doc_id) mod 3 is not 1 alone; a window from anywhere in each."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(crc_mod(3) != 1).where(F.col("text").rlike(r"\p{L}"))
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - STEPS)).cast("int") + 1
-    rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.substring("text", start, F.lit(STEPS)).alias("text"))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(max_rows).collect()
-    got = [(r.text.encode("utf-8"), r.lang) for r in got]
+    rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("same"), "text")
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - window)).cast("int") + 1
+    cut = rows.select("doc_id", "same", "lang", F.substring("text", start, F.lit(window)).alias("text"))
+    got = [(r.text.encode("utf-8"), r.lang) for r in smallest(cut, ["doc_id", "same"], max_rows).collect()]
     return fit([a for a, _ in got], [b for _, b in got]) if got else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, and text (null stays null)."""
+def predict(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, and columns of plain types to carry as they came."""
+    carry = carry or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.iloc[i : i + 512]
-                said = [isinstance(t, str) and bool(LETTER.search(t)) and model is not None for t in part.text]
+            for i in range(0, len(b), 1024):
+                part = b.iloc[i : i + 1024]
+                text = part["_text"].tolist()
+                said = [isinstance(t, str) and bool(LETTER.search(t)) and model is not None for t in text]
                 lang, score = ["und"] * len(part), [0.0] * len(part)
                 at = [j for j, s in enumerate(said) if s]
                 if at:
-                    p = model.documents([part.text.iloc[j].encode("utf-8") for j in at])
+                    p = model.documents([text[j].encode("utf-8") for j in at])
                     for j, row in zip(at, p, strict=True):
                         lang[j], score[j] = model.langs[int(row.argmax())], float(min(1.0, row.max()))
-                yield pd.DataFrame({"doc_id": part.doc_id.astype("Int64").to_numpy(), "text": part.text.to_numpy(), "lang_pred": lang, "score": score})
+                yield pd.DataFrame({"_id": part["_id"].astype("Int64").to_numpy(), "lang_pred": lang, "score": score, **{f"_c{k}": part[f"_c{k}"].to_numpy() for k in range(len(carry))}})
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, text string, lang_pred string, score double")
-    return out.select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "text")
+    asked = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), *[F.col(c).cast("string").alias(f"_c{k}") for k, c in enumerate(carry)])
+    kinds = "".join(f", _c{k} string" for k in range(len(carry)))
+    out = asked.mapInPandas(run, f"_id long, lang_pred string, score double{kinds}").withColumn("doc_id", F.col("_id"))
+    return out.select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", *[F.col(f"_c{k}").cast(docs.schema[c].dataType).alias(c) for k, c in enumerate(carry)])

@@ -50,7 +50,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.predict(docs, langid.train(docs)).drop("text")
+    return langid.predict(docs, langid.train(docs))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
