@@ -2,13 +2,20 @@
 
 Lines repeated across documents are found by one map-side combined aggregation on 128 hash
 bits.  Each shard of the repeated keys becomes one row: a levelled minimal perfect hash, a
-fingerprint array, a count array and an array of smallest holders.  Documents send their line
-hashes to the shards, which answer from the arrays as rows stream by.  Shards that many
-documents ask (frequent lines) are copied and asked by salt.
+fingerprint array, an array of counts and one of smallest holders.  Documents send the hashes of
+lines to the shards, which answer from the arrays as rows stream by; the lines themselves stay
+where they are, and a sieve of bounded size keeps lines that only one document holds from being
+asked about.  Shards that many documents ask (frequent lines) are copied and asked by salt.  Only
+texts that may lose a line are joined to the answers; the others are written as they are read.
+
+The arrays are together as large as the repeated lines, which have no bound, so they are not
+broadcast: hashes of lines that may be repeated go to them.  Fingerprints hold the 64 bits of a
+key that the perfect hash does not use, since fewer could take one line for another.
 
 Null or empty text is one empty line.  Rows with a null doc_id hold no line and lose none.
-Repeated rows with one doc_id count as one document and all keep or lose a line together.
-An empty table gives an empty result.
+Repeated rows with one doc_id count as one document and all keep or lose a line together.  Ties
+cannot be: the smallest doc_id keeps a line.  Texts of any length are read whole.  An empty table
+gives an empty result; columns but doc_id, text and those to carry are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WS, cut, parts, texts
+from .common import LOWER, UPPER, WS, cut, parts, sieve, texts
 
 MIN_CHARS = 10
 SHARD_KEYS = 50_000  # repeated keys of a shard on average: bounds a probe task's memory
@@ -96,7 +103,7 @@ def _pack(shard: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"shard": shard, "hash": ph.pack(), "prints": arr("g", np.int64), "holders": arr("holder", np.int64), "counts": arr("n", np.int64)}])
 
 
-def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _probe(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
     """Rows sorted by shard, salt, kind: a shard's arrays come before the questions to it."""
     held, now = [], None
     for b in batches:
@@ -105,13 +112,13 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shard = (b.shard[i], b.salt[i])
             if b.kind[i] == 0:
                 held, now = held if now == shard else [], shard
-                held.append((PerfectHash.unpack(b.hash[i]), np.frombuffer(b.prints[i], np.int64), np.frombuffer(b.holders[i], np.int64)))
+                held.append((PerfectHash.unpack(b.hash[i]), *(np.frombuffer(b[c][i], np.int64) for c in ("prints", "holders", "counts"))))
                 continue
             q = b.iloc[i:j]
             h, g, doc = (q[c].to_numpy(np.int64) for c in ("h", "g", "doc_id"))
-            for index, prints, holders in held if now == shard else ():
+            for index, prints, holders, counts in held if now == shard else ():
                 at = index.index(h.view(np.uint64))
-                ok = (at >= 0) & (prints[at] == g) & (holders[at] != doc)
+                ok = (at >= 0) & (prints[at] == g) & (counts[at] >= least) & (holders[at] != doc)
                 yield q.loc[ok, ["doc_id", "h", "g"]]
 
 
@@ -129,7 +136,7 @@ def _strip(batches: Iterator[pd.DataFrame], low: int, carry: list[str]) -> Itera
     table = str.maketrans(UPPER, LOWER)
     for b in batches:
         out = []
-        for doc, text, drops in zip(b.doc_id, b.text, b.drops, strict=True):
+        for text, drops in zip(b["_text"], b["drops"], strict=True):
             lines = text.split("\n")
             if drops is not None and len(drops):
                 gone = {bytes(x) for x in drops}
@@ -137,32 +144,54 @@ def _strip(batches: Iterator[pd.DataFrame], low: int, carry: list[str]) -> Itera
                 kept = [x for x, k in zip(lines, keys, strict=True) if len(k) < low or hashlib.md5(k.encode()).digest() not in gone]
             else:
                 kept = lines
-            out.append((doc, len(lines), len(lines) - len(kept), "\n".join(kept)))
-        yield pd.DataFrame({"doc_id": pd.array([x[0] for x in out], dtype="Int64"), "n_lines": [x[1] for x in out], "n_dropped": [x[2] for x in out], "kept": [x[3] for x in out], **{c: b[c] for c in carry}})
+            out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
+        yield pd.DataFrame({"doc_id": b["_id"].astype("Int64").to_numpy(), "n_lines": [x[0] for x in out], "n_dropped": [x[1] for x in out], "kept": [x[2] for x in out], **{c: b[c].to_numpy() for c in carry}})
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept, and columns to carry: the text without lines that a smaller doc_id holds too."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: list[str] | None = None, least: int = 2) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept, and columns to carry (as strings _c0, _c1, ...): the text without
+    lines that a smaller doc_id holds too, where `least` documents or more hold them."""
     spark, base, carry = docs.sparkSession, texts(docs), carry or []
     keys = F.transform(F.split("text", "\n", -1), lambda x: F.translate(F.btrim(x, F.lit(WS)), UPPER, LOWER))
     md5s = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), F.md5))
     num = lambda a: F.conv(F.substring("m", a, 16), 16, -10).cast("long")
     asked = base.where("doc_id is not null").select("doc_id", F.explode(md5s).alias("m")).select("doc_id", num(1).alias("h"), num(17).alias("g"))
-    shared = cut(asked.groupBy("h", "g").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("top"), F.count("*").alias("n")).where("holder < top").drop("top"))
+    held = asked.groupBy("h", "g").agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("top"), F.count("*").alias("n"))
+    shared = cut(held.where("holder < top").drop("top"))
     n = shared.count()
+    known = sieve(shared, "h", n)
     shards = min(MAX_SHARDS, max(16, n // SHARD_KEYS + 1))
     shard = lambda: F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
     built = cut(shared.withColumn("shard", shard()).groupBy("shard").applyInPandas(_pack_shard, "shard int, hash binary, prints binary, holders binary, counts binary"))
     # a hot line is asked once by every document that holds it, so the sum of counts bounds a shard's hits
     salts = shared.groupBy(shard().alias("shard")).agg((F.sum("n") / SALT_ROWS).cast("int").alias("more"))
     copies = F.broadcast(salts)  # at most MAX_SHARDS rows of two ints
-    one = built.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("g"), "hash", "prints", "holders")
-    none = F.lit(None).cast("binary")
-    two = asked.withColumn("shard", shard()).join(copies, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("more") + 1).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h", "g", none.alias("hash"), none.alias("prints"), none.alias("holders"))
-    drops = one.union(two).repartition(parts(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(_probe, "doc_id long, h long, g long")
+    arrays = ("hash", "prints", "holders", "counts")
+    one = built.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("doc_id", "h", "g")], *arrays)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[known.value.may_hold(b.h.to_numpy(np.int64))]
+
+    some = asked.mapInPandas(ask, "doc_id long, h long, g long")
+    two = some.withColumn("shard", shard()).join(copies, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("more") + 1).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "h", "g", *[F.lit(None).cast("binary").alias(c) for c in arrays])
+    drops = one.union(two).repartition(parts(spark), "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(lambda it: _probe(it, least), "doc_id long, h long, g long")
     hexed = lambda c: F.lpad(F.hex(c), 16, "0")
-    per_doc = drops.groupBy("doc_id").agg(F.collect_set(F.unhex(F.concat(hexed("h"), hexed("g")))).alias("drops"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *[F.col(c) for c in carry])
-    joined = whole.join(per_doc, "doc_id", "left")
-    kinds = "".join(f", `{c}` {joined.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInPandas(lambda it: _strip(it, min_chars, carry), f"doc_id long, n_lines long, n_dropped long, kept string{kinds}")
+    per_doc = cut(drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.unhex(F.concat(hexed("h"), hexed("g")))).alias("drops")))
+    losing = sieve(per_doc, "_id", per_doc.count())
+    names = [f"_c{k}" for k in range(len(carry))]
+    whole = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"), *[F.col(c).cast("string").alias(x) for c, x in zip(carry, names, strict=True)])
+    kinds = "".join(f", {x} string" for x in names)
+    made = f"doc_id long, n_lines long, n_dropped long, kept string{kinds}"
+
+    def split(batches: Iterator[pd.DataFrame], may: bool) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = b["_id"].astype("Int64")
+            b = b[(losing.value.may_hold(ids.fillna(0).to_numpy(np.int64)) & ids.notna().to_numpy(bool)) == may]
+            if len(b) and may:
+                yield pd.DataFrame({c: b[c].astype("Int64").to_numpy() if c == "_id" else pd.Series(b[c].tolist(), dtype=object) for c in b.columns})
+            elif len(b):
+                yield from _strip(iter([b.assign(drops=None)]), min_chars, names)
+
+    touched = whole.mapInPandas(lambda it: split(it, True), f"_id long, _text string{kinds}").join(per_doc, "_id", "left")
+    return touched.mapInPandas(lambda it: _strip(it, min_chars, names), made).union(whole.mapInPandas(lambda it: split(it, False), made))
