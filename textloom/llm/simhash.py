@@ -10,7 +10,9 @@ exact way without pairs, by common midpoints: two words within 4 bits share a wo
 Copies collapse to one fingerprint before any of this, and a bucket gives a spanning forest,
 not all its pairs, so groups of copies cost no more than their rows.  Null text is empty; texts
 without words have fingerprint zero and are linked like others.  Rows with a null doc_id get a
-fingerprint and the component of its documents.  Repeated rows share a component.
+fingerprint and the component of its documents.  Repeated rows share a component; a bit that half
+of the shingles set is 0.  Texts of any length are read whole, hashes by blocks.  An empty table
+gives no rows; columns but doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, parts, texts
+from .common import components, cut, of_key, parts, texts
 
 BUCKET = 2048
 ONE = np.uint64(1)
@@ -83,26 +85,33 @@ def _forest(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 def _links(batches: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
     """Sorted by key: edges (a, b); rows with b null name fingerprints of over-full buckets."""
-    key, held, over = None, [], False
+    rest, over = None, False  # the bucket that may go on in the next batch, at most BUCKET of its rows, and whether it has passed that
 
-    def close():
-        return _forest(np.unique(np.array(held, np.int64)), max_bits) if len(held) > 1 and not over else []
+    def bucket(fps: np.ndarray) -> list[tuple]:
+        return [(x, None) for x in fps.tolist()] if over or len(fps) > BUCKET else _forest(np.unique(fps), max_bits) if len(fps) > 1 else []
 
     for b in batches:
+        key, fp = b.key.to_numpy(np.int64), b.fp.to_numpy(np.int64)
         out: list[tuple] = []
-        for k, fp in zip(b.key.tolist(), b.fp.tolist(), strict=True):
-            if k != key:
-                out += close()
-                key, held, over = k, [], False
-            if over:
-                out.append((fp, None))
-                continue
-            held.append(fp)
-            if len(held) > BUCKET:
-                over = True
-                out += [(x, None) for x in held]
+        if rest is not None and key[0] == rest[0]:
+            key, fp = np.r_[np.full(len(rest[1]), rest[0]), key], np.r_[rest[1], fp]
+        elif rest is not None:
+            out += bucket(rest[1])
+            over = False
+        cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+        for i in np.flatnonzero(np.diff(cuts[:-1]) > 1 - int(over)).tolist():  # closed buckets of two or more
+            out += bucket(fp[cuts[i] : cuts[i + 1]])
+            over = False
+        if len(cuts) > 2:
+            over = False
+        last = fp[cuts[-2] :]
+        if over or len(last) > BUCKET:
+            out += [(x, None) for x in last.tolist()]
+            over, last = True, last[:0]
+        rest = (key[-1], last)
         yield _edges(out)
-    yield _edges(close())
+    if rest is not None:
+        yield _edges(bucket(rest[1]))
 
 
 def _edges(rows: list[tuple]) -> pd.DataFrame:
@@ -127,16 +136,16 @@ def near_groups(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame
     spark = docs.sparkSession
     every = cut(fingerprints(docs, width))
     alone = every.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    keyed = alone.select("fp").mapInPandas(_keys, "key long, fp long")
+    keyed = alone.select("fp").repartition(parts(spark)).mapInPandas(_keys, "key long, fp long")
     found = cut(keyed.repartition(parts(spark), "key").sortWithinPartitions("key", "fp").mapInPandas(lambda it: _links(it, max_bits), "a long, b long"))
     edges = found.where("b is not null")
     over = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if over.limit(1).count():
         mids = over.mapInPandas(_midpoints, "mid long, fp long")
         lows = mids.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top")
-        edges = edges.union(mids.join(lows, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
+        edges = edges.union(of_key(mids, lows, "mid", "inner").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
     roots = components(edges)
     named = alone.join(roots, alone.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    final = named.join(best, "root").select("fp", "component_id")
-    return every.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = of_key(named, best, "root", "inner").select("fp", "component_id")
+    return of_key(every, final, "fp", "inner").select("doc_id", "fp", "component_id")
