@@ -2,8 +2,14 @@
 
 Base kinds are assignments, access keys and hexadecimal runs.  The method adds kind `github`:
 tokens with a known prefix whose last six characters are the base-62 CRC-32 of the rest.
+The automaton reads each text twice: with letters folded, for the keywords of the named kinds, and
+with hexadecimal digits folded to one, for runs as long as the hexadecimal kind asks.  Expressions
+are tried at its hits alone.
+
 Offsets count code points, end exclusive.  Null text is empty; letters of keywords match in
-either ASCII case; overlapping matches of different kinds are all kept; texts are scanned whole.
+either ASCII case; overlapping matches of different kinds are all kept; texts are scanned whole,
+whatever their length.  A null doc_id stays null, repeated rows are each scanned, an empty table
+gives no rows, and columns but doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -21,16 +27,20 @@ from .common import LOWER, UPPER, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the shorter ones never match
+HEX = re.compile(r"[0-9a-f]+")
 TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 DIGITS = "0123456789" + UPPER + LOWER
-FOLD = str.maketrans(UPPER, LOWER)
+SHORT = 24  # hexadecimal digits of a run that counts
+# one byte for each code point: those beyond 255 become question marks, which no keyword holds
+FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+AS_HEX = bytes(ord("h") if chr(i) in "0123456789abcdef" else ord("-") for i in range(256))
 KINDS = ("assign", "access", "hex", "github")
 
 
 @lru_cache(1)
 def _automaton():
     a = ahocorasick.Automaton()
+    a.add_word("h" * SHORT, (2, SHORT))
     for kind, words in ((0, ("password", "passwd", "secret", "token", "apikey", "api_key")), (1, ("akia",)), (3, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"))):
         for w in words:
             a.add_word(w, (kind, len(w)))
@@ -48,11 +58,14 @@ def checksum(body: str) -> str:
 
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), sorted by start and kind."""
+    flat = text.encode("latin-1", "replace")
     hits: tuple[list, ...] = ([], [], [], [])
-    for end, (kind, n) in _automaton().iter(text.translate(FOLD)):
-        hits[kind].append(end + 1 - n)
+    for table in (FOLD, AS_HEX):
+        for end, (kind, n) in _automaton().iter(flat.translate(table).decode("latin-1")):
+            if (kind == 2) == (table is AS_HEX):
+                hits[kind].append(end + 1 - n)
     out = []
-    for kind, rule in ((0, ASSIGN), (1, ACCESS)):
+    for kind, rule in ((0, ASSIGN), (1, ACCESS), (2, HEX)):
         after = 0
         for at in sorted(set(hits[kind])):
             if at < after or (m := rule.match(text, at)) is None:
@@ -60,7 +73,6 @@ def scan(text: str) -> list[tuple[int, int, int]]:
             after = m.end()
             if len(m[2]) >= 6 if kind == 0 else len(m[0]) >= 20:
                 out.append((at, kind, m.end()))
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for at in hits[3]:
         if (m := TOKEN.match(text, at)) and checksum(m[1]) == m[2]:
             out.append((at, 3, m.end()))
