@@ -10,47 +10,60 @@ from textloom.llm import bpe, decontaminate, langid, lines, near
 from textloom.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SMALL = 4_000_000  # numbers of rows, 32 MB, that are broadcast; more are joined by shuffle
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """Rows with a key of their own, which judges rows in place of a doc_id that may be null or repeat.
 
-    Stages read docs from files or a checkpoint, so rows get the same keys each time."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
+    Files may be split otherwise when read again, once executors are lost: they are checkpointed first,
+    so that rows get the same keys each time."""
+    return (cut(docs.select(COLUMNS)) if docs.inputFiles() else docs).withColumn("row", F.monotonically_increasing_id())
 
 
-def by_row(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("row").alias("doc_id"), "text")
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows but those whose key is gone; texts move only where too many go to tell every task."""
+    gone = cut(gone.select("row"))
+    return rows.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "row", "left_anti").select(COLUMNS)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects rows without a letter and those whose language has less than half the probability."""
-    rows = numbered(docs)
-    said = langid.predict(by_row(rows), langid.train(docs)).where("lang_pred = 'und' or score < 0.5").select(F.col("doc_id").alias("row"))
-    return rows.join(said, "row", "left_anti").select(COLUMNS)
+    """Rows without a letter go, and those whose language has less than half the probability.
+
+    Null texts go, and empty and letterless ones; each of repeated rows is judged, all alike, and so are
+    rows with a null doc_id.  A table without labelled texts loses every row, an empty one has none."""
+    said = langid.predict(docs, langid.train(docs), carry=["text", "lang", "source", "n_chars"])
+    return said.where("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines that a smaller doc_id holds; the other columns stay, and every row."""
-    new = lines.dedup_lines(docs, carry=["lang", "source"]).withColumnRenamed("kept", "text")
-    return new.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Texts lose the lines that a smaller doc_id holds; the other columns stay, and every row.
+
+    A null text becomes empty.  Rows with a null doc_id lose nothing, rows that share one lose alike."""
+    new = lines.dedup_lines(docs, carry=["lang", "source"])
+    return new.select("doc_id", F.col("kept").alias("text"), F.col("_c0").alias("lang"), F.col("_c1").alias("source"), F.length("kept").cast("long").alias("n_chars"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of 5-word similarity 0.8 or more stays."""
+    """The smallest doc_id of each group of 5-word similarity 0.8 or more stays.
+
+    A null doc_id comes after all others, and of equal ones any one row stays; null texts are empty,
+    and texts without words are one group."""
     rows = numbered(docs)
-    best = near.similar_groups(rows).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
-    return rows.join(best.select("best.row"), "row", "left_semi").select(COLUMNS)
+    groups = cut(near.similar_groups(rows))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
+    return without(rows, groups.join(best.select("best.row"), "row", "left_anti"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item go."""
+    """Rows that hold a benchmark item go, whatever their doc_id; null and empty texts hold none."""
     rows = numbered(docs)
-    leaks = decontaminate.matches(by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
-    return rows.join(leaks, "row", "left_anti").select(COLUMNS)
+    leaks = decontaminate.matches(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, leaks.select(F.col("doc_id").alias("row")).distinct())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and of the decoded text of every row; a null text is empty."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts, sieve, texts
+from .common import cut, of_key, parts, sieve, texts
 
 LENGTH = 35
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -241,13 +241,6 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("t1", num(1)).withColumn("t2", num(17))
 
 
-def _of_key(rows: DataFrame, keys: DataFrame, key: str, how: str, *more: str) -> DataFrame:
-    """Joins on keys that were just grouped, by another expression of them: both sides are then dealt
-    anew, so that a hot key's rows can be split among tasks."""
-    dealt = lambda df: df.withColumn("dealt", F.bitwise_not(key)).drop(key)
-    return dealt(rows).join(dealt(keys), ["dealt", *more], how).withColumn(key, F.bitwise_not("dealt")).drop("dealt")
-
-
 def found_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """t1, t2 (hash of a text), doc_id, and its stretches (h, c, lo, hi) of repeated grams, one in a row."""
 
@@ -271,7 +264,7 @@ def found_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     known = sieve(grams, "h", grams.count())
     hashed = _hashed(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     found = hashed.mapInPandas(find, "h long, c long, lo int, hi int, t1 long, t2 long, doc_id long")
-    return cut(_of_key(found, grams, "h", "left_semi"))
+    return cut(of_key(found, grams, "h", "left_semi"))
 
 
 def _sieve_of_texts(keys: DataFrame):
@@ -343,13 +336,13 @@ def repeated_spans(docs: DataFrame, found: DataFrame, length: int = LENGTH) -> D
     kinds = cut(found.groupBy("h", "c").agg(F.count("*").alias("n"), rep))
     hot = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("h")
     hot = cut(hot)
-    cold = _of_key(kinds, hot, "h", "left_anti")
+    cold = of_key(kinds, hot, "h", "left_anti")
     shards = max(1, kinds.count() // SHARD)
     dealt = _with_words(docs, cold, length).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     gone = dealt.repartition(parts(docs.sparkSession), "shard").sortWithinPartitions("shard", "h", "c").mapInPandas(lambda it: _judge(it, length), "h long, c long, gone array<struct<a int, b int>>")
     spots = found.join(cut(gone), ["h", "c"]).select("t1", "t2", F.explode("gone").alias("x"), "lo").select("t1", "t2", F.struct((F.col("lo") + F.col("x.a")).alias("a"), (F.col("lo") + F.col("x.b")).alias("b")).alias("x"))
     if hot.limit(1).count():
-        spots = spots.union(repeated_windows(docs, _of_key(found, hot, "h", "left_semi"), length))
+        spots = spots.union(repeated_windows(docs, of_key(found, hot, "h", "left_semi"), length))
     return spots.groupBy("t1", "t2").agg(F.collect_set("x").alias("spots"))
 
 
@@ -372,7 +365,7 @@ def repeated_windows(docs: DataFrame, found: DataFrame, length: int = LENGTH) ->
     some = cut(some)
     made = cut(_among(docs, _sieve_of_texts(some)).drop("doc_id").join(some, ["t1", "t2"]).mapInPandas(windows, "h long, w long, t1 long, t2 long, a int"))
     twice = made.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    return _of_key(made, twice, "w", "left_semi", "h").select("t1", "t2", F.struct("a", (F.col("a") + length).alias("b")).alias("x"))
+    return of_key(made, twice, "w", "left_semi", "h").select("t1", "t2", F.struct("a", (F.col("a") + length).alias("b")).alias("x"))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
