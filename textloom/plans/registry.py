@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import evidence as E
-from textloom.sources.tables import table
+from textloom.sources.files import table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
