@@ -125,7 +125,7 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op7_top_k"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     import duckdb
 
@@ -307,3 +307,17 @@ def test_line_rule_with_more_holders(spark):
     got = {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs, least=3).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
     assert {r.doc_id: r.n_dropped for r in lines.dedup_lines(docs).collect()} == {0: 0, 1: 2, 2: 1}
+
+
+def test_secret_sql_reads_every_kind(spark, tmp_path):
+    """The SQL against the query on texts that the driver's tables lack."""
+    import duckdb
+
+    body = "a1B" * 10
+    sign = secret_scan.checksum(body)
+    texts = [f"ghp_{body}{sign}", f"x npm_{body}{sign}, ghs_{body}{sign}", f"ghp_{body}000000", "API_KEY=abcdef apikey: 'xyz'", "é AKIA" + "Z" * 20 + " " + "f0" * 13, "passwordpassword=secret=abcdefg token = abc", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = queries.op10_secrets(spark, str(tmp_path))
+    assert rows(df) == sorted(con.execute(f"select {','.join(df.columns)} from ({queries.ORACLES['op10_secrets']})").fetchall())

@@ -63,6 +63,37 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_simhash, op4_toxicity, op5_bpe, op6_substring_dedup, op7_top_k, op8_decontaminate, op9_language_id, op10_secrets)}
 
+# Matches and the gaps between them give the places.  Of the checksum kind, 30 characters and the base-62 CRC-32
+# of them, folded bit by bit.
+_ANY = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+_KEYS = "|".join([*map(_ANY, ("password", "passwd", "secret", "token")), f"{_ANY('api')}_?{_ANY('key')}"])
+_RULES = (
+    ("assign", rf"(?:{_KEYS})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?[A-Za-z0-9+/_.=-]+", rf"length(regexp_extract(m, '(?:{_KEYS})[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)', 1)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", "length(m) >= 24"),
+    ("github", "(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?:[^A-Za-z0-9]|$)", "crc = said"),
+)
+_BITS = "flatten(list_transform(string_split(body, ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> k) & 1)))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), {_BITS}), lambda c, b: if(xor(c, b) & 1 = 1, xor(c >> 1, 3988292384), c >> 1)))"
+_SAID = "list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(sign, ''), lambda c: cast(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', c) - 1 as bigint))), lambda s, d: s * 62 + d)"
+
+
+def _found(kind: str, rule: str, ok: str, order: int) -> str:
+    every = f"select r, unnest(ms) as m, generate_subscripts(ms, 1) as i, gs, ms from (select r, regexp_extract_all(t, '{rule}') as ms, regexp_split_to_array(t, '{rule}') as gs from d where regexp_matches(t, '{rule}'))"
+    spot = f"select r, m, length(array_to_string(gs[1:i], '')) + length(array_to_string(ms[1:i - 1], '')) as a from ({every})"
+    if kind == "github":
+        cut = "m[instr(m, '_') + 1:instr(m, '_') + 30] as body, m[instr(m, '_') + 31:instr(m, '_') + 36] as sign, m[1:instr(m, '_') + 36] as m"
+        spot = f"select r, m, a, {_CRC} as crc, {_SAID} as said from (select r, a, {cut} from ({spot}))"
+    return f"select r, '{kind}' as kind, {order} as o, a, a + length(m) as e from ({spot}) where {ok}"
+
+
+_SECRETS = (
+    "with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents), "
+    + "s as (" + " union all ".join(_found(*x, i) for i, x in enumerate(_RULES)) + "), "
+    + "x as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex, string_agg(kind || ':' || a || ':' || e, ',' order by a, o) filter (o < 3) as base, string_agg(kind || ':' || a || ':' || e, ',' order by a, o) as spans from s group by r) "
+    + "select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join x using (r)"
+)
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"""
@@ -80,4 +111,14 @@ with v as (select row_number() over () as r, vec_id, list_transform(embedding, l
            from v q, v c where q.vec_id % 50 = 0 and c.r <> q.r),
      r as (select *, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op6_substring_dedup": r"""
+with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+     w as (select r, unnest(range(1, len(ws) - 33)) as i, ws from d),
+     g as (select r, i, array_to_string(ws[i:i + 34], ' ') as g from w),
+     s as (select r, i from g semi join (select g from g group by g having count(*) > 1) using (g)),
+     c as (select distinct r, unnest(range(i, i + 35)) as j from s),
+     x as (select d.r, d.doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as j from d),
+     k as (select x.r, count(*) as n, count(c.j) as gone, string_agg(word, ' ' order by x.j) filter (c.j is null) as kept from x left join c on c.r = x.r and c.j = x.j group by x.r)
+select d.doc_id, coalesce(n, 0) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (r)""",
+    "op10_secrets": _SECRETS,
 }
