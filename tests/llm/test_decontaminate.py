@@ -41,3 +41,56 @@ def test_names_that_open_sentences_and_joined_units(spark):
     item = "the bag of rice of 5kg is carried up the hill by two men who take turns until they come to the village square"
     assert flagged(spark, item, [item.replace("5kg", "8kg"), item.replace("5kg", "8 kg"), "T" + item[1:], item]) == [True] * 4
     assert flagged(spark, "the short item has just eight words here", ["The short item has just eight words here"]) == [True]
+
+
+QUESTIONS = [
+    "{n} has {a} {u} of rice and sells {b} {u} of it to {m} on the way home. How many {u} are left in the end?",
+    "A car drives {a} {u} in the first hour and {b} {u} in the next. What is the average of the two, and how far has {n} come?",
+    "{n} reads {a} pages of the old book each evening for {b} days, and {m} reads half as many. How many pages did both of them read?",
+    "The tank of the farm holds {a} {u} of water. {n} takes out {b} {u} each morning until nothing is left. After how many mornings is it empty?",
+    "If {n} walks {a}{s} before lunch and {b}{s} after it, while {m} stays in the tent, how long is the whole walk of the day?",
+    "There are {a} birds on the roof and {b} birds in the tree. When {n} claps, half of those on the roof fly to the tree. How many sit in the tree now?",
+    "In a class of {a} pupils, {b} of them play the flute and {n} alone plays the drum. What part of the class plays no instrument at all?",
+    "{n} and {m} share {a} {u} of flour so that one of them gets {b} {u} more than the other. How much flour does each of them get?",
+]
+
+
+def variants(seed):
+    """Questions with values drawn, the same with other values, and with values that do not fit their slots."""
+    import random
+
+    rng = random.Random(seed)
+    names, units, short = "Tom Anna Bob Maria Ivan Chloe Omar Lena".split(), "kilograms miles metres gallons feet litres yards pounds".split(), "kg km m cm ml".split()
+
+    def draw():
+        n, m = rng.sample(names, 2)
+        return {"n": n, "m": m, "a": rng.randint(20, 99), "b": rng.randint(2, 19), "u": rng.choice(units), "s": rng.choice(short)}
+
+    return [(q.format(**draw()), [q.format(**draw()) for _ in range(6)]) for q in QUESTIONS]
+
+
+def test_recall_of_questions_with_other_values(spark, monkeypatch):
+    """At least nine in ten of 48 variants among other words, also by the shuffled joins; no text that shares a few words."""
+    made = variants(1)
+    bench = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(made)], "item_id long, text string")
+    around = "Some words of another page that has nothing to do with it stand here, and then comes this. "
+    docs = [(i * 10 + k, f"{around}{v} {around}", i) for i, (_, vs) in enumerate(made) for k, v in enumerate(vs)]
+    clean = [(1000 + i, around + " ".join(q.split()[: len(q.split()) // 2]) + " and then the page goes on with words of its own that no question holds.") for i, (q, _) in enumerate(made)]
+    df = spark.createDataFrame([d[:2] for d in docs] + clean + [(1, None), (None, made[0][0]), (docs[0][0], docs[0][1])], "doc_id long, text string")
+    for limit in (None, 0):
+        if limit is not None:
+            monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+            monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", limit)
+        got = {(r.doc_id, x) for r in decontaminate.flag_documents(df, bench).collect() for x in r.item_ids}
+        assert sum((d, i) in got for d, _, i in docs) >= 0.9 * len(docs)
+        assert not {d for d, _ in got} & {d for d, _ in clean} and all(d is not None for d, _ in got)
+        assert all(i == next(x[2] for x in docs if x[0] == d) for d, i in got)
+
+
+def test_texts_of_a_form_with_shuffled_values_are_left_alone(spark):
+    """Each mention of a slot has another value: the form is there, the question is not."""
+    item = "{0} gave {1} {3} of corn to {2}, then {2} gave {4} {3} of corn back to {0}, and {0} gave {1} {3} of corn to {2} once more, so {2} gave {4} {3} of corn to {0}"
+    whole = item.format("Tom", 12, "Anna", "miles", 7)
+    other = item.format("Omar", 30, "Lena", "yards", 4)
+    shuffled = "Bob gave 3 miles of corn to Anna, then Maria gave 8 feet of corn back to Ivan, and Chloe gave 5 yards of corn to Omar once more, so Lena gave 9 cups of corn to Tom"
+    assert flagged(spark, whole, [whole, other, shuffled]) == [True, True, False]

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, in DataFrame functions alone.
 
-Numbers, units after or joined to numbers and capitalised words become typed placeholders, case
-and punctuation go, items are also met without their capitals, and windows of WIDTH template words are hash-joined with those of the
+Numbers, units (words that name one, anywhere, and up to four letters joined to a number) and
+capitalised words become typed placeholders, case and punctuation go, items are also met without
+their capitals, and windows of WIDTH template words are hash-joined with those of the
 benchmark.  A document holds an item when at least SHARE of the item's distinct windows occur
 in it and its slots agree at one place: with each item window taken once, at one offset or at
 offsets close to each other, most benchmark values of a slot stand for one document value each,
@@ -10,7 +11,9 @@ that merely shares a form with shuffled values is not.
 
 Null text is empty.  Items with fewer than WIDTH words are one shorter window, items without
 words match nothing.  Repeated rows of a doc_id, or of an item_id, count as one.  Rows with a
-null doc_id are reported as not matched; null item ids are ignored.
+null doc_id are reported as not matched; null item ids are ignored.  Of an item's texts the
+smallest counts.  Texts of any length are read whole.  Empty tables give no matches; columns but
+ids and texts are never read.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, of_key
 
 WIDTH, SHARE = 8, 0.8
-BROADCAST_WINDOWS = 500_000  # above this many benchmark windows the join is shuffled
-# Units of measure that turn into a placeholder after a number.
-UNITS = "kg|g|mg|km|m|cm|mm|miles?|hours?|minutes?|seconds?|days?|years?|dollars?|euros?|percent|litres?|liters?"
+BROADCAST_WINDOWS = 500_000  # above this many benchmark windows, three numbers each, the join is shuffled
+BROADCAST_DOCS = 4_000_000  # above this many documents that hold an item by form, one number each, texts are shuffled
+# Words that name a unit of measure, time or money.
+UNITS = (
+    "kg|g|mg|t|km|m|cm|mm|kmh|mph|l|ml|hz|khz|mhz|kw|kwh|w|v|kilograms?|grams?|grammes?|tons?|tonnes?|pounds?|lbs?|ounces?|oz|kilomet(?:er|re)s?|met(?:er|re)s?|centimet(?:er|re)s?|millimet(?:er|re)s?|"
+    "miles?|yards?|feet|foot|ft|inch(?:es)?|acres?|hectares?|lit(?:er|re)s?|gallons?|pints?|quarts?|cups?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|decades?|degrees?|percent|dollars?|cents?|euros?|pence|rupees?|yen|volts?|watts?|knots?"
+)
 SLOTS = "(xnumx|xunitx|xnamex)"
 
 
@@ -33,13 +40,13 @@ def _plain(c):
 
 
 def _apart(c):
-    """Units joined to their number are words of their own."""
-    return F.regexp_replace(c, rf"(?<=\p{{N}})(?=(?:{UNITS})(?![\p{{L}}\p{{N}}]))", " ")
+    """Up to four letters that are joined to a number are a word of their own."""
+    return F.regexp_replace(c, r"(?<=\p{N})(?=\p{L}{1,4}(?![\p{L}\p{N}]))", " ~")
 
 
 def _template(c):
     c = F.regexp_replace(_apart(c), r"(?<![\p{L}\p{N}.,])\p{N}[\p{N}.,]*(?![\p{L}\p{N}])", "xnumx ")
-    c = F.regexp_replace(c, rf"xnumx\s+(?:{UNITS})(?![\p{{L}}\p{{N}}])", "xnumx xunitx")
+    c = F.regexp_replace(c, rf"~\p{{L}}+|(?i)(?<![\p{{L}}\p{{N}}])(?:{UNITS})(?![\p{{L}}\p{{N}}])", "xunitx")
     return F.regexp_replace(c, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "xnamex")
 
 
@@ -72,7 +79,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     texts = raw.select("doc_id", _plain(_template(F.col("text"))).alias("t"))
     hashed = F.filter(F.concat(*[F.coalesce(_windows(F.col("t"), s), F.array().cast("array<long>")) for s in sizes]), lambda x: x.isNotNull()) if sizes else F.array().cast("array<long>")
     # explode_outer: for explode, the optimizer adds a filter that makes the templates twice
-    hits = texts.select("doc_id", F.explode_outer(F.array_distinct(hashed)).alias("h")).join(b, "h")
+    hits = texts.select("doc_id", F.explode_outer(F.array_distinct(hashed)).alias("h"))
+    hits = hits.join(b, "h") if small else of_key(hits.where("h is not null"), b, "h", "inner")
     enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("own").alias("n_matched")).join(F.broadcast(total) if small else total, "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
     if sizes:
         enough = _agreeing(cut(enough), bench, raw, sizes, share)
@@ -82,7 +90,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
 def _agreeing(enough: DataFrame, bench: DataFrame, raw: DataFrame, sizes: list[int], share: float) -> DataFrame:
     """Pairs that have a place where the slots agree; only pairs that match by form are looked at."""
     held = enough.join(bench, "item_id").select("doc_id", "item_id", "n_windows", "long", "idx", "own", "h", "form", F.col("held").alias("ours"))
-    wide = raw.join(enough.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), _plain(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
+    some = cut(enough.select("doc_id").distinct())
+    some = F.broadcast(some) if some.count() <= BROADCAST_DOCS else some
+    wide = raw.join(some, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), _plain(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
     n = F.when(F.size("t") == F.size("v"), F.size("t"))  # null where breaks differ: no windows
     # a lambda of two parameters, defaults too, would get the place in the array as its second
     window = lambda s: lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i, s)).alias("h"), F.slice("v", i, s).alias("theirs"))
