@@ -69,6 +69,9 @@ def test_packages_are_written_and_read_back(spark, tmp_path):
     assert got["w1"].text == text.replace("\r\n", "\n") and "title: First" in got["w1"].header
     assert sorted(r.text[:15] for r in files.chapter_files(spark, str(tmp_path)).collect()) == ["# Chapter One\n\n", "# Chapter Two\n\n", "# Section 1\n\non"]
     assert files.chapter_files(spark, str(tmp_path), 2).count() == 1
+    zones = {r.path.split("/")[-2]: r for r in files.library_zones(spark, str(tmp_path)).collect()}
+    raw = (tmp_path / "ann/w1/full_text.md").read_bytes()
+    assert zones["w1"].source_sha256 == hashlib.sha256(raw).hexdigest() and [(z.kind, raw[z.byte_start : z.byte_end][:12].strip()) for z in zones["w1"].zones] == [("front_matter", b"---\ntitle: F"), ("body", b"Chapter One"), ("back_matter", b"")]
     with pytest.raises(ValueError, match="leaves"):
         writers.inside(str(tmp_path), "../x")
 
@@ -132,3 +135,12 @@ def test_recorded_answers(spark, tmp_path):
     writers.preflight(str(tmp_path), 1, spark)
     with pytest.raises(RuntimeError, match="disk"):
         writers.preflight(str(tmp_path), 1 << 60, spark)
+
+
+def test_run_time_is_utc(spark):
+    import datetime
+
+    from textloom.functions import raw as R
+
+    got = spark.range(1).select(R.run_time().alias("now"), R.run_time("2024-01-01T00:00:00+00:00").alias("own")).first()
+    assert abs((datetime.datetime.fromisoformat(got.now) - datetime.datetime.now(datetime.UTC)).total_seconds()) < 60 and got.own.startswith("2024")

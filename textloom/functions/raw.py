@@ -30,6 +30,11 @@ def window(content, start, end) -> Column:
     return F.struct(start.alias("byte_start"), (end - start).alias("byte_len"), F.sha2(part, 256).alias("window_sha256"), part.alias("window"))
 
 
+def run_time(at: str | None = None) -> Column:
+    """Time of a run in UTC, to the second, as text; a run that must be repeatable gives its own."""
+    return F.lit(at) if at else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def quoted(c) -> Column:
     """A JSON string with non-ASCII letters kept."""
     plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -47,8 +52,10 @@ def listed(*items) -> Column:
     return F.concat(F.lit("["), F.concat_ws(", ", *items), F.lit("]"))
 
 
-def relation_hash(df, columns):
-    """One hash of a whole relation, whatever the order of its rows: hashes of groups of row hashes, hashed."""
+def relation_hash(df, columns, digits: int = 3):
+    """One hash of a whole relation, whatever the order of its rows: hashes of groups of row hashes, hashed.
+
+    A task holds the row hashes of one of 16 ** digits groups: more digits for larger tables make another hash."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    groups = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("g")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
+    groups = df.select(row.alias("h")).groupBy(F.substring("h", 1, digits).alias("g")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "\n"), 256).alias("h"))
     return groups.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x.h), "\n"), 256).alias("relation_sha256"))

@@ -29,13 +29,16 @@ def ignore_known(new: DataFrame, known: DataFrame, keys: list[str], order: list[
 
 
 def resolve(incoming: DataFrame, known: DataFrame, key: str, ident: str) -> DataFrame:
-    """incoming with the id of its key; keys not known yet get the next ids, in order."""
+    """incoming with the id of its key; keys not known yet get the next ids.
+
+    New keys are numbered within 4,096 groups by hash, whose sizes are summed: no task sees them all."""
     ids = known.groupBy(key).agg(F.min(ident).alias(ident))
-    top = known.agg(F.coalesce(F.max(ident), F.lit(0)).alias("_top"))
-    fresh = incoming.select(key).distinct().join(ids, key, "left_anti")
-    # numbered by range of keys: the numbers of a range start after the sizes of the ranges before it
-    ranged = fresh.orderBy(key).select(key, F.monotonically_increasing_id().alias("_m"))
-    given = ranged.select(key, F.rank().over(Window.orderBy("_m")).alias("_n")).join(F.broadcast(top)).select(key, (F.col("_n") + F.col("_top")).alias(ident), F.lit(True).alias("is_new"))
+    top = known.agg(F.coalesce(F.max(ident), F.lit(0))).first()[0]
+    fresh = incoming.select(key).distinct().join(ids, key, "left_anti").withColumn("_g", F.substring(F.md5(key), 1, 3))
+    sizes = fresh.groupBy("_g").agg(F.count("*").alias("_n"))
+    before = sizes.select("_g", (F.lit(top) + F.coalesce(F.sum("_n").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_from"))  # 4,096 rows
+    nth = F.row_number().over(Window.partitionBy("_g").orderBy(key))
+    given = fresh.join(F.broadcast(before), "_g").select(key, (F.col("_from") + nth).alias(ident), F.lit(True).alias("is_new"))
     return incoming.join(ids.withColumn("is_new", F.lit(False)).unionByName(given), key)
 
 

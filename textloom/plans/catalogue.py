@@ -211,7 +211,7 @@ def u03_same_items(li):
     return both.groupBy("n").agg((F.count_if(F.col("times") != 2) == 0).alias("same_items")).join(pairs, "n").select("n", "same_items")
 
 
-@query("with i as (select s_name as slug, s_suppkey as r from supplier union all select c_name, c_custkey + 1000000 from customer where c_custkey % 2 = 0), f as (select slug, row_number() over (order by slug) as n from (select distinct slug from i) where slug not in (select c_name from customer)) select i.r, coalesce(c.id, f.n + m.top) as id, c.id is null as is_new from i left join (select c_name, min(c_custkey) as id from customer group by c_name) c on c_name = slug left join f using (slug), (select max(c_custkey) as top from customer) m", "supplier", "customer")
+@query("with i as (select s_name as slug, s_suppkey as r from supplier union all select c_name, c_custkey + 1000000 from customer where c_custkey % 2 = 0), f as (select slug, row_number() over (order by substring(md5(slug), 1, 3), slug) as n from (select distinct slug from i) where slug not in (select c_name from customer)) select i.r, coalesce(c.id, f.n + m.top) as id, c.id is null as is_new from i left join (select c_name, min(c_custkey) as id from customer group by c_name) c on c_name = slug left join f using (slug), (select max(c_custkey) as top from customer) m", "supplier", "customer")
 def j18_resolved_keys(s, c):
     incoming = s.select(F.col("s_name").alias("slug"), F.col("s_suppkey").alias("r")).union(c.where("c_custkey % 2 = 0").select("c_name", F.col("c_custkey") + 1000000))
     known = c.select(F.col("c_name").alias("slug"), F.col("c_custkey").alias("id"))

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from textloom.functions import text as T
+from textloom.operators import zones as Z
 
 ZONES = "source_sha256 string, zones array<struct<kind string, byte_start bigint, byte_end bigint>>"
 MANIFEST = "author_slug string, work_slug string, title string, word_count bigint, chapters array<struct<index bigint, title string, word_count bigint>>"
@@ -110,6 +111,13 @@ def library(spark: SparkSession, root: str) -> DataFrame:
     return m.agg(F.countDistinct("author_slug").alias("authors"), F.count("*").alias("works"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"))
 
 
+def library_zones(spark: SparkSession, root: str) -> DataFrame:
+    """path, source_sha256, zones of every full text under a root, found in one pass: bound to the bytes they were found in."""
+    full = plain_texts(spark, f"{root}/*/*/full_text.md")
+    found = Z.detect(full, "path")
+    return found.join(artifacts(spark, f"{root}/*/*/full_text.md").select("path", F.col("sha256").alias("source_sha256")), "path").select("path", "source_sha256", "zones")
+
+
 def packages(spark: SparkSession, root: str) -> DataFrame:
     """path, header, text of the full texts under a root, front matter taken off."""
     full = plain_texts(spark, f"{root}/*/*/full_text.md")
