@@ -121,7 +121,7 @@ def test_held_out_accuracy(spark):
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     labels, vectors = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "vec_id long, embedding array<float>")
-    for df in (lines.dedup_lines(docs), simhash.near_groups(docs), substrings.drop_repeats(docs), decontaminate.flag_documents(docs, bench), topk.top_k(vectors), toxicity.score(docs, toxicity.train(docs, labels)), langid.predict(docs, langid.train(docs))):
+    for df in (lines.dedup_lines(docs), simhash.near_groups(docs), substrings.drop_repeats(docs), decontaminate.flag_documents(docs, bench), topk.top_k(vectors), toxicity.score(docs, toxicity.train(docs, labels)), langid.predict(docs, langid.train(docs)), tokens.count_tokens(docs, P.path("byte_bpe_50k.json")), secret_scan.scan_documents(docs), bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)):
         assert df.count() == 0
 
 
@@ -321,3 +321,20 @@ def test_secret_sql_reads_every_kind(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     df = queries.op10_secrets(spark, str(tmp_path))
     assert rows(df) == sorted(con.execute(f"select {','.join(df.columns)} from ({queries.ORACLES['op10_secrets']})").fetchall())
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    """Every operator on documents gives one row for each row, also without an id, and never reads columns of its own outputs' names."""
+    data = [(None, "a text of some words here"), (None, None), (7, "a text of some words here"), (7, "a text of some words here"), (8, "x" * 300_000)]
+    docs = spark.createDataFrame([(*x, "bad", -1, [1.5], True) for x in data], "doc_id long, text string, kept string, n_tokens long, spans array<double>, held_out boolean")
+    bench, labels = spark.createDataFrame([(1, "a text of some words here", 5)], "item_id long, text string, contaminated int"), spark.createDataFrame([(7, 1, 1)], "doc_id long, toxic int, predicted int")
+    made = {
+        "lines": lines.dedup_lines(docs), "tokens": tokens.count_tokens(docs, P.path("byte_bpe_50k.json")), "simhash": simhash.near_groups(docs), "toxicity": toxicity.score(docs, toxicity.train(docs, labels)), "bpe": bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+        "substrings": substrings.drop_repeats(docs, 4), "flags": decontaminate.flag_documents(docs, bench), "lang": langid.predict(docs, None), "secrets": secret_scan.scan_documents(docs),
+    }
+    got = {k: df.collect() for k, df in made.items()}
+    for k, found in got.items():
+        assert sorted(str(r.doc_id) for r in found) == ["7", "7", "8", "None", "None"], k
+        assert len({str(r) for r in found if r.doc_id == 7}) == 1, k
+    assert {r.contaminated for r in got["flags"] if r.doc_id is None} == {False} and {r.contaminated for r in got["flags"] if r.doc_id == 7} == {True}
+    assert [r.n_removed for r in got["substrings"] if r.doc_id == 7] == [6, 6] and {r.kept for r in got["lines"] if r.doc_id == 7} == {data[0][1]}

@@ -3,7 +3,8 @@
 Distinct pre-tokens of an Arrow batch lie end to end in one array.  In each round every
 sequence merges its own lowest-rank pair wherever it stands, all sequences at once; finished
 sequences leave.  What survives is counted.  Null text counts as empty; an empty table gives
-no rows; repeated rows are counted each; text of any length is counted whole.
+no rows; repeated rows are counted each; text of any length is counted whole; a null doc_id stays
+null; columns but doc_id and text are never read.  Equal ranks cannot be: a pair has one rank.
 """
 
 from __future__ import annotations
