@@ -11,6 +11,7 @@ from textloom.operators import catalogue as C
 from textloom.operators import dictionary as D
 from textloom.operators import evidence as E
 from textloom.plans.registry import query
+from textloom.sources.writers import catalogue_line, checked_copy, package
 
 
 # filters and projections
@@ -466,3 +467,70 @@ def i02_keys(o, li, s):
     twice = o.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
     orphans = li.join(s.where("s_acctbal > 0"), li.l_suppkey == s.s_suppkey, "left_anti").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n"))
     return twice.select(F.lit("duplicate").alias("fault"), "k", "n").unionByName(orphans.select(F.lit("orphan").alias("fault"), "k", "n"))
+
+
+# sinks, as the rows that they write
+_TAGS = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{T.SPACE}', ' ', 'g'), '^{T.SPACE}', ''), '{T.SPACE}$', '')"
+
+
+@query(f"select page_id, md5({_TAGS}) as h from pages", "pages")
+def s08_stripped_tags(p):
+    """Marked-up books read as plain text: tags become spaces, white space collapses."""
+    return p.select("page_id", F.md5(T.fiction_book_text(F.col("html"))).alias("h"))
+
+
+@query("""select '/w' || doc_id || '/full_text.md' as path, sha256('---' || chr(10) || 'title: ' || source || chr(10) || 'author: ' || lang || chr(10) || 'word_count: ' || n || chr(10) || 'token_estimate: ' || cast(floor(n * cast(1.35 as double)) as integer) || chr(10) || 'sha256: ' || sha256(t) || chr(10) || '---' || chr(10) || t) as h from (select doc_id, source, lang, t, len(list_filter(regexp_split_to_array(t, '""" + T.SPACE + """'), lambda w: w <> '')) as n from (select doc_id, source, lang, regexp_replace(regexp_replace(text, '^""" + T.SPACE + """', ''), '""" + T.SPACE + """$', '') as t from documents))""", "documents")
+def s16_package_texts(d):
+    """Full texts of packages, with front matter on words, tokens and hash."""
+    works = d.select(F.col("lang").alias("author_slug"), F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("work_slug"), F.col("source").alias("title"), "text")
+    full = package(works).where(F.col("path").endswith("/full_text.md"))
+    return full.select(F.regexp_replace("path", "^[^/]*", "").alias("path"), F.sha2("content", 256).alias("h"))
+
+
+@query("select c_custkey as id, c_name as name, c_acctbal as score, null as zone from customer union all select s_suppkey, s_name, null, s_nationkey from supplier", "customer", "supplier")
+def s18_append(c, s):
+    """Rows appended by name; columns that either side lacks are null."""
+    new = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("zone"))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score")).unionByName(new, allowMissingColumns=True)
+
+
+@query("select conv_id, to_json({'id': conv_id, 'turns': list({'turn': turn, 'role': role} order by turn)}) as line from conversations group by conv_id", "conversations")
+def s20_json_export(c):
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    return c.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.to_json(F.struct(F.col("conv_id").alias("id"), "turns")).alias("line"))
+
+
+@query("select o_orderkey, '| **' || o_orderkey || '** | ' || year(o_orderdate) || ' | ' || coalesce(c_name, '—') || ' | `' || o_orderstatus || '` | ' || format('{:,}', cast(floor(o_totalprice) as bigint)) || ' | `unknown` |' as line from orders left join customer on c_custkey = o_custkey and c_mktsegment <> 'BUILDING'", "orders", "customer")
+def s21_catalogue_lines(o, c):
+    """Rows of the catalogue's table, by work."""
+    known = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    works = o.join(known, "o_custkey", "left").select("o_orderkey", F.col("o_orderkey").alias("title"), F.year("o_orderdate").alias("year"), F.col("c_name").alias("author"), F.col("o_orderstatus").alias("class"), F.floor("o_totalprice").alias("words"), F.lit(None).cast("string").alias("rights"))
+    return works.select("o_orderkey", catalogue_line().alias("line"))
+
+
+@query("select doc_id from documents where doc_id % 3 <> 1", "documents")
+def s24_checked_copies(d):
+    """Only bytes with the hash that was expected are taken over."""
+    files = d.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    expected = d.select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return checked_copy(files, expected).select(F.col("path").alias("doc_id"))
+
+
+@query("select user_id, count(*) as n, sha256(string_agg(to_json({'event_id': event_id, 'action': event_type}), chr(10) order by event_id)) as h from events group by user_id", "events")
+def s26_audit_export(e):
+    """What the decision endpoints serve: each card's history as JSON, oldest first."""
+    rows = F.sort_array(F.collect_list(F.struct("event_id", F.to_json(F.struct("event_id", F.col("event_type").alias("action"))).alias("line"))))
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(rows, lambda r: r.line), "\n"), 256).alias("h"))
+
+
+@query("select l_orderkey, l_suppkey, term, min(l_linenumber) as l_linenumber from (select *, lower(l_returnflag) as term from lineitem) group by all", "lineitem")
+def w02_first_records(li):
+    """The first record of each work, artifact and folded term."""
+    rows = li.select("l_orderkey", "l_suppkey", F.lower("l_returnflag").alias("term"), "l_linenumber")
+    return C.ignore_known(rows, rows.limit(0), ["l_orderkey", "l_suppkey", "term"], ["l_linenumber"])
+
+
+@query("select c_custkey as id, coalesce(s_name, c_name) as name, coalesce(s_acctbal, c_acctbal) as score from customer left join supplier on s_suppkey = c_custkey union all select s_suppkey, s_name, s_acctbal from supplier where s_suppkey not in (select c_custkey from customer)", "customer", "supplier")
+def u09_insert_or_replace(c, s):
+    old = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("score"))
+    return C.upsert(old, s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("score")), ["id"], ["name", "score"])

@@ -117,13 +117,16 @@ def write_cards(cards: DataFrame, counts: DataFrame, folder: str) -> None:
     cards.write.mode("errorifexists").json(f"{folder}/cards.json")
 
 
+def catalogue_line() -> Column:
+    cell = lambda c, none="—": F.coalesce(F.col(c).cast("string"), F.lit(none))
+    return F.concat(F.lit("| **"), cell("title"), F.lit("** | "), cell("year"), F.lit(" | "), cell("author"), F.lit(" | `"), cell("class", "absent"), F.lit("` | "), F.coalesce(F.format_number("words", 0), F.lit("—")), F.lit(" | `"), cell("rights", "unknown"), F.lit("` |"))
+
+
 def catalogue_report(works: DataFrame, counters: DataFrame, path: str) -> dict:
     """A table of works(title, year, author, class, words, rights) by year and title, and the counters."""
-    cell = lambda c, none="—": F.coalesce(F.col(c).cast("string"), F.lit(none))
-    line = F.concat(F.lit("| **"), cell("title"), F.lit("** | "), cell("year"), F.lit(" | "), cell("author"), F.lit(" | `"), cell("class", "absent"), F.lit("` | "), F.coalesce(F.format_number("words", 0), F.lit("—")), F.lit(" | `"), cell("rights", "unknown"), F.lit("` |"))
     n = counters.first().asDict()
     head = "# Library\n\n" + "".join(f"- {k}: {v:,}\n" for k, v in n.items()) + "\n| work | year | author | class | words | rights |\n| --- | --- | --- | --- | --- | --- |\n"
-    write_report(works.select(F.coalesce("year", F.lit(0)).alias("y"), "title", line.alias("line")), ["y", "title", "line"], path, head)
+    write_report(works.select(F.coalesce("year", F.lit(0)).alias("y"), "title", catalogue_line().alias("line")), ["y", "title", "line"], path, head)
     return n
 
 
