@@ -126,6 +126,6 @@ def sieve(df: DataFrame, key: str, n: int):
                     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pd.DataFrame({"i": list(held), "bits": [v.tobytes() for v in held.values()]})
 
-    dealt = df.select(key).mapInPandas(deal, "i long, k long").repartition(SLICES, "i")
+    dealt = df.select(key).mapInPandas(deal, "i long, k long").repartition(min(SLICES, parts(df.sparkSession)), "i")
     rows = dealt.mapInPandas(fill, "i long, bits binary").collect()  # the bits of the sieve, 32 MB at most
     return df.sparkSession.sparkContext.broadcast(Sieve({r.i: bytes(r.bits) for r in rows}, log))

@@ -126,7 +126,8 @@ def _meet(batches: Iterator[pd.DataFrame], name) -> Iterator[pd.DataFrame]:
 
 
 def _buckets(b: pd.DataFrame, name) -> Iterator[pd.DataFrame]:
-    key, ids, roots = (b[c].to_numpy(np.int64) for c in ("key", "id", "root"))
+    key, ids = (b[c].to_numpy(np.int64) for c in ("key", "id"))
+    roots = b["root"].to_numpy(np.int64) if "root" in b else ids
     fps = b[["fa", "fb"]].to_numpy(np.int64).view(np.uint64)
     cuts, out = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(b)], []
     for i, j in zip(cuts, cuts[1:], strict=False):
@@ -138,7 +139,9 @@ def _buckets(b: pd.DataFrame, name) -> Iterator[pd.DataFrame]:
 
 
 def _pairs(sets: DataFrame, name) -> DataFrame:
-    keyed = sets.select("id", "fa", "fb", "root").mapInPandas(_keys, "key long, id long, fa long, fb long, root long")
+    """Pairs that `name` makes of the sets (id, fa, fb and perhaps root) that meet; rows are no wider than that."""
+    columns = [c for c in ("id", "fa", "fb", "root") if c in sets.columns]
+    keyed = sets.select(*columns).mapInPandas(_keys, "key long, " + ", ".join(f"{c} long" for c in columns))
     met = keyed.repartition(parts(sets.sparkSession), "key").sortWithinPartitions("key", "id")
     return cut(met.mapInPandas(lambda it: _meet(it, name), "a long, b long").distinct())
 
@@ -148,7 +151,7 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     base = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     every = cut(base.mapInPandas(_prints, "row long, doc_id long, same long, fa long, fb long"))
     sets = cut(every.groupBy("same").agg(F.min("row").alias("id"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
-    first = _pairs(sets.withColumn("root", F.col("id")), _leaders)
+    first = _pairs(sets, _leaders)
     active = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     text = base.join(active, base.row == active.id, "left_semi").select("row", "text")
     held = cut(text.mapInPandas(_sets, "id long, held array<long>"))
