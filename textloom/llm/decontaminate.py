@@ -27,9 +27,11 @@ WIDTH, SHARE = 8, 0.8
 BROADCAST_WINDOWS = 500_000  # above this many benchmark windows, three numbers each, the join is shuffled
 BROADCAST_DOCS = 4_000_000  # above this many documents that hold an item by form, one number each, texts are shuffled
 # Words that name a unit of measure, time or money.
-UNITS = (
-    "kg|g|mg|t|km|m|cm|mm|kmh|mph|l|ml|hz|khz|mhz|kw|kwh|w|v|kilograms?|grams?|grammes?|tons?|tonnes?|pounds?|lbs?|ounces?|oz|kilomet(?:er|re)s?|met(?:er|re)s?|centimet(?:er|re)s?|millimet(?:er|re)s?|"
-    "miles?|yards?|feet|foot|ft|inch(?:es)?|acres?|hectares?|lit(?:er|re)s?|gallons?|pints?|quarts?|cups?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|decades?|degrees?|percent|dollars?|cents?|euros?|pence|rupees?|yen|volts?|watts?|knots?"
+UNITS = frozenset(
+    "kg g mg t km m cm mm kmh mph l ml hz khz mhz kw kwh w v kilogram kilograms gram grams gramme grammes ton tons tonne tonnes pound pounds lb lbs ounce ounces oz kilometer kilometers kilometre kilometres "
+    "meter meters metre metres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres mile miles yard yards feet foot ft inch inches acre acres hectare hectares "
+    "liter liters litre litres gallon gallons pint pints quart quarts cup cups hour hours hr hrs minute minutes min mins second seconds sec secs day days week weeks month months year years decade decades "
+    "degree degrees percent dollar dollars cent cents euro euros pence rupee rupees yen volt volts watt watts knot knots".split()
 )
 SLOTS = "(xnumx|xunitx|xnamex)"
 
@@ -39,20 +41,25 @@ def _plain(c):
     return F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\s]+", "")), r"\s+"), lambda x: x != "")
 
 
-def _apart(c):
-    """Up to four letters that are joined to a number are a word of their own."""
-    return F.regexp_replace(c, r"(?<=\p{N})(?=\p{L}{1,4}(?![\p{L}\p{N}]))", " ~")
+# a number and up to four letters joined to it; a capitalised word.  The first character is tried before what stands before it
+NUMBER = r"(\p{N}(?<![\p{L}\p{N}.,]\p{N})[\p{N}.,]*)(\p{L}{1,4})?(?![\p{L}\p{N}])"
+NAME = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 
 
 def _template(c):
-    c = F.regexp_replace(_apart(c), r"(?<![\p{L}\p{N}.,])\p{N}[\p{N}.,]*(?![\p{L}\p{N}])", "xnumx ")
-    c = F.regexp_replace(c, rf"~\p{{L}}+|(?i)(?<![\p{{L}}\p{{N}}])(?:{UNITS})(?![\p{{L}}\p{{N}}])", "xunitx")
-    return F.regexp_replace(c, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "xnamex")
+    """Joined units become words of their own; a tilde that marks none goes with other punctuation."""
+    c = F.regexp_replace(F.regexp_replace(c, NUMBER, "xnumx ~$2 "), r"~\p{L}+", "xunitx")
+    return F.regexp_replace(c, NAME, "xnamex")
 
 
 def _values(c):
     """The same words with the same breaks, values kept."""
-    return F.regexp_replace(_apart(c), r"(?<![\p{L}\p{N}.,])(\p{N}[\p{N}.,]*)(?![\p{L}\p{N}])", "$1 ")
+    return F.regexp_replace(c, NUMBER, "$1 $2 ")
+
+
+def _words(c):
+    """Words of a template: those that name a unit are one too."""
+    return F.transform(_plain(c), lambda w: F.when(w.isin(*sorted(UNITS)), "xunitx").otherwise(w))
 
 
 def _windows(words, width):
@@ -63,7 +70,7 @@ def _windows(words, width):
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows of the items that documents hold."""
     items = benchmark.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
-    items = items.select("item_id", _plain(_template(F.coalesce("text", F.lit("")))).alias("t"), _plain(_template(F.lower(F.coalesce("text", F.lit(""))))).alias("low"), _plain(_values(F.coalesce("text", F.lit("")))).alias("v")).where("size(t) > 0")
+    items = items.select("item_id", _words(_template(F.coalesce("text", F.lit("")))).alias("t"), _words(_template(F.lower(F.coalesce("text", F.lit(""))))).alias("low"), _plain(_values(F.coalesce("text", F.lit("")))).alias("v")).where("size(t) > 0")
     items = items.withColumn("size", F.least(F.size("t"), F.lit(width)))
     # an item window meets documents in three forms: its own, without capitals, and its first word with one
     cutout = lambda c, i: F.slice(c, i, F.col("size"))
@@ -76,7 +83,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     small = distinct.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     b = F.broadcast(distinct) if small else distinct
     raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = raw.select("doc_id", _plain(_template(F.col("text"))).alias("t"))
+    texts = raw.select("doc_id", _words(_template(F.col("text"))).alias("t"))
     hashed = F.filter(F.concat(*[F.coalesce(_windows(F.col("t"), s), F.array().cast("array<long>")) for s in sizes]), lambda x: x.isNotNull()) if sizes else F.array().cast("array<long>")
     # explode_outer: for explode, the optimizer adds a filter that makes the templates twice
     hits = texts.select("doc_id", F.explode_outer(F.array_distinct(hashed)).alias("h"))
@@ -92,7 +99,7 @@ def _agreeing(enough: DataFrame, bench: DataFrame, raw: DataFrame, sizes: list[i
     held = enough.join(bench, "item_id").select("doc_id", "item_id", "n_windows", "long", "idx", "own", "h", "form", F.col("held").alias("ours"))
     some = cut(enough.select("doc_id").distinct())
     some = F.broadcast(some) if some.count() <= BROADCAST_DOCS else some
-    wide = raw.join(some, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), _plain(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
+    wide = raw.join(some, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), _words(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
     n = F.when(F.size("t") == F.size("v"), F.size("t"))  # null where breaks differ: no windows
     # a lambda of two parameters, defaults too, would get the place in the array as its second
     window = lambda s: lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i, s)).alias("h"), F.slice("v", i, s).alias("theirs"))
