@@ -39,6 +39,7 @@ _REGISTER = "case l_returnflag when 'A' then 'attested' when 'N' then 'proposed'
 @query(
     f"select register, l_orderkey, l_linenumber, if(register = 'attested', l_quantity, null) as witness, if(register = 'proposed', l_partkey, null) as proposed, if(register = 'external', l_suppkey, null) as authority from (select *, {_REGISTER} as register from lineitem)",
     "lineitem",
+    holes="proposed authority",
 )
 def f07_register_routing(li):
     rows = li.select("l_orderkey", "l_linenumber", F.expr(_REGISTER).alias("register"), F.col("l_quantity").alias("witness"), F.col("l_partkey").alias("proposed"), F.col("l_suppkey").alias("authority"))
@@ -73,7 +74,7 @@ def f12_interface_search(c, n, o):
     return shown.where(status.isin("O", "pending")).select("c_custkey", status.alias("status"))
 
 
-@query("select event_id, cast(json_extract(coalesce(nullif(if(event_id % 5 = 0, '', props), ''), '{}'), '$.k') as bigint) as k, event_type as kind from events", "events")
+@query("select event_id, cast(json_extract(coalesce(nullif(if(event_id % 5 = 0, '', props), ''), '{}'), '$.k') as bigint) as k, event_type as kind from events", "events", holes="k")
 def f13_decoded_projection(e):
     raw = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("props"))
     return e.select("event_id", F.from_json(F.coalesce(F.nullif(raw, F.lit("")), F.lit("{}")), "k bigint").k.alias("k"), F.col("event_type").alias("kind"))
@@ -99,7 +100,7 @@ def f16_length(d):
 _EARLY = "(select l_partkey, min(year(l_shipdate)) as earliest_year, count(*) as n from lineitem where l_returnflag = 'N' group by l_partkey)"
 
 
-@query(f"select l_orderkey, l_linenumber, e.earliest_year, c_name from lineitem t left join {_EARLY} e using (l_partkey) join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey", "lineitem", "orders", "customer")
+@query(f"select l_orderkey, l_linenumber, e.earliest_year, c_name from lineitem t left join {_EARLY} e using (l_partkey) join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey", "lineitem", "orders", "customer", holes="earliest_year")
 def j02_terms_with_earliest(li, o, c):
     """Terms with their earliest year, or null, and always their work and its author."""
     early = li.where("l_returnflag = 'N'").groupBy("l_partkey").agg(F.min(F.year("l_shipdate")).cast("long").alias("earliest_year"))
@@ -151,7 +152,7 @@ _SUPPLIED = "(select l_orderkey, list(distinct l_suppkey) as held from lineitem
 _CHOICES = "(select l_orderkey, l_suppkey + l_linenumber % 2 as src, l_partkey as value, l_linenumber as ord from lineitem where l_linenumber <= 3)"
 
 
-@query(f"select a.l_orderkey, (select arg_max(value, row(ord, src, value)) from {_CHOICES} c where c.l_orderkey = a.l_orderkey and list_contains(a.held, c.src)) as value from {_SUPPLIED} a", "lineitem")
+@query(f"select a.l_orderkey, (select arg_max(value, row(ord, src, value)) from {_CHOICES} c where c.l_orderkey = a.l_orderkey and list_contains(a.held, c.src)) as value from {_SUPPLIED} a", "lineitem", holes="value")
 def j12_preferred(li):
     """Cards with the last choice made for them whose source is among their attestations."""
     cards = li.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("held"))
@@ -169,7 +170,7 @@ def j13_taxonomy(li):
 _K16 = "substring(sha256('review.v1:' || {}), 1, 16)"
 
 
-@query(f"select d.doc_id, {_K16.format('d.doc_id')} as k, l.quality, c.excerpts from documents d left join labels l using (doc_id) left join (select conv_id, count(*) as excerpts from conversations group by conv_id) c on c.conv_id = l.doc_id", "documents", "labels", "conversations")
+@query(f"select d.doc_id, {_K16.format('d.doc_id')} as k, l.quality, c.excerpts from documents d left join labels l using (doc_id) left join (select conv_id, count(*) as excerpts from conversations group by conv_id) c on c.conv_id = l.doc_id", "documents", "labels", "conversations", holes="quality excerpts")
 def j14_reviews_and_contexts(d, lab, c):
     """Proposals with the decision of their computed key, if any, and that key's contexts, if any."""
     key = lambda x: F.substring(F.sha2(F.concat(F.lit("review.v1:"), x.cast("string")), 256), 1, 16)
@@ -270,7 +271,7 @@ def u01_cards(li, o):
     return _cards(li, o).select("key", "work_id", "definition", F.size("attestations").cast("long").alias("n_attested"), F.size("external").cast("long").alias("n_external"), F.array_join("proposals.variant", ",").alias("variants"))
 
 
-@query(f"select key, work_id, cast(earliest as bigint) as earliest from {_CARDS}", "lineitem", "orders")
+@query(f"select key, work_id, cast(earliest as bigint) as earliest from {_CARDS}", "lineitem", "orders", holes="earliest")
 def a08_earliest_verified(li, o):
     return _cards(li, o).select("key", "work_id", F.col("earliest").cast("long").alias("earliest"))
 
@@ -487,7 +488,7 @@ def s16_package_texts(d):
     return full.select(F.regexp_replace("path", "^[^/]*", "").alias("path"), F.sha2("content", 256).alias("h"))
 
 
-@query("select c_custkey as id, c_name as name, c_acctbal as score, null as zone from customer union all select s_suppkey, s_name, null, s_nationkey from supplier", "customer", "supplier")
+@query("select c_custkey as id, c_name as name, c_acctbal as score, null as zone from customer union all select s_suppkey, s_name, null, s_nationkey from supplier", "customer", "supplier", holes="zone")
 def s18_append(c, s):
     """Rows appended by name; columns that either side lacks are null."""
     new = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("zone"))

@@ -35,7 +35,7 @@ def w04_first_in_body(d, b):
     return E.first_in_body(d.withColumn("zones", _doc_zones()), E.occurrences(d, _terms(b)))
 
 
-@query(f"{_SPANS} select doc_id, term, idx, byte_offset, cast(s0 as integer) as byte_start, cast(e0 - s0 as integer) as byte_len, sha256(unhex(substr(hex(text), 2 * s0 + 1, 2 * (e0 - s0)))) as window_sha256, form as matched_form, count(*) over (partition by doc_id, term) as occurrences_total from w where term in ('in', 'estion')", "documents", "benchmark")
+@query(f"{_SPANS} select doc_id, term, idx, byte_offset, cast(s0 as bigint) as byte_start, cast(e0 - s0 as bigint) as byte_len, sha256(unhex(substr(hex(text), 2 * s0 + 1, 2 * (e0 - s0)))) as window_sha256, form as matched_form, count(*) over (partition by doc_id, term) as occurrences_total from w where term in ('in', 'estion')", "documents", "benchmark")
 def m18_witnesses(d, b):
     return E.witnesses(d, E.occurrences(d, _terms(b).where("term in ('in', 'estion')")))
 
@@ -94,7 +94,7 @@ _JOB_RUNS = rf"with j as (select doc_id, job, decode(frag) as t from {_JOBS}), r
 _HIT = "count(*) filter (starts_with(lower(form), term) and length(form) - length(term) <= 3)"
 
 
-@query(f"{_JOB_RUNS}, h as (select c.doc_id, c.job, c.term, {_HIT} as n, cast(min(c.job + spot) filter (starts_with(lower(form), term) and length(form) - length(term) <= 3) as bigint) as first from c left join p on p.doc_id = c.doc_id and p.job = c.job group by all) select doc_id, job, term, if(n > 0, 'present_in_fragment', 'absent_in_fragment') as status, n, first from h", "documents")
+@query(f"{_JOB_RUNS}, h as (select c.doc_id, c.job, c.term, {_HIT} as n, cast(min(c.job + spot) filter (starts_with(lower(form), term) and length(form) - length(term) <= 3) as bigint) as first from c left join p on p.doc_id = c.doc_id and p.job = c.job group by all) select doc_id, job, term, if(n > 0, 'present_in_fragment', 'absent_in_fragment') as status, n, first from h", "documents", holes="first")
 def j20_candidates_in_jobs(d):
     """Candidates of each job's fragment with their places in the whole text; those that are not there stay, and say so."""
     some = d.where("octet_length(text) = length(text) and doc_id % 5 <> 4")
@@ -292,7 +292,7 @@ def m08_entity_checks(d):
     return r.select("doc_id", F.array_join("r.issues", ",").alias("issues"), "r.status")
 
 
-@query("select doc_id, if(doc_id % 3 = 0, 'entity_limit', null) as error, cast(if(doc_id % 3 = 0, null, doc_id % 3) as bigint) as accepted from documents where length(text) > 20", "documents")
+@query("select doc_id, if(doc_id % 3 = 0, 'entity_limit', null) as error, cast(if(doc_id % 3 = 0, null, doc_id % 3) as bigint) as accepted from documents where length(text) > 20", "documents", holes="accepted")
 def m22_grounded_entities(d):
     e = lambda q: F.struct(F.lit("n").alias("name"), F.lit("place").alias("kind"), F.lit("d").alias("description_uk"), q.alias("quote"), F.lit("inferred").alias("epistemic"))
     own, none = F.substring("text", 1, 20), F.lit("\x01")

@@ -16,13 +16,20 @@ ORACLES: dict[str, str] = {}
 WORD = r"[^\p{L}\p{N}_]+"
 
 
-def query(sql: str, *tables: str):
-    """Register a function of the named tables' DataFrames under its own name."""
+def query(sql: str, *tables: str, holes: str = ""):
+    """Register a function of the named tables' DataFrames under its own name.
+
+    Whole numbers in the columns of `holes` may be null; both sides give -1 for that, since engines hand nulls on differently."""
+    names = holes.split()
 
     def wrap(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in tables])
+        def run(spark, sf_dir):
+            out = f(*[table(spark, sf_dir, t) for t in tables])
+            return out.withColumns({c: F.coalesce(c, F.lit(-1)) for c in names}) if names else out
+
+        QUERIES[f.__name__] = run
         if sql:  # none for state machines: those are tested against a plain fold
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = f"select * replace ({', '.join(f'coalesce({c}, -1) as {c}' for c in names)}) from ({sql})" if names else sql
         return f
 
     return wrap

@@ -114,6 +114,7 @@ def _bytes_before(prefix: str) -> str:
     f"b as (select *, {_bytes_before('substr(flat, 1, p - 1)')} as s, {_bytes_before('substr(flat, 1, p - 1 + length(q))')} as e, case when q = '' then 'empty_quote' when p = 0 then 'quote_absent' when again > 0 then 'quote_ambiguous' end as error from l) "
     "select doc_id, error, cast(if(error is null, s, null) as integer) as byte_start, cast(if(error is null, e - s, null) as integer) as byte_len, if(error is null, if(decode(unhex(substr(hex(text), 2 * s + 1, 2 * (e - s)))) = quote, 'exact', 'whitespace_only'), null) as alignment from b",
     "documents",
+    holes="byte_start byte_len",
 )
 def x14_locate(d):
     w = T.words(F.col("text"))
@@ -139,6 +140,7 @@ _NEEDLE = f"case doc_id % 3 when 0 then array_to_string(({_words('text')})[2:6],
     f"with n as (select doc_id, text, {_strip(_NEEDLE)} as q from documents), t as (select *, {_flat('text')} as flat, {_flat('q')} as qf, if(q = '', 0, len(string_split(text, q)) - 1) as times from n), p as (select *, if(qf = '', 0, instr(flat, qf)) as p from t) "
     f"select doc_id, cast(case when length(q) < 3 then null when times between 1 and 3 then strlen(substr(text, 1, instr(text, q) - 1)) when times = 0 and p > 0 then {_bytes_before('substr(flat, 1, p - 1)')} end as integer) as byte_start from p",
     "documents",
+    holes="byte_start",
 )
 def x16_anchor(d):
     w = T.words(F.col("text"))
@@ -196,7 +198,7 @@ def x21_rescue_json(e):
 _CANDIDATES = """case event_id % 4 when 0 then '{"candidates": ["a", "' || event_type || '", "a "]}' when 1 then '{"candidates": []}' when 2 then '{"candidates": ["a", " "]}' else '{"other": 1}' end"""
 
 
-@query("select event_id, case event_id % 4 when 0 then 'ok' when 1 then 'ok' when 2 then 'invalid_candidates' else 'invalid_candidates' end as status, cast(case event_id % 4 when 0 then 2 when 1 then 0 end as integer) as n from events", "events")
+@query("select event_id, case event_id % 4 when 0 then 'ok' when 1 then 'ok' when 2 then 'invalid_candidates' else 'invalid_candidates' end as status, cast(case event_id % 4 when 0 then 2 when 1 then 0 end as integer) as n from events", "events", holes="n")
 def x22_candidates(e):
     """Candidates of a model's answer: a list of non-blank strings, or an error; the distinct ones in order (U06)."""
     c = F.from_json(F.expr(_CANDIDATES), "candidates array<string>").candidates
@@ -221,7 +223,7 @@ def _claims(p):
     return p.select("p_partkey", "p_size", F.get(words, (F.col("p_partkey") % 7).cast("int")).alias("word")).withColumn("claim", F.expr(_CLAIM))
 
 
-@query(f"select p_partkey, cast(case p_partkey % 5 when 0 then 4 when 1 then 1 when 2 then 2 when 4 then 3 end as integer) as volume, cast(if(p_partkey % 5 = 3, null, p_size) as integer) as page from {_CLAIMS}", "part")
+@query(f"select p_partkey, cast(case p_partkey % 5 when 0 then 4 when 1 then 1 when 2 then 2 when 4 then 3 end as integer) as volume, cast(if(p_partkey % 5 = 3, null, p_size) as integer) as page from {_CLAIMS}", "part", holes="volume page")
 def x23_citations(p):
     c = _claims(p).select("p_partkey", D.citation(F.col("claim")).alias("c"))
     return c.select("p_partkey", "c.volume", "c.page")
@@ -235,7 +237,7 @@ def x24_headwords(p):
 _VOLUME = "case word when 'вісник' then 1 when 'Мережа' then 2 when 'сховище' then 4 when 'праліс' then 3 when 'дім' then 1 when 'Ящик' then 4 when 'Еxo' then 1 end"
 
 
-@query(f"select p_partkey, cast({_VOLUME.replace('when ' + chr(39) + 'Еxo' + chr(39) + ' then 1 ', '')} as integer) as volume from {_CLAIMS} where word <> 'Еxo'", "part")
+@query(f"select p_partkey, cast({_VOLUME.replace('when ' + chr(39) + 'Еxo' + chr(39) + ' then 1 ', '')} as integer) as volume from {_CLAIMS} where word <> 'Еxo'", "part", holes="volume")
 def x25_volumes(p):
     return _claims(p).where("word <> 'Еxo'").select("p_partkey", D.volume_of(F.col("word")).alias("volume"))
 
