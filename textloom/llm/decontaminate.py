@@ -97,13 +97,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
 def _agreeing(enough: DataFrame, bench: DataFrame, raw: DataFrame, sizes: list[int], share: float) -> DataFrame:
     """Pairs that have a place where the slots agree; only pairs that match by form are looked at."""
     held = enough.join(bench, "item_id").select("doc_id", "item_id", "n_windows", "long", "idx", "own", "h", "form", F.col("held").alias("ours"))
-    some = cut(enough.select("doc_id").distinct())
-    some = F.broadcast(some) if some.count() <= BROADCAST_DOCS else some
-    wide = raw.join(some, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("copy"), _words(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
+    some = cut(held.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
+    ids = some.select("doc_id")
+    ids = F.broadcast(ids) if some.count() <= BROADCAST_DOCS else ids
+    few = raw.join(ids, "doc_id", "left_semi").join(some, "doc_id")  # the texts that hold an item by form, with its windows' hashes
+    wide = few.select("doc_id", "hs", F.xxhash64("text").alias("copy"), _words(_template(F.col("text"))).alias("t"), _plain(_values(F.col("text"))).alias("v"))
     n = F.when(F.size("t") == F.size("v"), F.size("t"))  # null where breaks differ: no windows
     # a lambda of two parameters, defaults too, would get the place in the array as its second
     window = lambda s: lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("t", i, s)).alias("h"), F.slice("v", i, s).alias("theirs"))
-    spot = [F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - s + 1)), window(s))) for s in sizes]
+    own = lambda s: lambda i: F.array_contains("hs", F.xxhash64(F.slice("t", i, s)))
+    spot = [F.when(n >= s, F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n - s + 1)), own(s)), window(s))) for s in sizes]
     none = F.array().cast("array<struct<pos:int,h:bigint,theirs:array<string>>>")
     theirs = wide.select("doc_id", "copy", F.explode_outer(F.concat(*[F.coalesce(x, none) for x in spot])).alias("x")).select("doc_id", "copy", "x.*")
     met = held.join(theirs, ["doc_id", "h"]).withColumn("off", F.col("pos") - F.col("idx"))
