@@ -114,28 +114,33 @@ def _across(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> list[tuple[n
 
 
 def _meet(batches: Iterator[pd.DataFrame], name) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key; a bucket may go on in the next batch."""
-    rest = None
+    """Rows sorted by key; a bucket may go on in the next batches, and its pieces wait for its end."""
+    key, held = None, []
+
+    def close() -> list:
+        return name(*(np.concatenate(x) for x in zip(*held, strict=True))) if sum(len(x[0]) for x in held) > 1 else []
+
+    def frame(out: list) -> Iterator[pd.DataFrame]:
+        if out:
+            u, v = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+            yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+
     for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        last = int(np.searchsorted(b.key.to_numpy(), b.key.iloc[-1])) if len(b) else 0
-        rest = b.iloc[last:]
-        yield from _buckets(b.iloc[:last], name)
-    if rest is not None:
-        yield from _buckets(rest, name)
-
-
-def _buckets(b: pd.DataFrame, name) -> Iterator[pd.DataFrame]:
-    key, ids = (b[c].to_numpy(np.int64) for c in ("key", "id"))
-    roots = b["root"].to_numpy(np.int64) if "root" in b else ids
-    fps = b[["fa", "fb"]].to_numpy(np.int64).view(np.uint64)
-    cuts, out = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(b)], []
-    for i, j in zip(cuts, cuts[1:], strict=False):
-        if j - i > 1:
-            out += name(ids[i:j], fps[i:j], roots[i:j])
-    if out:
-        u, v = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-        yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+        keys, ids = (b[c].to_numpy(np.int64) for c in ("key", "id"))
+        roots = b["root"].to_numpy(np.int64) if "root" in b else ids
+        fps = b[["fa", "fb"]].to_numpy(np.int64).view(np.uint64)
+        cuts, out = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(b)], []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if keys[i] != key:
+                out += close()
+                key, held = keys[i], []
+            if j < len(b) and not held:  # a whole bucket
+                if j - i > 1:
+                    out += name(ids[i:j], fps[i:j], roots[i:j])
+            else:
+                held.append((ids[i:j], fps[i:j], roots[i:j]))
+        yield from frame(out)
+    yield from frame(close())
 
 
 def _pairs(sets: DataFrame, name) -> DataFrame:
