@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import smallest
 
 HIDDEN, WINDOW, MAX_ROWS = 8, 96, 4_000
-SEGMENT, CONTEXT, LANES = 1024, 128, 1024
+SEGMENT, CONTEXT, LANES = 1024, 128, 512
 LETTER = regex.compile(r"\p{L}")
 
 

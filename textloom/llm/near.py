@@ -32,8 +32,14 @@ SEGMENTS, BITS = 8, 16
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes; texts with fewer words are one shingle."""
     data = text.encode("utf-8").lower().split()
-    n = max(1, len(data) - width + 1) if data else 0
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(data[i : i + width]), 42) for i in range(n)], np.uint64))
+    if not data:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(data), xxhash.xxh64_intdigest
+    if len(data) <= width:
+        return np.array([digest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
+    start, stop = [0, *ends[:-width].tolist()], (ends[width - 1 :] - 1).tolist()
+    return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(start, stop, strict=True)], np.uint64))
 
 
 def _majority(h: np.ndarray) -> int:
@@ -67,16 +73,16 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(BITS, dtype=np.uint64)]
+    each = SEGMENTS * len(flips)
     for big in batches:
         for k in range(0, len(big), 1000):
             b = big.iloc[k : k + 1000]
-            made = []
+            key = np.empty((len(b), SEGMENTS, len(flips)), np.int64)
             for s in range(SEGMENTS):
                 word = b[("fa", "fb")[s // 4]].to_numpy(np.int64).view(np.uint64)
                 part = (word >> np.uint64(BITS * (s % 4))) & np.uint64(0xFFFF)
-                made.append(((part[:, None] ^ flips[None, :]) | np.uint64(s << BITS)).astype(np.int64))
-            at = np.repeat(np.arange(len(b)), SEGMENTS * len(flips))
-            yield pd.concat([pd.Series(np.concatenate(made, axis=1).ravel(), name="key"), b.iloc[at].reset_index(drop=True)], axis=1)
+                key[:, s] = (part[:, None] ^ flips[None, :]) | np.uint64(s << BITS)
+            yield pd.DataFrame({"key": key.ravel(), **{c: np.repeat(b[c].to_numpy(np.int64), each) for c in b.columns}})
 
 
 def _near(fps: np.ndarray, i: int) -> np.ndarray:
