@@ -119,6 +119,18 @@ def _across(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> list[tuple[n
     return out
 
 
+def _with_near(keys: np.ndarray, fps: np.ndarray, cuts: np.ndarray, most: int = 64) -> np.ndarray:
+    """Which of the buckets of a frame may hold a near pair: rows are compared with those up to `most` places on, all buckets at once."""
+    out = np.diff(cuts) > most
+    for k in range(1, most):
+        same = np.flatnonzero(keys[k:] == keys[:-k])
+        if not len(same):
+            break
+        near = same[np.bitwise_count(fps[same + k] ^ fps[same]).sum(axis=1) <= MAX_BITS]
+        out[np.searchsorted(cuts, near, side="right") - 1] = True
+    return out
+
+
 def _meet(batches: Iterator[pd.DataFrame], name) -> Iterator[pd.DataFrame]:
     """Rows sorted by key; a bucket may go on in the next batches, and its pieces wait for its end."""
     key, held = None, []
@@ -135,8 +147,11 @@ def _meet(batches: Iterator[pd.DataFrame], name) -> Iterator[pd.DataFrame]:
         keys, ids = (b[c].to_numpy(np.int64) for c in ("key", "id"))
         roots = b["root"].to_numpy(np.int64) if "root" in b else ids
         fps = b[["fa", "fb"]].to_numpy(np.int64).view(np.uint64)
-        cuts, out = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(b)], []
-        for i, j in zip(cuts, cuts[1:], strict=False):
+        cuts, out = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(b)], []
+        some = _with_near(keys, fps, cuts)
+        some[[0, -1]] = True  # these may go on in other frames
+        for n in np.flatnonzero(some).tolist():
+            i, j = int(cuts[n]), int(cuts[n + 1])
             if keys[i] != key:
                 out += close()
                 key, held = keys[i], []
