@@ -29,7 +29,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import hold, texts
 
 ARCS, PIECES, FAR = 350_000, 260_000, 1 << 60  # arcs and (twice) pieces that a worker remembers; no rank
 
@@ -224,6 +224,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = T
     """doc_id, n_tokens, and either digests of the ids and of the decoded text, or ids and decoded text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("bpe", _transducer.cache_clear)
         fst = _transducer(path, pattern)
         names = np.array([str(i) for i in range(max(fst.bytes_of) + 1)], object) if digests else None
         for b in batches:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,26 @@ WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(owner: str, drop: Callable[[], object] = lambda: None) -> None:
+    """Called by tasks: a worker process, which later tasks use again, remembers things for one operator at a time.
+
+    What another operator left goes, by its `drop`, and its memory back to the machine."""
+    others = [k for k in _HELD if k != owner]
+    for other in others:
+        _HELD.pop(other)()
+    if others:
+        gc.unfreeze()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+    _HELD[owner] = drop
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

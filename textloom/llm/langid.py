@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest
+from .common import hold, smallest
 
 HIDDEN, WINDOW, MAX_ROWS = 8, 96, 4_000
 SEGMENT, CONTEXT, LANES = 1024, 128, 512
@@ -178,9 +178,10 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str] | None = None
     carry = carry or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("langid")
         for b in batches:
-            for i in range(0, len(b), 1024):
-                part = b.iloc[i : i + 1024]
+            for i in range(0, len(b), 512):
+                part = b.iloc[i : i + 512]
                 text = part["_text"].tolist()
                 said = [isinstance(t, str) and bool(LETTER.search(t)) and model is not None for t in text]
                 lang, score = ["und"] * len(part), [0.0] * len(part)

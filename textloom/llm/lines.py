@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WS, cut, parts, sieve, texts
+from .common import LOWER, UPPER, WS, cut, hold, parts, sieve, texts
 
 MIN_CHARS = 10
 SHARD_KEYS = 50_000  # repeated keys of a shard on average: bounds a probe task's memory
@@ -170,6 +170,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: list[str] |
     one = built.join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("doc_id", "h", "g")], *arrays)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("lines")
         for b in batches:
             yield b[known.value.may_hold(b.h.to_numpy(np.int64))]
 
@@ -185,6 +186,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, carry: list[str] |
     made = f"doc_id long, n_lines long, n_dropped long, kept string{kinds}"
 
     def split(batches: Iterator[pd.DataFrame], may: bool) -> Iterator[pd.DataFrame]:
+        hold("lines")
         for b in batches:
             ids = b["_id"].astype("Int64")
             b = b[(losing.value.may_hold(ids.fillna(0).to_numpy(np.int64)) & ids.notna().to_numpy(bool)) == may]

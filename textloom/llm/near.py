@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, parts
+from .common import components, cut, hold, parts
 
 WIDTH, MAX_BITS = 5, 36  # 36 of 128 bits: four deviations above the mean at similarity 0.8
 SEGMENTS, BITS = 8, 16
@@ -59,6 +59,7 @@ def wide(h: np.ndarray) -> tuple[int, int]:
 
 
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hold("near")
     for b in batches:
         sets = [shingles(t) for t in b.text]
         words = np.array([wide(h) for h in sets], np.uint64).reshape(-1, 2).view(np.int64)
@@ -67,6 +68,7 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hold("near")
     for b in batches:
         yield pd.DataFrame({"id": b.row, "held": [shingles(t).view(np.int64) for t in b.text]})
 
