@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .common import hold, texts
 
-ARCS, PIECES, FAR = 350_000, 260_000, 1 << 60  # arcs and (twice) pieces that a worker remembers; no rank
+ARCS, PIECES, FAR = 300_000, 180_000, 1 << 60  # arcs and (twice) pieces that a worker remembers; no rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
