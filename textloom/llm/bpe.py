@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from .common import hold, texts
 
-ARCS, PIECES, FAR = 350_000, 260_000, 1 << 60  # arcs and (twice) pieces that a worker remembers; no rank
+ARCS, PIECES, FITS, FAR = 350_000, 260_000, 100_000, 1 << 60  # arcs, (twice) pieces and neighbours that a worker remembers; no rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -126,7 +126,7 @@ class Transducer:
                 i += 1
             else:
                 j += 1
-        if len(self.fits) > ARCS:
+        if len(self.fits) >= FITS:
             self.fits.clear()
         self.fits[a << 32 | b] = ok
         return ok
