@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +59,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A Parquet table of these rows in the shared folder of `cut`, read again: smaller than a checkpoint, read by column."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def of_key(rows: DataFrame, keys: DataFrame, key: str, how: str, *more: str) -> DataFrame:
     """Joins on keys that were just grouped, by another expression of them: both sides are then dealt
     anew, so that a hot key's rows can be split among tasks."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, secret_scan, simhash, substrings, tokens, topk, toxicity
+from . import align, backtrack, bpe, decontaminate, fim, langid, lines, secret_scan, simhash, substrings, tokens, topk, toxicity
 from .common import table
 
 
@@ -61,7 +61,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_simhash, op4_toxicity, op5_bpe, op6_substring_dedup, op7_top_k, op8_decontaminate, op9_language_id, op10_secrets)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtrack.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("n_best_a").alias("n_best"), "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_simhash, op4_toxicity, op5_bpe, op6_substring_dedup, op7_top_k, op8_decontaminate, op9_language_id, op10_secrets, op11_fill_in_middle, op12_backtracking_bpe, op13_token_alignment)}
 
 # Matches and the gaps between them give the places.  Of the checksum kind, 30 characters and the base-62 CRC-32
 # of them, folded bit by bit.
@@ -121,4 +135,15 @@ with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to
      k as (select x.r, count(*) as n, count(c.j) as gone, string_agg(word, ' ' order by x.j) filter (c.j is null) as kept from x left join c on c.r = x.r and c.j = x.j group by x.r)
 select d.doc_id, coalesce(n, 0) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (r)""",
     "op10_secrets": _SECRETS,
+    "op11_fill_in_middle": """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+     r as (select *, cast('0x' || h[1:8] as bigint) % (n + 1) as u, cast('0x' || h[9:16] as bigint) % (n + 1) as v,
+                  n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || h[17:24] as bigint) % 100 >= 90 as plain,
+                  cast('0x' || h[25:32] as bigint) % 100 < 20 as spm from d),
+     s as (select *, least(u, v) as a, abs(u - v) as m from r),
+     c as (select *, substring(t, 1, a) as x, substring(t, a + 1, m) as y, substring(t, a + m + 1, n) as z from s)
+select doc_id, n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form,
+       if(plain, null, a) as prefix_chars, if(plain, null, m) as middle_chars,
+       sha256(case when plain then t when spm then '<S>' || z || '<P>' || x || '<M>' || y else '<P>' || x || '<S>' || z || '<M>' || y end) as output_sha256,
+       sha256(t) as restored_sha256 from c""",
 }
