@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.places import CHAPTERS, SPACES, anchor, chapters, locate, locate_all, snippets  # noqa: F401
+
 WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 SPACE = f"[{WS}]+"
 WORD = r"\p{L}\p{N}_"
@@ -24,15 +26,14 @@ BOILERPLATE = (
     r"PROJECT GUTENBERG|gutenberg\.org|Updated editions will replace|START OF (THE|THIS) PROJECT|END OF (THE|THIS) PROJECT|"
     r"Character set encoding|Release Date|Posting Date|\[Illustration)"
 )
-# Banners around a distributor's text, tried in order, and chapter words of several languages.
+# Banners around a distributor's text, tried in order.
 HEADERS = (r"(?i)\*\*\*\s*START OF TH(?:E|IS) PROJECT GUTENBERG EBOOK[^\*]*\*\*\*", r"(?i)\*\*\*\s*START OF THE PROJECT GUTENBERG[^\*]*\*\*\*")
 FOOTERS = (r"(?i)\*\*\*\s*END OF TH(?:E|IS) PROJECT GUTENBERG EBOOK", r"(?i)\*\*\*\s*END OF THE PROJECT GUTENBERG")
-CHAPTERS = "chapter|act|book|part|canto|глава|розділ|действие|часть|scene"
-HEADING = rf"(?:^|\n)[\t-\r ]*(?:#+[\t-\r ]*)?(?iu:{CHAPTERS})(?:[^{WORD}\n\r][^\n\r]*)?(?=[\n\r]|$)"
 
 
 def words(c) -> Column:
-    return F.filter(F.split(c, SPACE), lambda w: w != "")
+    own = strip(c)
+    return F.when(own == "", F.array().cast("array<string>")).otherwise(F.split(own, SPACE))
 
 
 def word_count(c) -> Column:
@@ -44,7 +45,7 @@ def token_estimate(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}", ""), f"{SPACE}$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def newlines(c) -> Column:
@@ -130,70 +131,12 @@ def lines(c) -> Column:
     return F.split(c, "\n", -1)
 
 
-def snippets(text, term, width: int = 350, most: int = 5) -> Column:
-    """exact_match, position, context of a whole word's first `most` places: `width` characters on both sides, white space collapsed."""
-    edge, esc = f"[{WORD}]", F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
-    found = F.regexp_extract_all(text, F.concat(F.lit(f"(?i)(?<!{edge})"), esc, F.lit(f"(?!{edge})")), F.lit(0))
-    gaps = F.split(text, F.concat(F.lit(f"(?i)(?<!{edge})"), esc, F.lit(f"(?!{edge})")), -1)
-    n = F.least(F.size(found), F.lit(most))
-    before = lambda i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
-
-    def one(i):
-        at, form = before(i), F.get(found, i)
-        low = F.greatest(F.lit(0), at - width)
-        return F.struct(form.alias("exact_match"), at.alias("position"), collapse(strip(F.substring(text, low + 1, at + F.length(form) + width - low))).alias("context"))
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one))
-
-
 def whole_word(text, name) -> Column:
     """Whether a name's words stand in the text, whatever the white space between them, not inside longer words."""
     parts = F.transform(words(name), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
     return F.regexp_like(text, F.concat(F.lit(f"(?<![{WORD}])"), F.array_join(parts, SPACE), F.lit(f"(?![{WORD}])")))
 
 
-def _bytes_before(runs, blank, prefix) -> Column:
-    """Bytes of the text, in runs of white space and others, that the start `prefix` of its collapsed form stands for."""
-    k = F.size(F.regexp_extract_all(prefix, F.lit(BLANKS), F.lit(0)))
-    whole = F.aggregate(F.slice(runs, 1, F.greatest(F.lit(0), k - 1)), F.lit(0), lambda s, x: s + F.octet_length(x))
-    last = F.element_at(F.regexp_extract_all(prefix, F.lit(BLANKS), F.lit(0)), -1)
-    return F.when(k == 0, 0).otherwise(whole + F.when(last == " ", F.octet_length(F.get(runs, k - 1))).otherwise(F.octet_length(last)))
-
-
-def locate(text, quote) -> Column:
-    """error, byte_start, byte_len, alignment of a quote's one place in a text, white space aside."""
-    runs, flat, q = F.regexp_extract_all(text, F.lit(BLANKS), F.lit(0)), collapse(text), collapse(strip(quote))
-    p = F.position(q, flat)
-    again = F.position(q, flat, p + 1)
-    start = _bytes_before(runs, flat, F.substring(flat, F.lit(1), p - 1))
-    end = _bytes_before(runs, flat, F.substring(flat, F.lit(1), p - 1 + F.length(q)))
-    error = F.when(quote.isNull() | (q == ""), "empty_quote").when(p == 0, "quote_absent").when(again > 0, "quote_ambiguous")
-    ok = lambda c: F.when(error.isNull(), c)
-    raw = F.decode(F.substring(F.encode(text, "utf-8"), start + 1, end - start), "utf-8")
-    return F.struct(error.alias("error"), ok(start).alias("byte_start"), ok(end - start).alias("byte_len"), ok(F.when(raw == quote, "exact").otherwise("whitespace_only")).alias("alignment"))
-
-
-def anchor(text, needle, most: int = 3) -> Column:
-    """Byte place of an anchor: its own letters if they stand there at most `most` times; else, where they never do, with other white space."""
-    q = strip(needle)
-    times = F.size(F.split(text, F.concat(F.lit(r"\Q"), q, F.lit(r"\E")), -1)) - 1
-    exact = F.octet_length(F.substring(text, F.lit(1), F.position(q, text) - 1))
-    flat, runs = collapse(text), F.regexp_extract_all(text, F.lit(BLANKS), F.lit(0))
-    p = F.position(collapse(q), flat)
-    loose = F.when(p > 0, _bytes_before(runs, flat, F.substring(flat, F.lit(1), p - 1)))
-    return F.when(F.length(q) < 3, None).when((times > 0) & (times <= most), exact).when(times == 0, loose)
-
-
-def chapters(text) -> Column:
-    """title, start, end (characters) of the parts that headings open; null where there are fewer than two."""
-    found = F.regexp_extract_all(text, F.lit(HEADING), F.lit(0))
-    gaps = F.split(text, HEADING, -1)
-    at = lambda i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
-    n = F.size(found)
-    one = lambda i: F.struct(F.regexp_replace(strip(F.get(found, i)), "^[# ]+", "").alias("title"), at(i).alias("start"), F.when(i + 1 < n, at(i + 1)).otherwise(F.length(text)).alias("end"))
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 1), one))
-
-
 def chunks(text, size: int = 3000) -> Column:
     w = words(text)
     return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda i: F.slice(w, i + 1, size)))

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import raw as R
-from textloom.functions.text import RUNS, WORD, WS
+from textloom.functions.text import WORD
+from textloom.operators import scan
 from textloom.operators import zones as Z
+from textloom.operators.scan import SEPARATOR, TAIL, occurrences, term_forms
 
-BLOCK = 64  # runs of words and gaps that offsets are counted within
-TAIL = 3  # word characters that an inflected form may add
-SEPARATOR = f"[-{WS}]+"
+BLOCK = 64  # items of an array that offsets are counted within
 BROADCAST_TERMS = 200_000  # above this many keys the join is shuffled
 
 
@@ -36,59 +36,6 @@ def array_offsets(rows: DataFrame, keys: list[str], items: Column, extra: int =
     return _blocks(rows, keys, items, extra, 0).select(*keys, F.explode(one).alias("k")).select(*keys, "k.*")
 
 
-def placed_runs(docs: DataFrame, ahead: int) -> DataFrame:
-    """doc_id, pos, byte_offset, next (a word and the `ahead` runs after it) of every word."""
-    block = _blocks(docs, ["doc_id"], F.regexp_extract_all("text", F.lit(RUNS), F.lit(0)), 0, ahead)
-    word = F.transform(F.slice("x", 1, BLOCK), lambda r, i: F.struct((F.col("b") * BLOCK + i).alias("pos"), (F.col("base") + _size(F.slice("x", 1, i))).alias("byte_offset"), F.slice("x", i + 1, ahead + 1).alias("next")))
-    words = F.filter(word, lambda w: F.get(w.next, F.lit(0)).rlike(f"^[{WORD}]"))
-    return block.select("doc_id", F.explode(words).alias("w")).select("doc_id", "w.*")
-
-
-def term_forms(terms: DataFrame) -> DataFrame:
-    """term, key, last, runs, flexible: how each term and each of its variants is looked for.
-
-    Between parts hyphens and white space stand for one another, if every part has three characters
-    or more; else they must be the term's own.  Forms must begin and end with a word character."""
-    kinds = dict(terms.dtypes)
-    every = F.concat(F.array("term"), F.coalesce("variants", F.array().cast("array<string>"))) if "variants" in kinds else F.array("term")
-    form = terms.select("term", F.explode(every).alias("form"))
-    loose = F.forall(F.split("form", SEPARATOR), lambda s: F.length(s) >= 3)
-    plain = F.when(loose, F.regexp_replace(F.lower("form"), SEPARATOR, " ")).otherwise(F.lower("form"))
-    runs = form.select("term", loose.alias("flexible"), F.regexp_extract_all(plain, F.lit(RUNS), F.lit(0)).alias("runs"))
-    return runs.where((F.size("runs") > 0) & F.get("runs", F.lit(0)).rlike(f"^[{WORD}]") & F.element_at("runs", -1).rlike(f"^[{WORD}]")).select("term", F.get("runs", F.lit(0)).alias("key"), F.element_at("runs", -1).alias("last"), "runs", "flexible").distinct()
-
-
-def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, byte_offset, form, idx of terms(term[, variants]) and their inflected forms, case aside.
-
-    The last part may add up to three word characters.  Words meet one-word terms by their last four
-    prefixes, and the first words of longer terms by themselves: equi-joins, whose other side is
-    broadcast where its size is checked; only matches are shuffled.  Of overlapping matches of one
-    term the leftmost stays; a null text has none."""
-    forms = term_forms(terms)
-    longest = forms.agg(F.coalesce(F.max(F.size("runs")), F.lit(1))).first()[0]
-    keys = forms.withColumn("one", F.size("runs") == 1)
-    small = keys.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else (lambda df: df)
-    words = placed_runs(docs, longest - 1)
-    first = F.get("next", F.lit(0))
-    low, n = F.lower(first), F.length(first)
-    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.lit(TAIL), n - 1)), lambda k: F.substring(low, F.lit(1), n - k))
-    single = words.select("doc_id", "pos", "byte_offset", first.alias("form"), F.lit(1).alias("n"), F.explode(prefixes).alias("key"))
-    found = single.join(hint(keys.where("one").select("term", "key").distinct()), "key").select("doc_id", "term", "pos", "byte_offset", "form", "n")
-    if longest > 1:
-        met = words.withColumn("key", low).join(hint(keys.where("not one")), "key").withColumn("n", F.size("runs")).where("size(next) >= n")
-        own = F.transform(F.slice("next", 1, F.col("n") - 1), lambda r: F.when(F.col("flexible"), F.regexp_replace(F.lower(r), SEPARATOR, " ")).otherwise(F.lower(r)))
-        end = F.lower(F.get("next", F.col("n") - 1))
-        same = (own == F.slice("runs", 1, F.col("n") - 1)) & F.startswith(end, F.col("last")) & (F.length(end) - F.length("last") <= TAIL)
-        more = met.where(same).select("doc_id", "term", "pos", "byte_offset", F.array_join(F.slice("next", F.lit(1), F.col("n")), "").alias("form"), "n")
-        found = found.unionByName(more)
-    # one row for a place; of places that overlap the leftmost, and there the longest form
-    places = found.groupBy("doc_id", "term").agg(F.sort_array(F.collect_set(F.struct("pos", (-F.col("n")).alias("m"), "byte_offset", "form"))).alias("every"))
-    kept = F.aggregate("every", F.struct(F.lit(-1).alias("end"), F.slice("every", 1, 0).alias("out")), lambda a, x: F.when(x.pos > a.end, F.struct((x.pos - x.m - 1).alias("end"), F.concat(a.out, F.array(x)).alias("out"))).otherwise(a), lambda a: a.out) if longest > 1 else F.col("every")
-    return places.select("doc_id", "term", F.posexplode(kept).alias("idx", "x")).select("doc_id", "term", "x.byte_offset", "x.form", "idx")
-
-
 def counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n, n_docs of one-word terms: no offsets, and words are counted before anything is shuffled."""
     forms = term_forms(terms).where("size(runs) = 1").select("term", "key").distinct()
@@ -108,40 +55,36 @@ def has_term(text: Column, term: Column) -> Column:
     return F.regexp_like(text, F.concat(F.lit(f"(?iu)(?<![{WORD}])"), body, F.lit(f"[{WORD}]{{0,{TAIL}}}(?![{WORD}])")))
 
 
-def witness_span(content: Column, at: Column, pad: int = 80, length: int = 200) -> tuple[Column, Column]:
-    """Start and end, on borders of characters, of the bytes that bear witness to a place."""
-    start = R.snap(content, F.greatest(F.lit(0), at - pad))
-    return start, R.snap(content, F.least(F.octet_length(content), start + length), forward=True)
+def witnesses(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Each occurrence with the window that shows it: byte_start, byte_len, window_sha256, matched_form, occurrences_total."""
+    return occurrences(docs, terms, show=scan.witness).select("doc_id", "term", "idx", "byte_offset", "byte_start", "byte_len", "window_sha256", F.col("form").alias("matched_form"), "occurrences_total")
 
 
-def witnesses(docs: DataFrame, found: DataFrame, pad: int = 80, length: int = 200) -> DataFrame:
-    """Each occurrence with the window that shows it: byte_start, byte_len, window_sha256, matched_form, occurrences_total."""
-    total = found.groupBy("doc_id", "term").agg(F.count("*").alias("occurrences_total"))
-    data = docs.select("doc_id", F.encode("text", "utf-8").alias("content"))
-    start, end = witness_span(F.col("content"), F.col("byte_offset"), pad, length)
-    seen = found.join(data, "doc_id").withColumn("byte_start", start).withColumn("byte_end", end)
-    shown = seen.withColumn("w", R.byte_slice(F.col("content"), F.col("byte_start"), F.col("byte_end") - F.col("byte_start")))
-    return shown.join(total, ["doc_id", "term"]).select("doc_id", "term", "idx", "byte_offset", "byte_start", (F.col("byte_end") - F.col("byte_start")).alias("byte_len"), F.sha2("w", 256).alias("window_sha256"), F.col("form").alias("matched_form"), "occurrences_total")
-
-
-def first_in_body(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, term, byte_offset, form, byte_start, byte_len: of the occurrences whose whole window a body zone of docs(doc_id, text, zones) holds, the first."""
-    data = docs.select("doc_id", F.encode("text", "utf-8").alias("content"), "zones")
-    start, end = witness_span(F.col("content"), F.col("byte_offset"))
-    at = found.join(data, "doc_id").withColumn("byte_start", start).withColumn("end", end)
-    kept = at.where(Z.of_span(F.col("zones"), F.col("byte_start"), F.col("end")) == "body")
-    first = kept.groupBy("doc_id", "term").agg(F.min(F.struct("byte_offset", "form", F.col("byte_start").cast("int").alias("byte_start"), (F.col("end") - F.col("byte_start")).cast("int").alias("byte_len"))).alias("x"))
+def first_in_body(docs: DataFrame, terms: DataFrame, zones: Column) -> DataFrame:
+    """doc_id, term, byte_offset, form, byte_start, byte_len: of the occurrences whose whole window a body zone of the text holds, the first.
+
+    Zones of texts, not the texts themselves, meet the occurrences."""
+    at = occurrences(docs, terms, show=scan.witness).join(docs.select("doc_id", zones.alias("zones")), "doc_id")
+    kept = at.where(Z.of_span(F.col("zones"), F.col("byte_start"), F.col("byte_start") + F.col("byte_len")) == "body")
+    first = kept.groupBy("doc_id", "term").agg(F.min(F.struct("byte_offset", "form", F.col("byte_start").cast("int").alias("byte_start"), F.col("byte_len").cast("int").alias("byte_len"))).alias("x"))
     return first.select("doc_id", "term", "x.*")
 
 
+def localised(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term, byte_offset, byte_start, byte_len of the quote around each term's first place in each text."""
+    return occurrences(docs, terms, show=scan.quote, first=True).select("doc_id", "term", "byte_offset", F.col("byte_start").cast("int").alias("byte_start"), F.col("byte_len").cast("int").alias("byte_len"))
+
+
 def in_jobs(jobs: DataFrame, candidates: Column) -> DataFrame:
-    """doc_id, job, term, status, n, first of every candidate of jobs(doc_id, job, text): places in the whole text, or its absence."""
-    asked = jobs.withColumn("id", F.struct("doc_id", "job")).withColumn("terms", candidates)
-    found = occurrences(asked.select(F.col("id").alias("doc_id"), "text"), asked.select(F.explode("terms").alias("term")).distinct())
-    places = found.select(F.col("doc_id").alias("id"), "term", (F.col("doc_id.job") + F.col("byte_offset")).alias("at")).groupBy("id", "term").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    every = asked.select("id", F.explode("terms").alias("term")).join(places, ["id", "term"], "left")
+    """doc_id, job, term, status, n, first of every candidate of jobs(doc_id, job, text): places in the whole text, or its absence.
+
+    A job is the byte at which its fragment begins; jobs are unique by both."""
+    asked = jobs.withColumn("terms", candidates)
+    found = scan.own_occurrences(asked, "terms", ("doc_id", "job"))
+    places = found.groupBy("doc_id", "job", "term").agg(F.count("*").alias("n"), F.min(F.col("job") + F.col("byte_offset")).alias("first"))
+    every = asked.select("doc_id", "job", F.explode(F.array_distinct("terms")).alias("term")).join(places, ["doc_id", "job", "term"], "left")
     status = F.when(F.col("n") > 0, "present_in_fragment").otherwise("absent_in_fragment")
-    return every.select("id.doc_id", "id.job", "term", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"), "first")
+    return every.select("doc_id", "job", "term", status.alias("status"), F.coalesce("n", F.lit(0)).alias("n"), "first")
 
 
 def verdict(content: Column, w: str, term: Column) -> Column:
@@ -180,12 +123,6 @@ def export_check(content: Column, w: str, term: Column, zone: Column, zones_sha:
     )
 
 
-def localise(content: Column, start: Column, end: Column, at: Column, form: Column) -> tuple[Column, Column]:
-    """Start and end of the quote around a place, kept within the span that was read."""
-    a = R.snap(content, F.greatest(start, at - 100), forward=True)
-    return a, R.snap(content, F.least(end, F.greatest(at + F.octet_length(form), a + 320)))
-
-
 def windows(docs: DataFrame, length: str, size: int, overlap: int) -> DataFrame:
     """doc_id, start, end: overlapping windows that reach the end of each text."""
     step = size - overlap

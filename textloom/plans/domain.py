@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import raw as R
 from textloom.functions import text as T
+from textloom.operators import blocks as B
 from textloom.operators import catalogue as C
 from textloom.operators import dictionary as D
 from textloom.operators import evidence as E
@@ -32,12 +33,12 @@ _SPANS = f"{_OCC}, s as (select o.*, text, {_edge('greatest(0, byte_offset - 80)
 @query(f"{_SPANS}, b as (select *, row_number() over (partition by doc_id, term order by byte_offset) as r from w where s0 >= {_TENTH} and e0 <= strlen(text)) select doc_id, term, byte_offset, form, cast(s0 as integer) as byte_start, cast(e0 - s0 as integer) as byte_len from b where r = 1", "documents", "benchmark")
 def w04_first_in_body(d, b):
     """First occurrence of each term in each text whose whole window lies in the body."""
-    return E.first_in_body(d.withColumn("zones", _doc_zones()), E.occurrences(d, _terms(b)))
+    return E.first_in_body(d, _terms(b), _doc_zones())
 
 
-@query(f"{_SPANS} select doc_id, term, idx, byte_offset, cast(s0 as bigint) as byte_start, cast(e0 - s0 as bigint) as byte_len, sha256(unhex(substr(hex(text), 2 * s0 + 1, 2 * (e0 - s0)))) as window_sha256, form as matched_form, count(*) over (partition by doc_id, term) as occurrences_total from w where term in ('in', 'estion')", "documents", "benchmark")
+@query(f"{_SPANS} select doc_id, term, idx, byte_offset, cast(s0 as bigint) as byte_start, cast(e0 - s0 as bigint) as byte_len, sha256(unhex(substr(hex(text), 2 * s0 + 1, 2 * (e0 - s0)))) as window_sha256, form as matched_form, count(*) over (partition by doc_id, term) as occurrences_total from w", "documents", "benchmark")
 def m18_witnesses(d, b):
-    return E.witnesses(d, E.occurrences(d, _terms(b).where("term in ('in', 'estion')")))
+    return E.witnesses(d, _terms(b))
 
 
 _WIT = f"select doc_id, text, {_edge('20', -1)} as s0, {_edge('80', 1)} as e0, coalesce(({_words('text')})[if(doc_id % 2 = 0, 5, 400)], 'zzz') as term from documents"
@@ -87,8 +88,9 @@ def i07_exported_quotes(d):
     return ok.select("doc_id", good.alias("exported"), F.when(good, R.byte_slice(F.col("content"), F.col("w.byte_start"), F.col("w.byte_len")).cast("string")).alias("quote"))
 
 
-_JOBS = "(select doc_id, s as job, unhex(substr(hex(text), 2 * s + 1, 2 * 200)) as frag, text from (select doc_id, text, unnest(range(0, strlen(text), 200)) as s from documents where strlen(text) = length(text) and doc_id % 5 <> 4))"
-_JOB_RUNS = rf"with j as (select doc_id, job, decode(frag) as t from {_JOBS}), r as (select doc_id, job, unnest(regexp_extract_all(t, '[{T.WORD}]+|[^{T.WORD}]+')) as form, generate_subscripts(regexp_extract_all(t, '[{T.WORD}]+|[^{T.WORD}]+'), 1) as pos from j), p as (select *, sum(strlen(form)) over (partition by doc_id, job order by pos) - strlen(form) as spot from r), c as (select doc_id, job, unnest(['the', 'zzz']) as term from j)"
+# fragments of 200 characters, whose own first words and a made-up one are asked for
+_JOBS = f"(select doc_id, substring(text, cast(s + 1 as bigint), 200) as t, cast(strlen(substring(text, 1, cast(s as bigint))) as bigint) as job, list_distinct(list_append(regexp_extract_all(lower(text), '[{T.WORD}]+')[1:3], 'zzz')) as terms from (select doc_id, text, unnest(range(0, length(text), 200)) as s from documents))"
+_JOB_RUNS = rf"with j as (select * from {_JOBS}), r as (select doc_id, job, unnest(regexp_extract_all(t, '[{T.WORD}]+|[^{T.WORD}]+')) as form, generate_subscripts(regexp_extract_all(t, '[{T.WORD}]+|[^{T.WORD}]+'), 1) as pos from j), p as (select *, sum(strlen(form)) over (partition by doc_id, job order by pos) - strlen(form) as spot from r), c as (select doc_id, job, unnest(terms) as term from j)"
 
 
 _HIT = "count(*) filter (starts_with(lower(form), term) and length(form) - length(term) <= 3)"
@@ -97,19 +99,29 @@ _HIT = "count(*) filter (starts_with(lower(form), term) and length(form) - lengt
 @query(f"{_JOB_RUNS}, h as (select c.doc_id, c.job, c.term, {_HIT} as n, cast(min(c.job + spot) filter (starts_with(lower(form), term) and length(form) - length(term) <= 3) as bigint) as first from c left join p on p.doc_id = c.doc_id and p.job = c.job group by all) select doc_id, job, term, if(n > 0, 'present_in_fragment', 'absent_in_fragment') as status, n, first from h", "documents", holes="first")
 def j20_candidates_in_jobs(d):
     """Candidates of each job's fragment with their places in the whole text; those that are not there stay, and say so."""
-    some = d.where("octet_length(text) = length(text) and doc_id % 5 <> 4")
-    starts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / 200).cast("int")), lambda k: k * 200)
-    jobs = some.where("text <> ''").select("doc_id", "text", F.explode(starts).alias("job")).select("doc_id", F.col("job").cast("long").alias("job"), F.substring("text", F.col("job") + 1, F.lit(200)).alias("text"))
-    return E.in_jobs(jobs, F.array(F.lit("the"), F.lit("zzz")))
+    terms = F.array_distinct(F.concat(F.slice(F.regexp_extract_all(F.lower("text"), F.lit(f"[{T.WORD}]+"), F.lit(0)), 1, 3), F.array(F.lit("zzz"))))
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 200).cast("int")), lambda k: F.substring("text", k * 200 + 1, F.lit(200)))
+    jobs = E.array_offsets(d.where("text <> ''").withColumn("terms", terms), ["doc_id", "terms"], starts)
+    return E.in_jobs(jobs.select("doc_id", F.col("byte_offset").alias("job"), F.col("item").alias("text"), "terms"), F.col("terms"))
 
 
-@query(f"{_OCC}, f as (select doc_id, text, byte_offset, form from o join documents using (doc_id) where term = 'in' and idx = 0), a as (select *, {_edge('greatest(0, byte_offset - 100)', 1)} as s0 from f), e as (select *, {_edge('least(strlen(text), greatest(byte_offset + strlen(form), s0 + 320))', -1)} as e0 from a) select doc_id, cast(s0 as integer) as byte_start, cast(e0 - s0 as integer) as byte_len from e", "documents", "benchmark")
+@query(f"{_OCC}, f as (select doc_id, term, text, byte_offset, form from o join documents using (doc_id) where idx = 0), a as (select *, {_edge('greatest(0, byte_offset - 100)', 1)} as s0 from f), e as (select *, {_edge('least(strlen(text), greatest(byte_offset + strlen(form), s0 + 320))', -1)} as e0 from a) select doc_id, term, byte_offset, cast(s0 as integer) as byte_start, cast(e0 - s0 as integer) as byte_len from e", "documents", "benchmark")
 def m17_localised(d, b):
-    """Quote around a term's first place in the span that was read, kept within it."""
-    first = E.occurrences(d, _terms(b).where("term = 'in'")).where("idx = 0")
-    at = first.join(d, "doc_id").withColumn("c", F.encode("text", "utf-8"))
-    s, e = E.localise(F.col("c"), F.lit(0), F.octet_length("text"), F.col("byte_offset"), F.col("form"))
-    return at.select("doc_id", s.cast("int").alias("byte_start"), (e - s).cast("int").alias("byte_len"))
+    """Quote around each term's first place in each text that was read, kept within it."""
+    return E.localised(d, _terms(b))
+
+
+_STORED = f"{_SPANS}, z as (select doc_id, term, idx, row_number() over (partition by doc_id order by idx, term) % 5 as m, s0, e0, form, strlen(text) as size, lower(decode(unhex(substr(hex(text), 2 * s0 + 1, 2 * (e0 - s0))))) as shown from w where idx < 2)"
+
+
+@query(f"{_STORED} select doc_id, term, idx, case m when 1 then 'artifact_drift' when 2 then 'window_mismatch' when 3 then if(s0 + 400 > size, 'short_read', 'window_mismatch') else 'ok' end as reason from z", "documents", "benchmark")
+def m06c_stored_witnesses(d, b):
+    """Stored witnesses, of which some were tampered with, against blocks of the texts' bytes: each fetches its window alone."""
+    w = E.witnesses(d, _terms(b)).where("idx < 2").join(B.artifacts(d).select("doc_id", "sha256"), "doc_id")
+    m = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "term")) % 5
+    none = F.lit("0" * 64)
+    made = w.withColumn("m", m).select("doc_id", "term", "idx", "byte_start", F.when(F.col("m") == 3, F.lit(400)).otherwise(F.col("byte_len")).alias("byte_len"), F.when(F.col("m") == 2, none).otherwise(F.col("window_sha256")).alias("window_sha256"), F.when(F.col("m") == 1, none).otherwise(F.col("sha256")).alias("artifact_sha256"), "matched_form")
+    return B.verdicts(made, d).select("doc_id", "term", "idx", "reason")
 
 
 # zones
