@@ -13,11 +13,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SMALL = 4_000_000  # numbers of rows, 32 MB, that are broadcast; more are joined by shuffle
 
 
-BATCH_ROWS = 1_000  # whole texts that go to or from a Python worker at once: long ones add up on both sides
+BATCH_ROWS, FEW_ROWS = 10_000, 1_000  # rows that go to or from a Python worker at once; few where all are whole texts
 
 
-def keep_batches_small(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def batches_of(spark: SparkSession, rows: int) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Null texts go, and empty and letterless ones; each of repeated rows is judged, all alike, and so are
     rows with a null doc_id.  A table without labelled texts loses every row, an empty one has none."""
-    keep_batches_small(spark)
+    batches_of(spark, BATCH_ROWS)
     said = langid.predict(docs, langid.train(docs), carry=["text", "lang", "source", "n_chars"])
     return said.where("lang_pred <> 'und' and score >= 0.5").select(COLUMNS)
 
@@ -48,7 +48,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts lose the lines that a smaller doc_id holds; the other columns stay, and every row.
 
     A null text becomes empty.  Rows with a null doc_id lose nothing, rows that share one lose alike."""
-    keep_batches_small(spark)
+    batches_of(spark, BATCH_ROWS)
     new = lines.dedup_lines(docs, carry=["lang", "source"])
     return new.select("doc_id", F.col("kept").alias("text"), F.col("_c0").alias("lang"), F.col("_c1").alias("source"), F.length("kept").cast("long").alias("n_chars"))
 
@@ -58,7 +58,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A null doc_id comes after all others, and of equal ones any one row stays; null texts are empty,
     and texts without words are one group."""
-    keep_batches_small(spark)
+    batches_of(spark, BATCH_ROWS)
     rows = numbered(docs)
     groups = cut(near.similar_groups(rows))
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
@@ -67,7 +67,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item go, whatever their doc_id; null and empty texts hold none."""
-    keep_batches_small(spark)
+    batches_of(spark, BATCH_ROWS)
     rows = numbered(docs)
     leaks = decontaminate.matches(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return without(rows, leaks.select(F.col("doc_id").alias("row")).distinct())
@@ -75,7 +75,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and of the decoded text of every row; a null text is empty."""
-    keep_batches_small(spark)
+    batches_of(spark, FEW_ROWS)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
