@@ -12,10 +12,11 @@ from textloom.operators import catalogue as C
 from textloom.operators import dictionary as D
 from textloom.operators import evidence as E
 from textloom.operators import queue as Q
+from textloom.operators import research as X
 from textloom.operators import review as V
 from textloom.operators import scoring as S
 from textloom.operators import zones as Z
-from textloom.plans.registry import _OCC, _TERMS, _terms, query
+from textloom.plans.registry import _OCC, _RUNS, _TERMS, _terms, query
 from textloom.plans.texts import _claims, _edge, _words
 
 _TENTH = "strlen(text) // 10"
@@ -464,3 +465,33 @@ def q12_publish(c, s):
     target = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name")
     base = R.relation_hash(target, ["c_custkey", "c_name"]).first()[0]
     return Q.publish(target, s.select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_name").alias("c_name")), base, ["c_custkey", "c_name"])
+
+
+# the research cycle
+_W = rf"regexp_extract_all(lower(text), '[{T.WORD}]+')"
+_TRY = f"c as (select doc_id as work_id, w as window, unnest([0, 1]) as pos, unnest([{_W}[2 + w * 9], {_W}[6 + w * 9]]) as term from (select doc_id, text, unnest(range(0, if(doc_id % 7 = 3, 1, 3))) as w from documents))"
+_SEEN = rf"k as (select p.*, unnest([lower(form)[1:length(form) - i] for i in range(4) if i < length(form)]) as term from p), o as (select distinct d.doc_id, k.term, byte_offset, form, text from k join c on c.work_id = k.doc_id and c.term = k.term join documents d on d.doc_id = k.doc_id), s as (select *, {_edge('greatest(0, byte_offset - 80)', -1)} as s0 from o), e as (select *, {_edge('least(strlen(text), s0 + 200)', 1)} as e0 from s), f as (select doc_id as work_id, term, arg_min({{'f': form, 's': s0, 'n': e0 - s0}}, byte_offset) as x from e where s0 >= {_TENTH} and e0 <= strlen(text) group by all)"
+_GOOD = "length(term) % 3 = 0"
+
+
+@query(
+    f"with {_RUNS}, {_TRY}, {_SEEN}, j as (select *, {_GOOD} as ok from c join f using (work_id, term) where length(term) > 2 and not (work_id % 5 = 0 and term in (select t.term from c t where t.work_id = c.work_id and t.pos = 0))), l as (select *, coalesce(max(ok::int) over (partition by work_id order by \"window\", pos rows between unbounded preceding and 1 preceding), 0) as done from j), "
+    "rec as (select work_id, \"window\", pos, if(ok, 'committed', 'rolled_back') as status, term, x.f as form, x.s as byte_start, x.n as byte_len from l where done = 0) "
+    "select work_id, cast(\"window\" as integer) as \"window\", cast(pos as integer) as pos, status, term, form, cast(byte_start as bigint) as byte_start, cast(byte_len as bigint) as byte_len from rec union all "
+    "select doc_id, 1, -1, 'failed', null, null, null, null from documents where doc_id % 7 = 3 and doc_id not in (select work_id from rec where status = 'committed')",
+    "documents",
+    holes="byte_start byte_len",
+)
+def m20_research_cycle(d):
+    """A cycle of every text: two candidates a window from its own words, one text in seven whose second proposal fails, derived words of which a third are acceptable."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(f"[{T.WORD}]+"), F.lit(0))
+    n = F.when(F.col("doc_id") % 7 == 3, 1).otherwise(3)
+    win = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("window"), F.lit("ok").alias("status"), F.array_compact(F.array(F.get("w", 1 + k * 9), F.get("w", 5 + k * 9))).alias("candidates")))
+    fail = F.when(F.col("doc_id") % 7 == 3, F.array(F.struct(F.lit(1).alias("window"), F.lit("invalid_candidates").alias("status"), F.lit(None).cast("array<string>").alias("candidates")))).otherwise(F.array().cast("array<struct<window:int,status:string,candidates:array<string>>>"))
+    said = d.where("text is not null").withColumn("w", w).select(F.col("doc_id").alias("work_id"), F.explode(F.concat(win, fail)).alias("p")).select("work_id", "p.*")
+    term = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.array_compact(F.array(F.get("w", 1 + k * 9), F.get("w", 5 + k * 9)))))))
+    none = F.lit(None).cast("string")
+    made = d.withColumn("w", w).select(F.col("doc_id").alias("work_id"), term.alias("term")).select("work_id", "term", F.when(F.length("term") % 3 == 0, "зорельотник").otherwise("zorelit").alias("proposed"), none.alias("root"), F.lit("суфіксальна модель").alias("model"), F.lit("від коренів").alias("note"))
+    known = d.where("doc_id % 5 = 0").withColumn("w", w).select(F.col("doc_id").alias("work_id"), F.explode(F.array_compact(F.array(F.get("w", F.lit(1)), F.get("w", F.lit(10)), F.get("w", F.lit(19))))).alias("term"))
+    works = d.select(F.col("doc_id").alias("work_id"), "text", _doc_zones().alias("zones"))
+    return X.cycle(works, known, said, made).select("work_id", "window", "pos", "status", "term", "form", "byte_start", "byte_len")
