@@ -492,6 +492,6 @@ def m20_research_cycle(d):
     term = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.array_compact(F.array(F.get("w", 1 + k * 9), F.get("w", 5 + k * 9)))))))
     none = F.lit(None).cast("string")
     made = d.withColumn("w", w).select(F.col("doc_id").alias("work_id"), term.alias("term")).select("work_id", "term", F.when(F.length("term") % 3 == 0, "зорельотник").otherwise("zorelit").alias("proposed"), none.alias("root"), F.lit("суфіксальна модель").alias("model"), F.lit("від коренів").alias("note"))
-    known = d.where("doc_id % 5 = 0").withColumn("w", w).select(F.col("doc_id").alias("work_id"), F.explode(F.array_compact(F.array(F.get("w", F.lit(1)), F.get("w", F.lit(10)), F.get("w", F.lit(19))))).alias("term"))
+    known = d.where("doc_id % 5 = 0").withColumn("w", w).select(F.col("doc_id").alias("work_id"), F.explode(F.array_compact(F.slice(F.array(F.get("w", F.lit(1)), F.get("w", F.lit(10)), F.get("w", F.lit(19))), F.lit(1), n))).alias("term"))
     works = d.select(F.col("doc_id").alias("work_id"), "text", _doc_zones().alias("zones"))
     return X.cycle(works, known, said, made).select("work_id", "window", "pos", "status", "term", "form", "byte_start", "byte_len")
