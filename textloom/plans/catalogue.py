@@ -10,6 +10,7 @@ from textloom.functions import text as T
 from textloom.operators import catalogue as C
 from textloom.operators import dictionary as D
 from textloom.operators import evidence as E
+from textloom.operators import fulltext as FT
 from textloom.plans.registry import query
 from textloom.sources.writers import catalogue_line, checked_copy, package
 
@@ -125,6 +126,12 @@ def j04_search(d):
     return d.join(C.search(d, "doc_id", ["text", "source"], '"is and" the an*'), "doc_id", "left_semi").select("doc_id", "n_chars")
 
 
+@query(f"select doc_id as key from {_MATCH}", "documents")
+def x30_index_match(d):
+    """The same match by postings: places of the query's own words are intersected, texts are not looked at again."""
+    return FT.found(FT.postings(d, "doc_id", ["text", "source"]), '"is and" the an*')
+
+
 @query(f"select doc_id, n_chars from {_MATCH} order by n_chars desc, doc_id limit 20", "documents")
 def l03_search_by_score(d):
     """Matches by the score that is stored, not by how well they match."""

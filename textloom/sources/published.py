@@ -16,6 +16,7 @@ import json
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,12 +65,16 @@ class Published:
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """A table as of a version, the newest if none is named; columns that a folder lacks are null."""
-        return self.spark.read.option("mergeSchema", "true").parquet(*self.manifest(version)["tables"][table])
-
-    def stage(self, df: DataFrame) -> str:
-        """Writes rows to a folder of their own, which no version names yet."""
-        path = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
+        paths = self.manifest(version)["tables"][table]
+        if any(p.endswith(".by") for p in paths):  # folders with partitions of their own are read one by one
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.spark.read.parquet(p) for p in paths])
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths)
+
+    def stage(self, df: DataFrame | tuple[DataFrame, str]) -> str:
+        """Writes rows to a folder of their own, which no version names yet; with the name of a column, partitioned by it."""
+        rows, by = df if isinstance(df, tuple) else (df, None)
+        path = f"{self.root}/data/{uuid.uuid4().hex}{'.by' if by else ''}"
+        (rows.write.partitionBy(by) if by else rows.write).mode("errorifexists").parquet(path)
         return path
 
     def publish(self, base: int, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, note: str = "") -> int:
