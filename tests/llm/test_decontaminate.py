@@ -94,3 +94,15 @@ def test_texts_of_a_form_with_shuffled_values_are_left_alone(spark):
     other = item.format("Omar", 30, "Lena", "yards", 4)
     shuffled = "Bob gave 3 miles of corn to Anna, then Maria gave 8 feet of corn back to Ivan, and Chloe gave 5 yards of corn to Omar once more, so Lena gave 9 cups of corn to Tom"
     assert flagged(spark, whole, [whole, other, shuffled]) == [True, True, False]
+
+
+def test_windows_without_wording_say_nothing(spark):
+    """Numbers, prices, dates and names in a row are no question; the very same row is."""
+    row = " ".join(map(str, range(1, 41)))
+    others = [" ".join(map(str, range(107, 607))), " ".join(f"{i},{i}0 kg" for i in range(1, 60)), " ".join(f"{i}.{i % 12 + 1}.1999" for i in range(1, 60)), "Haus Baum Tisch Stuhl Wagen Garten Wald Feld Berg Tal Fluss See Meer Insel Stadt Dorf"]
+    assert flagged(spark, row, [row, f"so: {row}.", *others]) == [True, True, False, False, False, False]
+    names = "Anna Berta Clara Dora Emma Frieda Greta Hanna Ida Julia Klara Lena"
+    assert flagged(spark, names, [names, others[3], row]) == [True, False, False]
+    mixed = "which of these numbers does not belong to the row " + " ".join(str(i * i) for i in range(1, 20))
+    assert flagged(spark, mixed, [mixed, mixed.replace("16 25", "17 26"), *others]) == [True, True, False, False, False, False]
+    assert flagged(spark, "42", ["42", "it is 42 of them", "it is 43", "42nd"]) == [True, True, False, False]

@@ -9,6 +9,9 @@ offsets close to each other, most benchmark values of a slot stand for one docum
 so a question with other numbers or names is caught, alone or among its variants, while a text
 that merely shares a form with shuffled values is not.
 
+A window of placeholders alone carries no wording: such windows of an item are left out, and an item that has no
+others, such as a row of numbers, is held by the documents that have its very words and values.
+
 Null text is empty.  Items with fewer than WIDTH words are one shorter window, items without
 words match nothing.  Repeated rows of a doc_id, or of an item_id, count as one.  Rows with a
 null doc_id are reported as not matched; null item ids are ignored.  Of an item's texts the
@@ -77,6 +80,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     first = lambda i: F.when(i == 1, F.concat(F.array(F.lit("xnamex")), F.slice("t", 2, F.col("size") - 1))).otherwise(cutout("t", i))
     at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(cutout("t", i)).alias("own"), F.array_distinct(F.array(cutout("t", i), cutout("low", i), first(i))).alias("forms"), cutout("v", i).alias("held"))))
     bench = items.select("item_id", "size", F.size("t").alias("long"), at.alias("idx", "x")).select("item_id", "size", "long", "idx", "x.own", "x.held", F.explode("x.forms").alias("form")).withColumn("h", F.xxhash64("form"))
+    bench = bench.where(F.exists("form", lambda w: ~w.rlike(f"^{SLOTS}$")))
     distinct = bench.select("item_id", "own", "h").distinct()
     total = distinct.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` values
@@ -91,7 +95,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     enough = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("own").alias("n_matched")).join(F.broadcast(total) if small else total, "item_id").where(F.col("n_matched") >= share * F.col("n_windows"))
     if sizes:
         enough = _agreeing(cut(enough), bench, raw, sizes, share)
-    return enough.select("doc_id", "item_id", "n_matched", "n_windows")
+    enough = enough.select("doc_id", "item_id", "n_matched", "n_windows")
+    bare = cut(items.join(bench.select("item_id").distinct(), "item_id", "left_anti").select("item_id", "v", F.least(F.size("v"), F.lit(width)).alias("size")))
+    return enough.union(_verbatim(raw, bare, share)) if bare.head(1) else enough
+
+
+def _verbatim(raw: DataFrame, bare: DataFrame, share: float) -> DataFrame:
+    """Matches of items without wording, by windows of their values."""
+    window = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("v") - F.col("size") + 1), lambda i: F.xxhash64(F.slice("v", i, F.col("size"))))))
+    b = bare.where("size > 0").select("item_id", window.alias("h"))
+    total = b.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    sizes = [r[0] for r in bare.select("size").distinct().collect() if r[0]]  # at most as many as words in a window
+    texts = raw.select("doc_id", _plain(_values(F.col("text"))).alias("v"))
+    hashed = F.concat(*[F.coalesce(_windows(F.col("v"), s), F.array().cast("array<long>")) for s in sizes])
+    hits = of_key(texts.select("doc_id", F.explode(F.array_distinct(hashed)).alias("h")), b, "h", "inner")
+    return hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_matched")).join(total, "item_id").where(F.col("n_matched") >= share * F.col("n_windows")).select("doc_id", "item_id", "n_matched", "n_windows")
 
 
 def _agreeing(enough: DataFrame, bench: DataFrame, raw: DataFrame, sizes: list[int], share: float) -> DataFrame:
