@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -29,9 +30,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .backtrack import FAR as FAR_LETTERS
+from .backtrack import near_words
 from .common import hold, texts
+from .tokens import WORDS
 
-ARCS, PIECES, FITS, FAR = 350_000, 260_000, 100_000, 1 << 60  # arcs, (twice) pieces and neighbours that a worker remembers; no rank
+ARCS, PIECES, FITS, FAR = 250_000, 150_000, 100_000, 1 << 60  # arcs, (twice) pieces and neighbours that a worker remembers; no rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,9 +63,29 @@ class Utf8:
         return data.decode("utf-8", "replace")
 
 
+def packed(base: int, places: list[tuple[int, tuple[int, ...]]]) -> bytes:
+    """A state as 32-bit numbers: the last settled token, then the open tokens, their number before them, and the node of each live place, the last place first."""
+    out = array("i", (base,))
+    for node, held in reversed(places):
+        out.append(len(held))
+        out.extend(held)
+        out.append(node)
+    return out.tobytes()
+
+
+def unpacked(state: bytes) -> tuple[int, list[tuple[int, tuple[int, ...]]]]:
+    a, places, i = array("i", state), [], 1
+    while i < len(a):
+        j = i + 1 + a[i]
+        places.append((a[j], tuple(a[i + 1 : j])))
+        i = j + 1
+    return a[0], places[::-1]
+
+
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.near = near_words() if pattern == WORDS.pattern else None
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.trie: dict[int, int] = {}  # by node * 256 + byte
         self.token_at: dict[int, int] = {}
@@ -80,7 +104,7 @@ class Transducer:
 
     def reset(self) -> None:
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
-        self.states: list[tuple] = [(-1, ((0, ()),))]  # last settled token; node and open tokens of each live place
+        self.states: list[bytes] = [packed(-1, [(0, ())])]
         self.number = {self.states[0]: 0}
 
     def replay(self, t: int) -> tuple | None:
@@ -133,7 +157,7 @@ class Transducer:
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Makes an arc."""
-        base, places = self.states[state]
+        base, places = unpacked(self.states[state])
         trie, inner, new, found = self.trie, self.inner, [], None
         for node, held in places:
             node = trie.get(node << 8 | byte)
@@ -163,7 +187,7 @@ class Transducer:
                 base = out[-1]
             if len(low) > n:  # no token will start at the settled end: what stands before it no longer matters
                 base = -1
-        key = (base, tuple(new))
+        key = packed(base, new)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
@@ -187,12 +211,16 @@ class Transducer:
                 state, emitted = arcs.get(state << 8 | byte) or self.step(state, byte)
                 if emitted:
                     out += emitted
-        out += self.states[state][1][-1][1]  # the place at the end of the piece is the last
+        last = array("i", self.states[state])  # the place at the end of the piece
+        out += last[2 : 2 + last[1]]
         return out
 
+    def split(self, text: str) -> list[str]:
+        return self.pattern.findall(text) if self.near is None or not text.isascii() and FAR_LETTERS.search(text) else self.near.findall(text)
+
     def encode(self, text: str) -> list[int]:
         out, pieces = [], self.pieces
-        for p in self.pattern.findall(text):
+        for p in self.split(text):
             ids = pieces.get(p)
             if ids is None:
                 ids = self.older.get(p)
