@@ -35,11 +35,16 @@ def run_time(at: str | None = None) -> Column:
     return F.lit(at) if at else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def quoted(c) -> Column:
-    """A JSON string with non-ASCII letters kept."""
+def quoted(c: Column) -> Column:
+    """A JSON string with non-ASCII letters kept; control characters are escaped."""
     plain = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for raw, esc in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         plain = F.replace(plain, F.lit(raw), F.lit(esc))
+    rest = plain
+    for i in range(0x20):
+        if chr(i) not in "\n\r\t\b\f":
+            rest = F.replace(rest, F.lit(chr(i)), F.lit(f"\\u{i:04x}"))
+    plain = F.when(c.rlike(r"[\x00-\x07\x0B\x0E-\x1F]"), rest).otherwise(plain)
     return F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), plain, F.lit('"')))
 
 

@@ -11,6 +11,7 @@ from textloom.operators import catalogue as C
 from textloom.operators import dictionary as D
 from textloom.operators import evidence as E
 from textloom.operators import fulltext as FT
+from textloom.operators import merkle as MK
 from textloom.plans.registry import query
 from textloom.sources.writers import catalogue_line, checked_copy, package
 
@@ -353,11 +354,11 @@ def w11_stop_rules(e):
     return run.select("user_id", "event_id", F.coalesce(stop, F.lit("go")).alias("state"))
 
 
-@query("select l_orderkey, l_linenumber from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as r from lineitem) where r % 97 = 1", "lineitem")
+@query("select l_orderkey, l_linenumber from (select *, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as r from lineitem) where r % 997 = 1", "lineitem")
 def w12_every_nth(li):
-    """Every 97th row of each source, from its first (the rule's own step is 997)."""
+    """Every 997th row of each source, from its first."""
     r = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
-    return li.withColumn("r", r).where("r % 97 = 1").select("l_orderkey", "l_linenumber")
+    return li.withColumn("r", r).where("r % 997 = 1").select("l_orderkey", "l_linenumber")
 
 
 @query("select id, if(r <= 10, 'calibration', 'development_review') as phase from (select p_partkey as id, row_number() over (order by sha256('901:' || p_partkey), p_partkey) as r from part)", "part")
@@ -452,9 +453,20 @@ def s09_best_mirror(p):
     return C.best_mirror(tries.where(F.length("body") > 1001), "page_id").select("page_id", "priority", F.sha2("body", 256).alias("h"))
 
 
-@query("select page_id, cast(sum(n) over (partition by 1 order by page_id) - n as bigint) as byte_start from (select page_id, strlen(regexp_replace(regexp_replace(html, '^" + T.SPACE + "', ''), '" + T.SPACE + "$', '')) + 1 as n from pages)", "pages")
+@query("select page_id, cast(sum(n) over (partition by book order by page_id) - n as bigint) as byte_start from (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as book, strlen(regexp_replace(regexp_replace(html, '^" + T.SPACE + "', ''), '" + T.SPACE + "$', '')) + 1 as n from pages)", "pages")
 def s10_page_places(p):
-    return D.page_places(p.select(F.lit(1).alias("book"), "page_id", F.col("html").alias("text")), "book", "page_id").select("page_id", "byte_start")
+    return D.page_places(p.select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("book"), "page_id", F.col("html").alias("text")), "book", "page_id").select("page_id", "byte_start")
+
+
+_LEAVES = "l as (select sha256(uri) as key, sha256(uri || chr(10) || sha) as hash from (select 'docs/' || doc_id || '.txt' as uri, sha256(text) as sha from documents))"
+_UP = "sha256(string_agg(key || ':' || hash, chr(10) order by key))"
+
+
+@query(f"with {_LEAVES}, b as (select key[1:2] as up, {_UP} as hash from l group by 1), a as (select up[1:1] as up2, sha256(string_agg(up || ':' || hash, chr(10) order by up)) as hash from b group by 1) select 3 as level, key, hash from l union all select 2, up, hash from b union all select 1, up2, hash from a union all select 0, '', sha256(string_agg(up2 || ':' || hash, chr(10) order by up2)) from a", "documents")
+def i04_hash_tree(d):
+    """The tree of hashes that seals the texts as files: every node, the root at level 0."""
+    files = d.select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("uri"), F.sha2("text", 256).alias("sha256"))
+    return MK.tree(files, 2)
 
 
 # constraints

@@ -74,9 +74,9 @@ def x09_strip_accents(d):
     return d.select("doc_id", F.md5(T.strip_accents(F.col("text"))).alias("h"))
 
 
-@query(rf"select doc_id, md5({_strip('''translate(lower(strip_accents('Трудникъ вѣстник’ ' || substr(text, 1, 300))), 'ѣъ’' || chr(39), 'і')''')}) as h from documents", "documents")
+@query(rf"select doc_id, md5({_strip('''translate(lower(strip_accents('Трудникъ вѣстник’ ' || text)), 'ѣъ’' || chr(39), 'і')''')}) as h from documents", "documents")
 def x10_old_orthography(d):
-    return d.select("doc_id", F.md5(T.old_orthography(F.concat(F.lit("Трудникъ вѣстник’ "), F.substring("text", 1, 300)))).alias("h"))
+    return d.select("doc_id", F.md5(T.old_orthography(F.concat(F.lit("Трудникъ вѣстник’ "), F.col("text")))).alias("h"))
 
 
 @query("select doc_id, md5(replace(translate(lower('Straße ΣΑΣ ' || text), 'ςſ', 'σs'), 'ß', 'ss')) as h from documents", "documents")
@@ -309,13 +309,21 @@ def x44_byte_slices(d):
 
 
 def _json(c: str) -> str:
-    return f"""'"' || replace(replace(replace({c}, '\\', '\\\\'), chr(34), '\\' || chr(34)), chr(10), '\\n') || '"'"""
+    out = f"replace(replace({c}, '\\', '\\\\'), chr(34), '\\' || chr(34))"
+    for i in range(1, 0x20):
+        esc = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(i, f"\\u{i:04x}")
+        out = f"replace({out}, chr({i}), '{esc}')"
+    return f"""'"' || {out} || '"'"""
 
 
-@query(f"""select conv_id, turn, sha256('{{"role": ' || {_json('role')} || ', "text": ' || {_json('text')} || ', "turn": ' || turn || '}}') as digest from conversations where not regexp_matches(text, '[\\x00-\\x09\\x0B-\\x1F]')""", "conversations")
+# every third text has control characters of its own
+_SAID = "if(turn % 3 = 0, text || chr(1) || chr(9) || chr(31), text)"
+
+
+@query(f"""select conv_id, turn, sha256('{{"role": ' || {_json('role')} || ', "text": ' || {_json(_SAID)} || ', "turn": ' || turn || '}}') as digest from conversations""", "conversations")
 def x41_canonical_digest(c):
-    plain = c.where(~F.col("text").rlike(r"[\x00-\x09\x0B-\x1F]"))
-    return plain.select("conv_id", "turn", F.sha2(R.canonical(turn=F.col("turn").cast("string"), role=R.quoted(F.col("role")), text=R.quoted(F.col("text"))), 256).alias("digest"))
+    said = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\x01\t\x1f"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", F.sha2(R.canonical(turn=F.col("turn").cast("string"), role=R.quoted(F.col("role")), text=R.quoted(said)), 256).alias("digest"))
 
 
 @query(f"""select p_partkey, 'lex-' || substr(sha256('[' || p_size || ', ' || {_json('p_name')} || ']'), 1, 20) as card, sha256('{{"id": ' || p_partkey || ', "term": ' || {_json('p_name')} || '}}') as revision from part""", "part")
@@ -355,7 +363,7 @@ def f10_boilerplate_lines(d):
 _LINES = f"with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents), o as (select *, cast(sum(strlen(line) + 1) over (partition by doc_id order by i) - strlen(line) - 1 as bigint) as byte_offset from l), k as (select *, row_number() over (partition by doc_id order by i) as up, row_number() over (partition by doc_id order by i desc) as down, count(*) over (partition by doc_id) as n from o where length({_strip('line')}) >= 3 and not regexp_matches({_strip('line')}, '{T.BOILERPLATE}'))"
 
 
-@query(_LINES + f" select doc_id, 'head' as side, cast(up - 1 as integer) as idx, byte_offset, substr({_strip('line')}, 1, 160) as line from k where up <= 22 union all select doc_id, 'tail', cast(up - 1 - greatest(0, n - 22) as integer), byte_offset, substr({_strip('line')}, 1, 160) from k where down <= 22", "documents")
+@query(_LINES + f" select doc_id, 'head' as side, cast(up - 1 as integer) as idx, byte_offset, substr({_strip('line')}, 1, 160) as line from k where up <= 220 union all select doc_id, 'tail', cast(up - 1 - greatest(0, n - 220) as integer), byte_offset, substr({_strip('line')}, 1, 160) from k where down <= 220", "documents")
 def l11_boundary_candidates(d):
-    """The first and the last lines that may be a border of the text proper, numbered anew (22 here, 220 by default)."""
-    return D.boundary_lines(d, "doc_id", 22, False).unionByName(D.boundary_lines(d, "doc_id", 22, True))
+    """The first and the last lines that may be a border of the text proper, numbered anew."""
+    return D.boundary_lines(d, "doc_id", 220, False).unionByName(D.boundary_lines(d, "doc_id", 220, True))
