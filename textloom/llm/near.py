@@ -10,7 +10,9 @@ A bucket first names pairs with leaders, as many as its rows.  Sets that take pa
 back with the component of their verified pairs, and what meets across components is verified
 pair by pair: large groups of near copies cost no pairs among themselves.
 
-Copies of a set collapse before any of this.  Null text is empty; texts without words are one set.
+Copies of a set collapse before any of this.  Null text is empty; texts without words are one set.  Rows are judged by
+`row`, so a null doc_id is carried along and repeated rows fall into one group; of equal candidates the smallest row leads.
+Texts of any length are read whole; an empty table gives no rows; columns but row, doc_id and text are never read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ with hexadecimal digits folded to one, for runs as long as the hexadecimal kind
 are tried at its hits alone.
 
 Offsets count code points, end exclusive.  Null text is empty; letters of keywords match in
-either ASCII case; overlapping matches of different kinds are all kept; texts are scanned whole,
+either ASCII case; overlapping matches of different kinds are all kept, and of those that start together the kind listed first comes first; texts are scanned whole,
 whatever their length.  A null doc_id stays null, repeated rows are each scanned, an empty table
 gives no rows, and columns but doc_id and text are never read.
 """
