@@ -47,7 +47,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that a smaller doc_id holds; the other columns stay, and every row.
 
-    A null text becomes empty.  Rows with a null doc_id lose nothing, rows that share one lose alike."""
+    A null text becomes empty.  Rows with a null doc_id lose nothing, rows that share one lose alike.
+    Texts of any length are split whole; an empty table has no rows."""
     batches_of(spark, BATCH_ROWS)
     new = lines.dedup_lines(docs, carry=["lang", "source"])
     return new.select("doc_id", F.col("kept").alias("text"), F.col("_c0").alias("lang"), F.col("_c1").alias("source"), F.length("kept").cast("long").alias("n_chars"))
@@ -57,7 +58,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """The smallest doc_id of each group of 5-word similarity 0.8 or more stays.
 
     A null doc_id comes after all others, and of equal ones any one row stays; null texts are empty,
-    and texts without words are one group."""
+    and texts without words are one group.  Repeated rows are one group too, so one of them stays; texts of any
+    length are compared whole, and an empty table has no rows."""
     batches_of(spark, BATCH_ROWS)
     rows = numbered(docs)
     groups = cut(near.similar_groups(rows))
@@ -66,7 +68,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a benchmark item go, whatever their doc_id; null and empty texts hold none."""
+    """Rows that hold a benchmark item go, whatever their doc_id; null and empty texts hold none.
+
+    Repeated rows are judged each, all alike; texts of any length are read whole; an empty table has no rows, and
+    with an empty benchmark every row stays."""
     batches_of(spark, BATCH_ROWS)
     rows = numbered(docs)
     leaks = decontaminate.matches(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
@@ -74,7 +79,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and of the decoded text of every row; a null text is empty."""
+    """doc_id, n_tokens and digests of ids and of the decoded text of every row; a null text is empty.
+
+    Repeated rows are encoded each; texts of any length are encoded whole; an empty table has no rows."""
     batches_of(spark, FEW_ROWS)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
