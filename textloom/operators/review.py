@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,34 @@ from textloom.operators.evidence import kappa
 SCALES = ("semantics", "naturalness", "word_formation", "style")
 
 
+# Seeds of the split and of the two reviewers' orders, and the items of the calibration.
+SEEDS, CALIBRATION = (901, 902, 903), 10
+
+
+def drawn(items: DataFrame, package: str, order: str, seeds: tuple[int, int, int] = SEEDS, calibration: int = CALIBRATION) -> DataFrame:
+    """items(package, id, order) with phase and the places of both reviewers' orders, drawn by the Mersenne Twister.
+
+    The split shuffles the ids in ascending order, the reviewers' orders the items in order of `order`, then id.  A package is what one
+    person reviews, so it is drawn in one task; packages are drawn in parallel.  Ids are unique within a package."""
+    split, *readers = seeds
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(rows["id"])
+        random.Random(split).shuffle(ids)
+        given = rows.sort_values(["ord", "id"])["id"].tolist()
+        places = []
+        for seed in readers:
+            now = list(given)
+            random.Random(seed).shuffle(now)
+            at = {x: i for i, x in enumerate(now)}
+            places.append([at[x] for x in given])
+        first = set(ids[:calibration])
+        return pd.DataFrame({"package": key[0], "id": given, "phase": ["calibration" if x in first else "development_review" for x in given], "place_1": places[0], "place_2": places[1]})
+
+    kinds = dict(items.dtypes)
+    return items.select(F.col(package).alias("package"), "id", F.col(order).alias("ord")).groupBy("package").applyInPandas(run, f"package {kinds[package]}, id {kinds['id']}, phase string, place_1 int, place_2 int")
+
+
 def faults(i: str, t: str) -> Column:
     """Faults of a filled item (struct column `i`: frozen, context_sufficient, relevance, relevance_reason,
     recognized_provenance, scores map<string,double>, na_reasons map<string,string>, comment) against its template `t`."""

@@ -467,6 +467,13 @@ def q12_publish(c, s):
     return Q.publish(target, s.select((F.col("s_suppkey") + 1000000).alias("c_custkey"), F.col("s_name").alias("c_name")), base, ["c_custkey", "c_name"])
 
 
+@query("", "part")
+def w13b_drawn_orders(p):
+    """Split and orders of each brand's review package by seeded shuffles, which SQL does not have."""
+    ident = F.substring(F.sha2(F.concat(F.lit("review.v1:"), F.col("p_partkey").cast("string")), 256), 1, 16)
+    return V.drawn(p.select("p_brand", ident.alias("id"), "p_partkey"), "p_brand", "p_partkey")
+
+
 # the research cycle
 _W = rf"regexp_extract_all(lower(text), '[{T.WORD}]+')"
 _TRY = f"c as (select doc_id as work_id, w as window, unnest([0, 1]) as pos, unnest([{_W}[2 + w * 9], {_W}[6 + w * 9]]) as term from (select doc_id, text, unnest(range(0, if(doc_id % 7 = 3, 1, 3))) as w from documents))"
