@@ -53,6 +53,12 @@ class Jobs:
     def apply(self, kind: str, now: float, token: str, ok: bool) -> list[tuple]:
         return self.claim(now, token) if kind == "claim" else self.finish(now, token, ok)
 
+    def logged(self, kind: str, now: float, token: str, ok: bool) -> list[tuple]:
+        """What apply says, each entry with the attempts of its job at that moment: a lease ends before the claim that finds it over."""
+        late = [(j, None, "lease_expired") for j in self.expire(now)] if kind == "claim" else []
+        out = [(*x, self.jobs[x[0]]["attempts"]) for x in late]
+        return out + [(*x, 0 if x[0] is None else self.jobs[x[0]]["attempts"]) for x in self.apply(kind, now, token, ok)]
+
 
 def fold(jobs: DataFrame, events: DataFrame, lease: float = LEASE, most: int = ATTEMPTS) -> DataFrame:
     """plan, seq, at, job, token, event, attempts: the journal that events(plan, seq, at, kind, token, ok) make on jobs(plan, job, start).
@@ -62,7 +68,7 @@ def fold(jobs: DataFrame, events: DataFrame, lease: float = LEASE, most: int = A
     def run(key, j: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         machine, out = Jobs(list(zip(j.job.tolist(), j.start.tolist(), strict=True)), lease, most), []
         for x in e.sort_values("seq").itertuples():
-            out += [(key[0], x.seq, x.at, job, token, event, 0 if job is None else machine.jobs[job]["attempts"]) for job, token, event in machine.apply(x.kind, x.at, x.token, bool(x.ok))]
+            out += [(key[0], x.seq, x.at, *said) for said in machine.logged(x.kind, x.at, x.token, bool(x.ok))]
         return pd.DataFrame(out, columns=["plan", "seq", "at", "job", "token", "event", "attempts"]).astype({"job": "Int64"})
 
     return jobs.groupBy("plan").cogroup(events.groupBy("plan")).applyInPandas(run, OUT)

@@ -62,8 +62,8 @@ class Leases(StatefulProcessor):
             elif x.kind == "claim" and at + self.lease <= mark:
                 out.append((x.seq, at, None, x.token, "too_late", 0))
             else:
-                for job, token, event in machine.apply(x.kind, at, x.token, bool(x.ok)):
-                    out.append((x.seq, at, job, token, event, 0 if job is None else machine.jobs[job]["attempts"]))
+                for job, token, event, attempts in machine.logged(x.kind, at, x.token, bool(x.ok)):
+                    out.append((x.seq, at, job, token, event, attempts))
                     if event == "claimed":
                         self.handle.registerTimer(int(machine.jobs[job]["until"] * 1000))
         self._save(machine, before)

@@ -34,7 +34,7 @@ def journal(events: DataFrame, lease: float = LEASE, most: int = ATTEMPTS) -> Da
             if x.kind == "job":
                 machine.jobs.setdefault(int(x.job), {"start": int(x.start), "state": "pending", "attempts": 0, "token": None, "until": 0.0})
                 continue
-            out += [(key[0], x.seq, x.at, job, token, event, 0 if job is None else machine.jobs[job]["attempts"]) for job, token, event in machine.apply(x.kind, x.at, x.token, bool(x.ok))]
+            out += [(key[0], x.seq, x.at, *said) for said in machine.logged(x.kind, x.at, x.token, bool(x.ok))]
         state.update((json.dumps(machine.jobs),))
         yield pd.DataFrame(out, columns=["plan", "seq", "at", "job", "token", "event", "attempts"]).astype({"plan": "int64", "seq": "int64", "at": float, "job": "Int64", "token": object, "event": object, "attempts": "int32"})
 
