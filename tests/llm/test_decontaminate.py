@@ -105,4 +105,4 @@ def test_windows_without_wording_say_nothing(spark):
     assert flagged(spark, names, [names, others[3], row]) == [True, False, False]
     mixed = "which of these numbers does not belong to the row " + " ".join(str(i * i) for i in range(1, 20))
     assert flagged(spark, mixed, [mixed, mixed.replace("16 25", "17 26"), *others]) == [True, True, False, False, False, False]
-    assert flagged(spark, "42", ["42", "it is 42 of them", "it is 43", "42nd"]) == [True, True, False, False]
+    assert flagged(spark, "42", ["42", "it is 42 of them", "it is 43", "142 of them"]) == [True, True, False, False]

@@ -78,9 +78,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: fl
     # an item window meets documents in three forms: its own, without capitals, and its first word with one
     cutout = lambda c, i: F.slice(c, i, F.col("size"))
     first = lambda i: F.when(i == 1, F.concat(F.array(F.lit("xnamex")), F.slice("t", 2, F.col("size") - 1))).otherwise(cutout("t", i))
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(cutout("t", i)).alias("own"), F.array_distinct(F.array(cutout("t", i), cutout("low", i), first(i))).alias("forms"), cutout("v", i).alias("held"))))
-    bench = items.select("item_id", "size", F.size("t").alias("long"), at.alias("idx", "x")).select("item_id", "size", "long", "idx", "x.own", "x.held", F.explode("x.forms").alias("form")).withColumn("h", F.xxhash64("form"))
-    bench = bench.where(F.exists("form", lambda w: ~w.rlike(f"^{SLOTS}$")))
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(cutout("t", i)).alias("own"), F.array_distinct(F.array(cutout("t", i), cutout("low", i), first(i))).alias("forms"), cutout("v", i).alias("held"), F.exists(cutout("t", i), lambda w: ~w.rlike(f"^{SLOTS}$")).alias("worded"))))
+    bench = items.select("item_id", "size", F.size("t").alias("long"), at.alias("idx", "x")).where("x.worded").select("item_id", "size", "long", "idx", "x.own", "x.held", F.explode("x.forms").alias("form")).withColumn("h", F.xxhash64("form"))
     distinct = bench.select("item_id", "own", "h").distinct()
     total = distinct.groupBy("item_id").agg(F.countDistinct("own").alias("n_windows"))
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # at most `width` values
