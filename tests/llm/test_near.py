@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from textloom.llm import near
 
@@ -66,3 +67,17 @@ def test_stage_keeps_one_of_pairs_at_0_8(spark):
     for i, r in enumerate(groups(data)):
         best[r] = min(best.get(r, i), i, key=lambda j: (data[j][0] is None, data[j][0], j))
     assert got == sorted((data[i] for i in best.values()), key=str)
+
+
+def test_sketches_of_similar_sets_meet():
+    """Sets at similarity 0.8 share a keyed segment and stay within MAX_OTHER; unlike ones do not."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(400):
+        h = rng.integers(0, 2**64, 100, np.uint64)
+        a, b, c = (np.frombuffer(near.sketch(np.unique(x)), np.uint64) for x in (h[:90], h[10:], rng.integers(0, 2**64, 90, np.uint64)))
+        meet = (a.view(np.uint16) == b.view(np.uint16))[: near.KEYED].any()
+        missed += not (meet and near._others(a, b[None])[0] <= near.MAX_OTHER)
+        assert near._others(a, c[None])[0] > near.MAX_OTHER
+    assert missed <= 2
+    assert near.sketch(np.zeros(0, np.uint64)) == near.sketch(np.zeros(0, np.uint64))

@@ -2,13 +2,16 @@
 
 Distinct shingle sets get a 128-bit SimHash: two 64-bit words, each of four 16-bit segments.
 Each segment enumerates its ball of radius 1, so sets meet where one segment differs in at most
-2 bits, and go on where all 128 bits differ in at most MAX_BITS.  At similarity 0.8 a bit
+2 bits, and are near where all 128 bits differ in at most MAX_BITS.  At similarity 0.8 a bit
 differs with probability 0.15: all eight segments miss with probability 0.002.  Every pair that
 counts is verified on the sets themselves.
 
-A bucket first names pairs with leaders, as many as its rows.  Sets that take part in any come
-back with the component of their verified pairs, and what meets across components is verified
-pair by pair: large groups of near copies cost no pairs among themselves.
+Sets that are near any other keep one partner, the nearest leader of their buckets within LEAD_BITS,
+and are verified with it: large groups of near copies become components by as many pairs as they have sets.
+Near sets then get a sketch, 2 bits of each of FUNCTIONS minima, and what meets across components in one of
+its segments is verified pair by pair where at most MAX_OTHER of the minima differ.  At similarity
+0.8 a minimum's bits differ with probability 0.15; MAX_OTHER is four deviations above the mean, and all KEYED
+segments differ with probability 0.0005.  A pair is named by the first segment that it shares alone.
 
 Copies of a set collapse before any of this.  Null text is empty; texts without words are one set.  Rows are judged by
 `row`, so a null doc_id is carried along and repeated rows fall into one group; of equal candidates the smallest row leads.
@@ -29,6 +32,10 @@ from .common import components, cut, hold, parts
 
 WIDTH, MAX_BITS = 5, 36  # 36 of 128 bits: four deviations above the mean at similarity 0.8
 SEGMENTS, BITS = 8, 16
+LEAD_BITS = 24  # one deviation above the mean at similarity 0.8: which leaders are tried first
+FUNCTIONS, KEYED, MAX_OTHER = 512, 24, 109
+_DRAWN = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, (2, FUNCTIONS, 1), np.uint64)
+_FLIP, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -69,10 +76,27 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"row": b.row, "doc_id": b.doc_id.astype("Int64").to_numpy(), "same": same, "fa": words[:, 0], "fb": words[:, 1]})
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """2 bits of the smallest value that each function gives to the hashes of a set."""
+    least = np.full(FUNCTIONS, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(h), 256):
+            least = np.minimum(least, ((h[None, k : k + 256] ^ _FLIP) * _TIMES).min(axis=1))
+        two = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)).astype(np.uint8).reshape(-1, 4)
+    return (two << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def _others(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """How many of the functions' bits differ."""
+    x = one ^ many
+    return np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hold("near")
     for b in batches:
-        yield pd.DataFrame({"id": b.row, "held": [shingles(t).view(np.int64) for t in b.text]})
+        sets = [shingles(t) for t in b.text]
+        yield pd.DataFrame({"id": b.row, "held": [h.view(np.int64) for h in sets], "sketch": [sketch(h) for h in sets]})
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,38 +113,54 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key.ravel(), **{c: np.repeat(b[c].to_numpy(np.int64), each) for c in b.columns}})
 
 
-def _near(fps: np.ndarray, i: int) -> np.ndarray:
-    return np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= MAX_BITS
+def _sketch_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for big in batches:
+        for k in range(0, len(big), 500):
+            b = big.iloc[k : k + 500]
+            parts_of = np.frombuffer(b"".join(b.sketch), np.uint16).reshape(len(b), -1)[:, :KEYED]
+            key = parts_of.astype(np.int64) | (np.arange(KEYED, dtype=np.int64) << 16)
+            yield pd.DataFrame({"key": key.ravel(), **{c: np.repeat(b[c].to_numpy(), KEYED) for c in ("id", "root", "sketch")}})
 
 
-def _leaders(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each set with one leader near it; a leader near sets of earlier leaders alone with one of those."""
-    out, free = [], np.ones(len(ids), bool)
+def _bits(fps: np.ndarray, i: int) -> np.ndarray:
+    return np.bitwise_count(fps ^ fps[i]).sum(axis=1, dtype=np.int64)
+
+
+def _leaders(key: int, ids: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets that are near others, each with the nearest leader within LEAD_BITS, or else with itself at no distance that counts."""
+    best, lead, near, free = np.full(len(ids), 129), ids.copy(), np.zeros(len(ids), bool), np.ones(len(ids), bool)
     for i in range(len(ids)):
         if not free[i]:
             continue
-        free[i] = False
-        near = _near(fps, i)
-        near[i] = False
-        got = np.flatnonzero(near & free)
-        free[got] = False
-        if not len(got):
-            got = np.flatnonzero(near)[:1]
-        out.append((np.full(len(got), ids[i]), ids[got]))
-    return out
-
-
-def _across(ids: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of different components."""
-    out = []
+        bits = _bits(fps, i)
+        bits[i] = 999
+        near |= bits <= MAX_BITS
+        near[i] |= bits.min() <= MAX_BITS
+        close = bits <= LEAD_BITS
+        if not (close & free).any() and close.any():  # near followers of other leaders alone: with the nearest of those
+            j = int(bits.argmin())
+            best[i], lead[i] = bits[j], ids[j]
+        close &= bits < best
+        close[: i + 1] = False
+        best[close], lead[close] = bits[close], ids[i]
+        free[bits <= LEAD_BITS] = False
+    return ids[near], lead[near], best[near]
+
+
+def _across(key: int, ids: np.ndarray, fps: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components whose sketches are alike, and that share no segment before this."""
     order = np.argsort(roots, kind="stable")
     ids, fps, roots = ids[order], fps[order], roots[order]
-    ends = np.searchsorted(roots, roots, side="right")
+    segments, ends = fps.view(np.uint16)[:, :KEYED], np.searchsorted(roots, roots, side="right")
+    a, b, far = [ids[:0]], [ids[:0]], [ids[:0]]
     for i in range(len(ids)):
-        if ends[i] < len(ids):
-            got = np.flatnonzero(np.bitwise_count(fps[ends[i] :] ^ fps[i]).sum(axis=1) <= MAX_BITS) + ends[i]
-            out.append((np.full(len(got), ids[i]), ids[got]))
-    return out
+        others = _others(fps[i], fps[ends[i] :])
+        got = np.flatnonzero(others <= MAX_OTHER)
+        got = got[(segments[ends[i] + got] == segments[i]).argmax(axis=1) == key >> 16]
+        a.append(np.full(len(got), ids[i]))
+        b.append(ids[ends[i] + got])
+        far.append(others[got])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(far)
 
 
 def _with_near(keys: np.ndarray, fps: np.ndarray, cuts: np.ndarray, most: int = 64) -> np.ndarray:
@@ -140,40 +180,40 @@ def _meet(batches: Iterator[pd.DataFrame], name) -> Iterator[pd.DataFrame]:
     key, held = None, []
 
     def close() -> list:
-        return name(*(np.concatenate(x) for x in zip(*held, strict=True))) if sum(len(x[0]) for x in held) > 1 else []
+        return [name(key, *(np.concatenate(x) for x in zip(*held, strict=True)))] if sum(len(x[0]) for x in held) > 1 else []
 
     def frame(out: list) -> Iterator[pd.DataFrame]:
         if out:
-            u, v = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-            yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
+            named = pd.DataFrame(dict(zip(("a", "b", "far"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            yield named.sort_values(["a", "far", "b"]).drop_duplicates("a") if name is _leaders else named
 
     for b in batches:
         keys, ids = (b[c].to_numpy(np.int64) for c in ("key", "id"))
-        roots = b["root"].to_numpy(np.int64) if "root" in b else ids
-        fps = b[["fa", "fb"]].to_numpy(np.int64).view(np.uint64)
         cuts, out = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(b)], []
-        some = _with_near(keys, fps, cuts)
+        if name is _leaders:
+            roots, fps = ids, b[["fa", "fb"]].to_numpy(np.int64).view(np.uint64)
+            some = _with_near(keys, fps, cuts)
+        else:
+            roots, fps = b.root.to_numpy(np.int64), np.frombuffer(b"".join(b.sketch), np.uint64).reshape(len(b), -1)
+            some = np.diff(cuts) > 1
         some[[0, -1]] = True  # these may go on in other frames
         for n in np.flatnonzero(some).tolist():
             i, j = int(cuts[n]), int(cuts[n + 1])
             if keys[i] != key:
                 out += close()
-                key, held = keys[i], []
+                key, held = int(keys[i]), []
             if j < len(b) and not held:  # a whole bucket
                 if j - i > 1:
-                    out += name(ids[i:j], fps[i:j], roots[i:j])
+                    out.append(name(key, ids[i:j], fps[i:j], roots[i:j]))
             else:
                 held.append((ids[i:j], fps[i:j], roots[i:j]))
         yield from frame(out)
     yield from frame(close())
 
 
-def _pairs(sets: DataFrame, name) -> DataFrame:
-    """Pairs that `name` makes of the sets (id, fa, fb and perhaps root) that meet; rows are no wider than that."""
-    columns = [c for c in ("id", "fa", "fb", "root") if c in sets.columns]
-    keyed = sets.select(*columns).mapInPandas(_keys, "key long, " + ", ".join(f"{c} long" for c in columns))
-    met = keyed.repartition(parts(sets.sparkSession), "key").sortWithinPartitions("key", "id")
-    return cut(met.mapInPandas(lambda it: _meet(it, name), "a long, b long").distinct())
+def _met(keyed: DataFrame, name) -> DataFrame:
+    met = keyed.repartition(parts(keyed.sparkSession), "key").sortWithinPartitions("key", "id")
+    return met.mapInPandas(lambda it: _meet(it, name), "a long, b long, far long")
 
 
 def similar_groups(rows: DataFrame) -> DataFrame:
@@ -181,20 +221,20 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     base = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     every = cut(base.mapInPandas(_prints, "row long, doc_id long, same long, fa long, fb long"))
     sets = cut(every.groupBy("same").agg(F.min("row").alias("id"), F.first("fa").alias("fa"), F.first("fb").alias("fb")))
-    first = _pairs(sets, _leaders)
-    active = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    text = base.join(active, base.row == active.id, "left_semi").select("row", "text")
-    held = cut(text.mapInPandas(_sets, "id long, held array<long>"))
+    met = _met(sets.select("id", "fa", "fb").mapInPandas(_keys, "key long, id long, fa long, fb long"), _leaders)
+    near = cut(met.groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select(F.col("a").alias("id"), "best.far", "best.b"))
+    text = base.join(near, base.row == near.id, "left_semi").select("row", "text")
+    held = cut(text.mapInPandas(_sets, "id long, held array<long>, sketch binary"))
 
     def verified(pairs):
         x, y = (held.select(F.col("id").alias(c), F.col("held").alias(f"h{c}")) for c in "ab")
-        both = pairs.join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("ha", "hb")))
+        both = pairs.select("a", "b").join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("ha", "hb")))
         return both.where(F.col("n") * 9 >= (F.size("ha") + F.size("hb")) * 4).select("a", "b")  # n / union >= 0.8
 
-    sure = cut(verified(first))
+    sure = cut(verified(near.where("far <= 128").select(F.col("id").alias("a"), "b")))
     roots = components(sure)
-    known = sets.join(active, "id", "left_semi").join(roots, sets.id == roots.node, "left").select("id", "fa", "fb", F.coalesce("root", "id").alias("root"))
-    more = verified(_pairs(known, _across).join(first, ["a", "b"], "left_anti"))
+    known = held.select("id", "sketch").join(roots, held.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"), "sketch")
+    more = verified(_met(known.mapInPandas(_sketch_keys, "key long, id long, root long, sketch binary"), _across))
     roots = components(sure.union(more))
     named = sets.join(roots, sets.id == roots.node, "left").select("same", F.coalesce("root", "id").alias("root"))
     return every.join(named, "same").select("row", "doc_id", "root")
