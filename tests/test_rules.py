@@ -196,3 +196,11 @@ def test_zones_from_a_selection(spark):
     got = Z.from_selection(chosen, lines, "doc_id").collect()
     good = next(r.zones for r in got if r.zones)
     assert [(z.kind, text[z.byte_start : z.byte_end][:7]) for z in good] == [("front_matter", "line 0\n"), ("body", "line 2\n"), ("back_matter", "\nline 2")] and any(r.zones is None for r in got)
+
+
+def test_author_scores_round_the_double_itself(spark):
+    """70.945, 73.945 and 72.445 are a little less as doubles: they go down, as in SQL; decimal text takes them up."""
+    rows = [(2, 4, [60.71, 74.88, 67.56]), (2, 1, [94.0, 57.77, 76.38]), (2, 1, [80.71, 74.88, 67.56]), (3, 5, [])]
+    df = spark.createDataFrame(rows, "tier int, coined int, scores array<double>")
+    got = [r.s for r in df.select(S.author_score(F.col("tier"), F.col("scores"), F.col("coined")).alias("s")).collect()]
+    assert got == [70.94, 73.94, 72.44, 75.0]

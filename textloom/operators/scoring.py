@@ -55,13 +55,18 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
+def _cents(x: Column) -> Column:
+    """To two places by the double's own value, as SQL rounds: F.round goes by its decimal text, which takes 70.945 (a little less as a double) up."""
+    return F.round(x * 100) / 100
+
+
 def work_score(year: Column, awards: Column, canons: Column, maker: Column) -> Column:
     """40, plus awards and canons by the first weight that fits each, plus 15 for makers of tropes, raised by era; 50 to 99.8."""
     won = _sum(F.transform(awards, _award))
     raw = F.lit(40.0) + won + _sum(F.transform(canons, _canon)) + F.when(maker, 15.0).otherwise(0.0)
     by = multiplier(year)
     raised = F.when((year <= 1950) & (won == 0), (raw + 25.0) * by).otherwise(raw * (F.lit(1.0) + (by - 1.0) * 0.3))
-    return F.greatest(F.lit(50.0), F.least(F.lit(99.8), F.round(raised * 0.72, 2)))
+    return F.greatest(F.lit(50.0), F.least(F.lit(99.8), _cents(raised * 0.72)))
 
 
 def author_score(tier: Column, scores: Column, coined: Column) -> Column:
@@ -71,7 +76,7 @@ def author_score(tier: Column, scores: Column, coined: Column) -> Column:
         base, bonus = F.when(tier == t, b).otherwise(base), F.when(tier == t, more).otherwise(bonus)
     best = F.slice(F.sort_array(scores, asc=False), 1, 3)
     mean = _sum(best) / F.size(best)
-    some = F.least(F.lit(100.0), F.round(mean * 0.90 + bonus + F.least(F.lit(7.0), coined * 1.5), 2))
+    some = F.least(F.lit(100.0), _cents(mean * 0.90 + bonus + F.least(F.lit(7.0), coined * 1.5)))
     return F.when(F.coalesce(F.size(scores), F.lit(0)) <= 0, base + F.least(F.lit(10.0), coined * 2.0)).otherwise(some)
 
 
