@@ -14,6 +14,7 @@ from textloom.operators import queue as Q
 from textloom.operators import review as V
 from textloom.operators import scoring as S
 from textloom.operators import zones as Z
+from textloom.plans.every import ORACLES, QUERIES
 
 
 def sha(x):
@@ -204,3 +205,22 @@ def test_author_scores_round_the_double_itself(spark):
     df = spark.createDataFrame(rows, "tier int, coined int, scores array<double>")
     got = [r.s for r in df.select(S.author_score(F.col("tier"), F.col("scores"), F.col("coined")).alias("s")).collect()]
     assert got == [70.94, 73.94, 72.44, 75.0]
+
+
+def as_sql(spark, tmp_path, name, **tables):
+    """Rows of a registered query on small tables, and those of its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    return sorted(map(repr, map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))), sorted(map(repr, con.execute(ORACLES[name]).fetchall()))
+
+
+def test_chains_of_a_repeated_word(spark, tmp_path):
+    texts = ["der der der der der", "Der der, der  der der-der x der der", "the the then the the", "new york new york york"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    asked = spark.createDataFrame([("der der",), ("the the",), ("new york",), ("york new",)], "text string")
+    got, want = as_sql(spark, tmp_path, "x01_two_word_terms", documents=docs, benchmark=asked)
+    assert got == want and len(got) == 9
