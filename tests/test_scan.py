@@ -118,3 +118,35 @@ def test_a_long_text_is_mapped_once(spark):
     df = spark.createDataFrame([(t + "кінець  тут", ["кінець тут", "немає"] * 300)], "t string, qs array<string>")
     x = df.select(T.locate_all(F.col("t"), F.col("qs")).alias("x")).first().x
     assert len(x) == 600 and x[0].byte_start == len(t.encode()) and x[0].alignment == "whitespace_only" and x[1].error == "quote_absent"
+
+
+def test_places_listed_in_their_texts_rows(docs, terms, monkeypatch):
+    want = sorted(map(tuple, E.witnesses(docs, terms).where("idx < 2").drop("matched_form").collect()))
+    fields = [c for c in E.witnesses(docs, terms).columns if c not in ("doc_id", "matched_form")]
+    for size, rows in ((32 << 20, 100_000), (150, 7)):
+        monkeypatch.setattr(scan, "LIST_BYTES", size)
+        monkeypatch.setattr(scan, "ROWS", rows)
+        kept = E.witness_lists(docs, terms, first=2)
+        assert kept.count() == docs.count()
+        flat = kept.select("doc_id", F.explode("found").alias("w")).select("doc_id", *[f"w.{c}" for c in fields])
+        assert sorted(map(tuple, flat.collect())) == want
+
+
+def test_verdicts_in_a_row_shuffle_no_witness(spark, docs, terms, tmp_path):
+    """The same reasons as by the join, whatever was tampered with; the query's plan deals no rows by a key."""
+    one = docs.where("doc_id <> 92 or text <> 'robot'")
+    w = E.witnesses(one, terms).join(B.artifacts(one).select("doc_id", F.col("sha256").alias("artifact_sha256")), "doc_id")
+    bad = F.col("byte_offset") % 4
+    w = w.select("doc_id", "term", "idx", F.when(bad == 1, 10_000_000).when(F.col("idx") % 7 == 6, -1).otherwise(F.col("byte_start")).alias("byte_start"), "byte_len", F.when(bad == 2, "0").otherwise(F.col("window_sha256")).alias("window_sha256"), F.when(F.col("idx") % 5 == 4, "0").otherwise(F.col("artifact_sha256")).alias("artifact_sha256"), "matched_form")
+    want = sorted(map(tuple, B.verdicts(w, one).collect()))
+    rows = one.join(w.groupBy("doc_id").agg(F.collect_list(F.struct(*w.columns[1:])).alias("found")), "doc_id")
+    for size in (64, 4096):
+        assert sorted(map(tuple, B.listed_verdicts(rows, size=size).collect())) == want
+    assert {r[-1] for r in want} == {"ok", "artifact_drift", "short_read", "window_mismatch"}
+
+    from textloom.plans.every import QUERIES
+
+    one.write.parquet(f"{tmp_path}/documents.parquet")
+    terms.withColumnRenamed("term", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plan = QUERIES["m06c_stored_witnesses"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan
