@@ -163,6 +163,24 @@ def test_bpe_keeps_its_state_when_arcs_are_forgotten(monkeypatch):
     assert bpe.Transducer(ranks, P.PATTERN).encode(text) == e.encode_ordinary(text)
 
 
+def test_bpe_proves_no_byte_and_forgets_pieces(monkeypatch):
+    """A byte alone needs no proof that it fits; pieces that were forgotten come out the same."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    monkeypatch.setattr(bpe, "PIECES", 50)
+    proved = []
+    fit = bpe.Transducer.fit
+    monkeypatch.setattr(bpe.Transducer, "fit", lambda self, a, b: proved.append(b) or fit(self, a, b))
+    ranks = bpe.load_ranks(path)
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(5)
+    words = ["".join(rng.choice(("th", "er", "in", "q", "zz", "é", "日", "ж")) for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    fst = bpe.Transducer(ranks, P.PATTERN)
+    for _ in range(3):
+        text = " ".join(rng.choice(words) for _ in range(1500))
+        assert fst.encode(text) == e.encode_ordinary(text)
+    assert proved and all(len(fst.bytes_of[t]) > 1 for t in proved)
+
+
 def test_bpe_query_digests_and_empty_table(spark, docs, tmp_path):
     import hashlib
 

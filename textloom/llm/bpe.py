@@ -1,12 +1,14 @@
 """Byte-level BPE by a lazily determinised transducer, and a streaming decoder.
 
 After any prefix of a piece, each earlier place that a longer token may still span is live, and
-every prefix has one valid tokenisation, known by its last token.  A state is the settled last
-token and, for each live place, its node in the trie of tokens and the tokens between the settled
-end and it; reading a byte finds the token that ends there and fits its predecessor, and emits
-those tokens that all live places share.  Lookahead is bounded by the longest token.  States and
+every prefix has one valid tokenisation, known by its last token.  A state is, for each live place,
+its node in the trie of tokens and the last token before it; reading a byte finds the token that ends
+there and fits its predecessor, and emits it as the last token of the prefix read so far.  The tokens
+of a piece are read back from its end, each at the place where the next one begins.  States and
 arcs are made when first met.
 
+Of the tokens that end at a place exactly one fits, so that the shortest, a byte, needs no proof when no other does.
+
 Two tokens may stand side by side if, when their own merges are replayed together by rank, no
 merge across their border comes first.
 
@@ -20,12 +22,10 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -35,7 +35,7 @@ from .backtrack import near_words
 from .common import hold, texts
 from .tokens import WORDS
 
-ARCS, PIECES, FITS, FAR = 250_000, 150_000, 100_000, 1 << 60  # arcs, (twice) pieces and neighbours that a worker remembers; no rank
+ARCS, PIECES, FITS, FAR = 500_000, 250_000, 200_000, 1 << 60  # arcs, (twice) pieces and neighbours that a worker remembers; no rank
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,23 +63,23 @@ class Utf8:
         return data.decode("utf-8", "replace")
 
 
-def packed(base: int, places: list[tuple[int, tuple[int, ...]]]) -> bytes:
-    """A state as 32-bit numbers: the last settled token, then the open tokens, their number before them, and the node of each live place, the last place first."""
-    out = array("i", (base,))
-    for node, held in reversed(places):
-        out.append(len(held))
-        out.extend(held)
-        out.append(node)
-    return out.tobytes()
+class Pieces(dict):
+    """Ids of pieces as they are met; the last PIECES before these are kept beside them."""
 
+    def __init__(self, fst: Transducer):
+        self.fst, self.older = fst, {}
 
-def unpacked(state: bytes) -> tuple[int, list[tuple[int, tuple[int, ...]]]]:
-    a, places, i = array("i", state), [], 1
-    while i < len(a):
-        j = i + 1 + a[i]
-        places.append((a[j], tuple(a[i + 1 : j])))
-        i = j + 1
-    return a[0], places[::-1]
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            t = self.fst.ranks.get(data)  # a piece that is a token is that token
+            ids = (t,) if t is not None else tuple(self.fst.run(data))
+        if len(self) >= PIECES:
+            self.older = self.copy()
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Transducer:
@@ -87,6 +87,7 @@ class Transducer:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.near = near_words() if pattern == WORDS.pattern else None
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.size = {v: len(k) for k, v in ranks.items()}
         self.trie: dict[int, int] = {}  # by node * 256 + byte
         self.token_at: dict[int, int] = {}
         self.inner: set[int] = set()
@@ -98,13 +99,13 @@ class Transducer:
             self.token_at[node] = rank
         self.replays: dict[int, tuple | None] = {}
         self.fits: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self)
         self.reset()
 
     def reset(self) -> None:
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte
-        self.states: list[bytes] = [packed(-1, [(0, ())])]
+        self.arcs: dict[int, int] = {}  # by state * 256 + byte
+        self.states: list[tuple[int, ...]] = [(0, -1)]  # node and last token of each live place; those of the newest place come last
+        self.last = [-1]
         self.number = {self.states[0]: 0}
 
     def replay(self, t: int) -> tuple | None:
@@ -155,50 +156,36 @@ class Transducer:
         self.fits[a << 32 | b] = ok
         return ok
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def step(self, arc: int) -> int:
         """Makes an arc."""
-        base, places = unpacked(self.states[state])
-        trie, inner, new, found = self.trie, self.inner, [], None
-        for node, held in places:
+        byte, trie, inner, token_at = arc & 255, self.trie, self.inner, self.token_at
+        new, ends = [], []
+        at = iter(self.states[arc >> 8])
+        for node, last in zip(at, at, strict=True):
             node = trie.get(node << 8 | byte)
             if node is None:
                 continue
-            if found is None:  # the token that ends here: one fits
-                t = self.token_at.get(node)
-                if t is not None and self.fit(held[-1] if held else base, t):
-                    found = (*held, t)
+            t = token_at.get(node)
+            if t is not None:
+                ends.append((last, t))
             if node in inner:
-                new.append((node, held))
+                new += (node, last)
+        found = next((t for last, t in ends if self.size[t] == 1 or self.fit(last, t)), None)
         if found is None:
             raise ValueError("the ranks lack a byte")
-        new.append((0, found))
-        out = ()
-        if len(new) == 1:
-            out, new, base = found, [(0, ())], found[-1]
-        else:
-            held = [x[1] for x in new]
-            low, high, n = min(held), max(held), 0
-            for x, y in zip(low, high, strict=False):
-                if x != y:
-                    break
-                n += 1
-            if n:
-                out, new = low[:n], [(node, x[n:]) for node, x in new]
-                base = out[-1]
-            if len(low) > n:  # no token will start at the settled end: what stands before it no longer matters
-                base = -1
-        key = packed(base, new)
+        key = (*new, 0, found)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-        arc = self.arcs[state << 8 | byte] = (number, out)
-        return arc
+            self.last.append(found)
+        self.arcs[arc] = number
+        return number
 
     def run(self, data: bytes) -> list[int]:
         if len(self.arcs) > ARCS:
             self.reset()
-        state, out = 0, []
+        state, said = 0, []  # said: the last token of every prefix
         for k in range(0, len(data), 0xFFFF):
             if k and len(self.arcs) > ARCS:  # a very long piece: forget arcs, keep the state
                 here = self.states[state]
@@ -206,34 +193,28 @@ class Transducer:
                 state = self.number.setdefault(here, len(self.states))
                 if state:
                     self.states.append(here)
-            arcs = self.arcs
+                    self.last.append(here[-1])
+            known, path = self.arcs.get, []
             for byte in data[k : k + 0xFFFF]:
-                state, emitted = arcs.get(state << 8 | byte) or self.step(state, byte)
-                if emitted:
-                    out += emitted
-        last = array("i", self.states[state])  # the place at the end of the piece
-        out += last[2 : 2 + last[1]]
+                arc = state << 8 | byte
+                state = known(arc)
+                if state is None:
+                    state = self.step(arc)
+                path.append(state)
+            said += map(self.last.__getitem__, path)
+        out, size, end = [], self.size, len(said)
+        while end:
+            t = said[end - 1]
+            out.append(t)
+            end -= size[t]
+        out.reverse()
         return out
 
     def split(self, text: str) -> list[str]:
         return self.pattern.findall(text) if self.near is None or not text.isascii() and FAR_LETTERS.search(text) else self.near.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        out, pieces = [], self.pieces
-        for p in self.split(text):
-            ids = pieces.get(p)
-            if ids is None:
-                ids = self.older.get(p)
-                if ids is None:
-                    data = p.encode("utf-8")
-                    t = self.ranks.get(data)  # a piece that is a token is that token
-                    ids = (t,) if t is not None else tuple(self.run(data))
-                if len(pieces) >= PIECES:
-                    self.older = pieces
-                    pieces = self.pieces = {}
-                pieces[p] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes whole: the machine's state carries characters that tokens cut."""
@@ -254,7 +235,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = T
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold("bpe", _transducer.cache_clear)
         fst = _transducer(path, pattern)
-        names = np.array([str(i) for i in range(max(fst.bytes_of) + 1)], object) if digests else None
+        names = [str(i) for i in range(max(fst.bytes_of) + 1)] if digests else []
         for b in batches:
             gc.freeze()  # states and pieces hold no cycles: do not scan them again
             out = []
@@ -264,7 +245,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = T
                     h = hashlib.sha256()
                     for s in fst.decode(ids):
                         h.update(s.encode("utf-8"))
-                    out.append((len(ids), hashlib.sha256(",".join(names[ids] if ids else ()).encode()).hexdigest(), h.hexdigest()))
+                    out.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), h.hexdigest()))
                 else:
                     out.append((len(ids), ids, "".join(fst.decode(ids))))
             cols = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
