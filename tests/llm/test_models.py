@@ -123,3 +123,19 @@ def test_segments_are_near_whole_runs_and_long_texts_are_read_whole(model):
     million = b"the cat sat on the mat " * 30_000 + b"und der hund ist in dem haus " * 12_000  # its end counts as much as its beginning
     p = model.documents([million])[0]
     assert p.sum() == pytest.approx(1, abs=1e-3) and 0.2 < p[model.langs.index("de")] < 0.6
+
+
+def test_both_directions_at_once_are_the_single_steps():
+    """Lanes come last, and shut gates of padding leave states as they were."""
+    rng = np.random.default_rng(11)
+    k = langid.HIDDEN
+    fore, back = (langid.Reader(rng.normal(0, 0.7, (257, 3 * k)).astype(np.float32), rng.normal(0, 0.7, (k, 3 * k)).astype(np.float32)) for _ in range(2))
+    for r in (fore, back):
+        r.e[256, :k] = -1e4
+    m = langid.Model(["a", "b", "c"], fore, back, rng.normal(0, 1, (2 * k, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    x = rng.integers(0, 256, (40, 7))
+    x[25:, 2] = 256
+    want = np.concatenate([fore.forward(x)[0], back.forward(x[::-1])[0][::-1]], axis=2) @ m.w + m.b
+    got = m.logits(x)
+    assert got.shape == (40, 3, 7)
+    assert got == pytest.approx(want.transpose(0, 2, 1), abs=1e-4)
