@@ -150,3 +150,33 @@ def test_verdicts_in_a_row_shuffle_no_witness(spark, docs, terms, tmp_path):
     terms.withColumnRenamed("term", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
     plan = QUERIES["m06c_stored_witnesses"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "hashpartitioning" not in plan
+
+
+def test_a_window_is_hashed_once_for_all_of_its_places(monkeypatch):
+    """Texts shorter than a window, and places near a text's begin, share theirs; texts that stand side by side share none."""
+    made = []
+    monkeypatch.setattr(scan, "sha256", lambda data: made.append(data) or hashlib.sha256(data))
+    texts = ["robot ß robots " * 4, "čas 日本 an " * 60, "none", "日本"]
+    for terms in (["robot", "robots", "čas", "an", "日本"], ["robot", "robots", "čas", "an", "日本", "an an"]):
+        made.clear()
+        trie = scan.Trie((t, t) for t in terms)
+        known, found = scan.Known(trie), scan.Found(trie.terms)
+        for i, t in enumerate(texts):
+            found.walk(i, t, known, False, True, False)
+        row, part = found.rows(scan.witness, 0)
+        columns = dict(zip(scan.SHOWN, (x.to_pylist() for x in part(slice(None))), strict=True))
+        windows = []
+        for i, at, start, size, digest in zip(row.tolist(), *(columns[c] for c in ("byte_offset", "byte_start", "byte_len", "window_sha256")), strict=True):
+            data = texts[i].encode()
+            a = edge(data, max(0, at - 80), -1)
+            b = edge(data, min(len(data), a + 200), 1)
+            assert (start, size, digest) == (a, b - a, hashlib.sha256(data[a:b]).hexdigest())
+            windows.append((i, a, b))
+        assert len(made) == len(set(windows)) < len({*zip(row.tolist(), columns["byte_offset"], strict=True)}) < len(windows)
+
+
+def test_witnesses_leave_the_scan_as_they_are_returned(spark, terms, tmp_path):
+    """Nothing stands between the scan and who stores its rows: no shuffle, no sort, and no row is copied for the columns' order."""
+    spark.createDataFrame(made_texts(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = E.witnesses(spark.read.parquet(f"{tmp_path}/documents.parquet"), terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow") and "Sort" not in plan and "Aggregate" not in plan
